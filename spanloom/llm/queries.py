@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from spanloom.llm.media import op6_media_columns
+from spanloom.llm.mixing import op10_mixing_sources
 
 QUERIES = {
     "op6_media_columns": op6_media_columns,
+    "op10_mixing_sources": op10_mixing_sources,
 }
 
 ORACLES: dict[str, str] = {}
