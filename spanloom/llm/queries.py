@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from spanloom.llm import secrets
 from spanloom.llm.media import op6_media_columns
 from spanloom.llm.mixing import op10_mixing_sources
+from spanloom.llm.secrets import op1_secret_scans
 
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op6_media_columns": op6_media_columns,
     "op10_mixing_sources": op10_mixing_sources,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secret_scans": secrets.ORACLE}
