@@ -76,6 +76,11 @@ def uniform(*keys: Column | int | str) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """Marked items among ``drawn`` of ``population``, by inversion from the mode outwards over +-12 deviations.
 
@@ -84,41 +89,51 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column)
     low = F.greatest(F.lit(0).cast("long"), drawn - (population - marked))
     high = F.least(marked, drawn)
     mode = F.greatest(low, F.least(high, F.floor((drawn + 1) * (marked + 1) / (population + 2)).cast("long")))
-    spread = (F.ceil(F.sqrt(drawn * 1.0) * 6.0) + 12).cast("long")
-    a, b = F.greatest(low, mode - spread), F.least(high, mode + spread)
+    spread = (F.ceil(F.sqrt(F.least(marked, drawn) * 1.0) * 6.0) + 12).cast("long")
+    given = F.struct(population.alias("n"), marked.alias("m"), drawn.alias("d"), low.alias("low"), high.alias("high"), mode.alias("mode"), spread.alias("spread"), u.alias("u"))
+
+    def pick(g: Column) -> Column:
+        a, b = F.greatest(g["low"], g["mode"] - g["spread"]), F.least(g["high"], g["mode"] + g["spread"])
+
+        def up(k: Column) -> Column:  # P(k + 1) / P(k)
+            return ((g["m"] - k) * (g["d"] - k)).cast("double") / ((k + 1) * (g["n"] - g["m"] - g["d"] + k + 1)).cast("double")
 
-    def up(k: Column) -> Column:  # P(k + 1) / P(k)
-        return ((marked - k) * (drawn - k)).cast("double") / ((k + 1) * (population - marked - drawn + k + 1)).cast("double")
+        none = F.array().cast("array<bigint>")
+        rising = F.when(b > g["mode"], F.sequence(g["mode"], b - 1)).otherwise(none)
+        falling = F.when(a < g["mode"], F.sequence(g["mode"] - 1, a, F.lit(-1).cast("long"))).otherwise(none)
 
-    empty = F.array().cast("array<struct<k:bigint,p:double>>")
-    first = F.struct(mode.alias("k"), F.lit(1.0).alias("p"))
-    rising = F.when(b > mode, F.sequence(mode, b - 1)).otherwise(F.array().cast("array<bigint>"))
-    falling = F.when(a < mode, F.sequence(mode - 1, a, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        def walk(steps: Column, ratio, move: int) -> Column:
+            def merge(acc: Column, k: Column) -> Column:
+                last = F.coalesce(F.try_element_at(acc, F.lit(-1))["p"], F.lit(1.0))
+                return F.concat(acc, F.array(F.struct((k + move).cast("long").alias("k"), (last * ratio(k)).alias("p"))))
 
-    def step(ratio, move):
-        def merge(acc, k):
-            last = F.when(F.size(acc) > 0, F.element_at(acc, -1)["p"]).otherwise(F.lit(1.0))
-            return F.concat(acc, F.array(F.struct((k + move).cast("long").alias("k"), (last * ratio(k)).alias("p"))))
+            return F.aggregate(steps, F.array().cast("array<struct<k:bigint,p:double>>"), merge)
 
-        return merge
+        law = F.concat(F.array(F.struct(g["mode"].alias("k"), F.lit(1.0).alias("p"))), walk(rising, up, 1), walk(falling, lambda k: 1.0 / up(k), 0))
 
-    ups = F.aggregate(rising, empty, step(up, 1))
-    downs = F.aggregate(falling, empty, step(lambda k: 1.0 / up(k), 0))
-    law = F.concat(F.array(first), ups, downs)
-    mass = F.aggregate(law, F.lit(0.0), lambda acc, x: acc + x["p"])
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("bigint").alias("pick"))
+        def invert(law: Column) -> Column:
+            def choose(level: Column) -> Column:
+                start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("bigint").alias("pick"))
 
-    def choose(acc, x):
-        now = acc["sum"] + x["p"]
-        return F.struct(now.alias("sum"), F.when(acc["pick"].isNull() & (now >= u * mass), x["k"]).otherwise(acc["pick"]).alias("pick"))
+                def step(acc: Column, x: Column) -> Column:
+                    now = acc["sum"] + x["p"]
+                    return F.struct(now.alias("sum"), F.when(acc["pick"].isNull() & (now >= level), x["k"]).otherwise(acc["pick"]).alias("pick"))
 
-    return F.coalesce(F.aggregate(law, start, choose)["pick"], mode)
+                return F.coalesce(F.aggregate(law, start, step)["pick"], g["mode"])
+
+            return let(g["u"] * F.aggregate(law, F.lit(0.0), lambda acc, x: acc + x["p"]), choose)
+
+        return let(law, invert)
+
+    return let(given, pick)
 
 
 def _draw(seed: int, depth: int):
     def draw(acc: Column, x: Column) -> Column:
-        got = hypergeometric(acc["slots"], x["quota"], acc["left"], uniform(seed + 7, F.lit(depth), F.col("node"), x["place"]))
-        return F.struct((acc["slots"] - x["quota"]).alias("slots"), (acc["left"] - got).alias("left"), F.concat(acc["out"], F.array(got)).alias("out"))
+        def put(got: Column) -> Column:
+            return F.struct((acc["slots"] - x["quota"]).alias("slots"), (acc["left"] - got).alias("left"), F.concat(acc["out"], F.array(got)).alias("out"))
+
+        return let(hypergeometric(acc["slots"], x["quota"], acc["left"], uniform(seed + 7, F.lit(depth), F.col("node"), x["place"])), put)
 
     return draw
 
