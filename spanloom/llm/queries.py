@@ -7,11 +7,13 @@ from spanloom.llm.bpe import op9_byte_bpe
 from spanloom.llm.lm import op7_lm_scoring
 from spanloom.llm.media import op6_media_columns
 from spanloom.llm.mixing import op10_mixing_sources
+from spanloom.llm.ngram_join import op4_ngram_jaccard_join
 from spanloom.llm.secrets import op1_secret_scans
 from spanloom.llm.store import op8_content_store
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_media_columns": op6_media_columns,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_content_store": op8_content_store,
