@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanloom.llm import secrets
+from spanloom.llm.ann import op5_nearest_neighbours
 from spanloom.llm.bpe import op9_byte_bpe
 from spanloom.llm.lm import op7_lm_scoring
 from spanloom.llm.media import op6_media_columns
@@ -14,6 +15,7 @@ from spanloom.llm.store import op8_content_store
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_media_columns": op6_media_columns,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_content_store": op8_content_store,
