@@ -11,8 +11,8 @@ facts (key, length, checksum), a document's checksum is put together from its ch
 Merkle root is computed anew. Only those facts are shuffled, never stored ids; ``read_documents`` gives ids.
 
 Tasks drop a chunk they have already emitted before the shuffle, so a passage in a third of all documents
-costs one row per task. Texts are encoded word by word: white space never joins a token and the tokenizer's
-normaliser works within words, so the ids equal those of whole texts. The word cache is bounded.
+costs one row per task. Texts are encoded word by word, each distinct word of a slice once: white space never joins a token and
+the tokenizer's normaliser works within words, so the ids equal those of whole texts. The word cache is bounded.
 
 Defined results: null or empty texts hold the end id alone; rows with equal doc_id are ordered by content;
 null ids come first; an empty table gives empty tables; extra columns are ignored.
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import mix64, powers, shared_path, slices, table, utf8_texts, whole_text
+from spanloom.llm.common import WordCache, Words, mix64, powers, shared_path, slices, table, utf8_texts, whole_text
 
 END_ID = 2
 WINDOW = 16
 CUT_MASK = 255
 MIN_CHUNK, MAX_CHUNK = 64, 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 WORDS_PER_CALL = 4_000
 RECIPE_FILE_TOKENS = 64_000_000
 _ID_HASH = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 1 << 16, dtype=np.uint64)
@@ -56,9 +56,9 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = WordCache(CACHE_WORDS)
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, keys: list[int], words: list[bytes]) -> None:
         for at in range(0, len(words), WORDS_PER_CALL):
             part = words[at : at + WORDS_PER_CALL]
             texts = [w.decode("utf-8") for w in part]
@@ -68,20 +68,28 @@ class WordEncoder:
             first = np.fromiter((o[0] for o in code.offsets), np.int64, len(code.offsets))
             cut = np.searchsorted(first, begin)
             packed, size = np.asarray(code.ids, self.type).tobytes(), self.type.itemsize
-            for w, a, b in zip(part, (cut[:-1] * size).tolist(), (cut[1:] * size).tolist()):
-                self.cache[w] = packed[a:b]
+            for key, a, b in zip(keys[at : at + WORDS_PER_CALL], (cut[:-1] * size).tolist(), (cut[1:] * size).tolist()):
+                self.cache.young[key] = packed[a:b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        wanted = set().union(*words) if words else set()
-        fresh = wanted - self.cache.keys()
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            fresh = wanted
-        if fresh:
-            self.learn(list(fresh))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        """Packed ids of each text. Words that differ in the case of A-Z alone have the same ids, as the tokenizer lower-cases."""
+        w = Words(texts)
+        uniq, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        keys = uniq.tolist()
+        if fresh := self.cache.missing(set(keys)):
+            raw = w.raw.tobytes()
+            start, end = w.start[at].tolist(), w.end[at].tolist()
+            new = [i for i, k in enumerate(keys) if k in fresh]
+            self.learn([keys[i] for i in new], [raw[start[i] : end[i]] for i in new])
+        pieces = list(map(self.cache.young.__getitem__, keys))
+        flat = np.frombuffer(b"".join(pieces), self.type)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.type.itemsize
+        begin = np.cumsum(length) - length
+        own = length[back]
+        upto = np.cumsum(own)
+        ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[back] - (upto - own), own)]
+        edge = np.concatenate(([0], upto))[w.first].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edge, edge[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
