@@ -9,11 +9,15 @@ from spanloom.llm.lm import op7_lm_scoring
 from spanloom.llm.media import op6_media_columns
 from spanloom.llm.mixing import op10_mixing_sources
 from spanloom.llm.ngram_join import op4_ngram_jaccard_join
+from spanloom.llm.pii import op2_pii
 from spanloom.llm.secrets import op1_secret_scans
 from spanloom.llm.store import op8_content_store
+from spanloom.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_media_columns": op6_media_columns,
