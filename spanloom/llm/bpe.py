@@ -5,7 +5,7 @@ those, one recursive query runs in the task's own DuckDB (one thread, bounded me
 position, token) join the merge table, each word's leftmost pair of minimum rank is contracted, until no
 word has a pair. An ordered aggregation over (word, position) joined to the vocabulary decodes the ids
 again. Documents are the concatenation of their words' ids, so whole texts are encoded without any
-shuffle; the word cache is emptied when it is full, which costs time but never results.
+shuffle; the word cache is bounded, which costs time but never results.
 
 Pre-tokens of more than ``LONG_WORD`` bytes would need as many rounds as bytes; they are contracted by the
 same rule with a heap, in the task.
@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import slices, table, whole_text
+from spanloom.llm.common import WordCache, slices, table, whole_text
 
 LONG_WORD = 400
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 QUERY_WORDS = 20_000
 DUCKDB_MEMORY = "256MB"
 _SHIFT = 20
@@ -92,7 +92,7 @@ class Codec:
         self._load("merges", pa.table({"pair": pa.array([p[0] for p in pairs], pa.int64()), "merged": pa.array([p[1] for p in pairs], pa.int64())}))
         # Bytes travel as Latin-1 characters, so text aggregates serve for bytes.
         self._load("vocabulary", pa.table({"token": pa.array(list(self.ranks.values()), pa.int64()), "chars": [t.decode("latin-1") for t in self.ranks]}))
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache = WordCache(CACHE_WORDS)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -152,8 +152,6 @@ class Codec:
     def learn(self, fresh: Iterable[str]) -> None:
         """Encode and decode words that are not in the cache."""
         fresh = list(fresh)
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
         for at in range(0, len(fresh), QUERY_WORDS):
             names = fresh[at : at + QUERY_WORDS]
             raw = [w.encode("utf-8") for w in names]
@@ -168,16 +166,15 @@ class Codec:
         decoded = self.decode_words(counts, tokens)
         packed, ends = tokens.astype("<u4").tobytes(), np.cumsum(counts) * 4
         for name, a, b, d in zip(names, (ends - counts * 4).tolist(), ends.tolist(), decoded):
-            self.cache[name] = (packed[a:b], d)
+            self.cache.young[name] = (packed[a:b], d)
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, bytes decoded from the ids) of each text."""
         pieces = [self.find(t) for t in texts]
         wanted = set().union(*pieces) if pieces else set()
-        if fresh := wanted - self.cache.keys():
-            size = len(self.cache)
-            self.learn(wanted if size + len(fresh) > CACHE_WORDS else fresh)
-        get = self.cache.__getitem__
+        if fresh := self.cache.missing(wanted):
+            self.learn(fresh)
+        get = self.cache.young.__getitem__
         for words in pieces:
             if words:
                 ids, decoded = zip(*map(get, words))

@@ -132,6 +132,25 @@ class Words:
         return np.where(self.length > k, h, np.uint64(0))
 
 
+class WordCache:
+    """A bounded cache in two generations: when the young one is full it becomes the old one, and what is used again returns."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, wanted: set) -> set:
+        """Those of ``wanted`` that are in neither generation; all others are then in the young one."""
+        fresh = wanted - self.young.keys()
+        back = fresh & self.old.keys()
+        if len(self.young) + len(fresh) > self.limit:
+            self.old, self.young = self.young, {}
+            back = wanted & self.old.keys()
+            fresh = wanted
+        for word in back:
+            self.young[word] = self.old[word]
+        return fresh - back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
