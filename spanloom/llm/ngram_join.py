@@ -6,8 +6,8 @@ are counted over all documents in a table of fixed size (``BUCKETS``), which any
 exactly right. A node's prefix has size - ceil(0.8 * size) + 1 shingles; two sets of Jaccard 0.8 share a shingle
 of both prefixes. Prefix shingles are the only thing shuffled for all documents.
 
-Nodes that share a prefix shingle are first paired with one leader each (a star, so a group of g near copies
-costs g pairs, not g * g). Pairs pass the length filter, the positional filter at their first common
+Nodes that share a prefix shingle are first paired with one random leader per shingle (a star, so a group of g near
+copies costs g pairs a shingle, not g * g), and each node's best ``LEADERS`` leaders are verified. Pairs pass the length filter, the positional filter at their first common
 shingle, and a suffix filter that bounds the sets' Hamming distance by hashed parities; what is left is verified
 once by intersecting the sets. Links are contracted to components, and further rounds pair only nodes of
 different components; the last round takes every such pair, so no link between components is missed. Pairs inside
@@ -37,8 +37,11 @@ PERCENT = 80
 BUCKETS = 1 << 18
 SALT_ROWS = 50_000
 PARITY_WORDS = 16
+FOLD_WORDS = 4
 MAX_BLOOM_BITS = 1 << 26
-STAR_ROUNDS = 2
+MAX_BROADCAST_IDS = 200_000
+STAR_ROUNDS = 3
+LEADERS = 3
 _Q = powers(N + 1)[1:]
 
 
@@ -76,6 +79,11 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(parity: bytes) -> np.ndarray:
+    """The same parities for classes modulo ``FOLD_WORDS`` * 64: parities add up by exclusive or."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, "<i8").reshape(-1, FOLD_WORDS), axis=0)
+
+
 def buckets_of(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(20)).astype(np.int64) % BUCKETS
 
@@ -96,13 +104,15 @@ def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 if len(sets):
                     freq += np.bincount(buckets_of(np.concatenate(sets)), minlength=BUCKETS)
                 n = len(sets)
-                cols = [pa.array(["doc"] * n), piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "node", "parity"])
+                cols = [pa.array(["doc"] * n), piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())]
+                bits = [parities(s) for s in sets]
+                cols += [pa.array(bits, pa.binary()), pa.array([folded(b) for b in bits], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "node", "parity", "fold"])
             used = np.flatnonzero(freq)
-            cols = [pa.array(["freq"] * len(used)), pa.nulls(len(used), batch.column("doc_id").type), pa.array(freq[used]), pa.array(used), pa.nulls(len(used), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "node", "parity"])
+            cols = [pa.array(["freq"] * len(used)), pa.nulls(len(used), batch.column("doc_id").type), pa.array(freq[used]), pa.array(used), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "node", "parity", "fold"])
 
-    made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"kind string, doc_id {id_type}, n bigint, node bigint, parity binary")
+    made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"kind string, doc_id {id_type}, n bigint, node bigint, parity binary, fold array<bigint>")
     made = materialise(made, "join-profiles", ["kind"])
     freq = np.zeros(BUCKETS, np.int64)
     counted = made.filter(F.col("kind") == "freq").groupBy("node").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
@@ -146,9 +156,9 @@ def long_enough(n_a: Column, n_b: Column) -> Column:
 
 
 def filtered(met: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of rows (a, n_a, pos_a, b, n_b, pos_b) that pass the length and positional filters."""
+    """Distinct pairs (a, b) of rows (member, a, n_a, pos_a, b, n_b, pos_b) that pass the length and positional filters."""
     met = met.filter(long_enough(F.col("n_a"), F.col("n_b")))
-    first = met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), F.count("*").alias("common"))
+    first = met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"), F.count("*").alias("common"), F.max("member").alias("member"))
     bound = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
     return first.filter(bound >= needed(F.col("n_a"), F.col("n_b")))
 
@@ -164,9 +174,9 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
             least = -(-(n_a + n_b) * PERCENT // (100 + PERCENT))
             ok = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= n_a + n_b - 2 * least
-            yield batch.select(["a", "b", "n_a", "n_b", "common"]).filter(pa.array(ok))
+            yield batch.select(["a", "b", "n_a", "n_b", "common", "member"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "n_a", "n_b", "common", "parity_a", "parity_b").mapInArrow(differing, "a bigint, b bigint, n_a int, n_b int, common bigint")
+    return both.select("a", "b", "n_a", "n_b", "common", "member", "parity_a", "parity_b").mapInArrow(differing, "a bigint, b bigint, n_a int, n_b int, common bigint, member bigint")
 
 
 def bloom_of(nodes: DataFrame, n: int) -> np.ndarray | None:
@@ -250,7 +260,7 @@ def components(docs: DataFrame, nodes: DataFrame, freq: np.ndarray) -> DataFrame
     """(node, comp) of all nodes with a link, or nothing if there is no link."""
     group = Window.partitionBy("token", "salt")
     rows = prefix_rows(docs, freq)
-    row = F.struct("n", "node", "pos")
+    row = F.struct(F.xxhash64("node", "token", F.lit(0)), "node", "n", "pos")
     live = rows.withColumn("leader", F.min(row).over(group)).withColumn("last", F.max("node").over(group)).withColumn("low", F.min("node").over(group))
     live = materialise(live.filter((F.col("low") < F.col("last")) | F.col("salted")).drop("last", "low", "salt", "salted"), "join-prefixes")
     comps, done = None, None
@@ -259,25 +269,27 @@ def components(docs: DataFrame, nodes: DataFrame, freq: np.ndarray) -> DataFrame
             met = live.filter(F.col("leader.node") != F.col("node")).select(F.col("leader.node").alias("p"), F.col("leader.n").alias("n_p"), F.col("leader.pos").alias("pos_p"), F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("pos").alias("pos_q"))
         else:
             open_ = with_comp(live.select("token", "node", "n", "pos"), comps)
-            mixed = open_.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "comp")).alias("leader")).filter("c0 < c1")
+            mixed = open_.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)), "node", "n", "pos", "comp")).alias("leader")).filter("c0 < c1")
             open_ = materialise(open_.join(mixed.select("token", "leader"), "token").distinct(), "join-open")
             if turn < STAR_ROUNDS:
                 met = open_.filter(F.col("leader.comp") != F.col("comp")).select(F.col("leader.node").alias("p"), F.col("leader.n").alias("n_p"), F.col("leader.pos").alias("pos_p"), F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("pos").alias("pos_q"))
-            else:
-                a = open_.select("token", F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("pos").alias("pos_p"), F.col("comp").alias("comp_p"))
-                b = open_.select("token", F.col("node").alias("q"), F.col("n").alias("n_q"), F.col("pos").alias("pos_q"), F.col("comp").alias("comp_q"))
+            else:  # with the length, positional and (on fewer classes) suffix filters in the join itself
+                known = open_.drop("leader").join(nodes.select("node", "fold"), "node")
+                a, b = (known.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "comp", "fold")], F.col("node").alias(x)) for x in ("p", "q"))
                 near = F.least(F.col("n_p") - F.col("pos_p"), F.col("n_q") - F.col("pos_q")) + F.least("pos_p", "pos_q")
-                met = a.join(b, "token").filter((F.col("comp_p") < F.col("comp_q")) & long_enough(F.col("n_p"), F.col("n_q")) & (near >= needed(F.col("n_p"), F.col("n_q"))))
+                apart = sum((F.bit_count(F.element_at("fold_p", k + 1).bitwiseXOR(F.element_at("fold_q", k + 1))) for k in range(FOLD_WORDS)), F.lit(0))
+                least = needed(F.col("n_p"), F.col("n_q"))
+                met = a.join(b, "token").filter((F.col("comp_p") < F.col("comp_q")) & long_enough(F.col("n_p"), F.col("n_q")) & (near >= least) & (apart <= F.col("n_p") + F.col("n_q") - 2 * least))
         swap = F.col("p") > F.col("q")
         side = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))  # noqa: B023, E731
-        met = met.select(side("p", "q").alias("a"), side("n_p", "n_q").alias("n_a"), side("pos_p", "pos_q").alias("pos_a"), side("q", "p").alias("b"), side("n_q", "n_p").alias("n_b"), side("pos_q", "pos_p").alias("pos_b"))
+        met = met.select(F.col("q").alias("member"), side("p", "q").alias("a"), side("n_p", "n_q").alias("n_a"), side("pos_p", "pos_q").alias("pos_a"), side("q", "p").alias("b"), side("n_q", "n_p").alias("n_b"), side("pos_q", "pos_p").alias("pos_b"))
         pairs = filtered(met)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = suffix_filter(materialise(pairs, "join-pairs"), nodes)
-        if turn < STAR_ROUNDS:  # one leader per node is enough to grow components; the last round takes the rest
-            best = F.max_by(F.struct("a", "b", "n_a", "n_b"), F.struct("common", "a", "b"))
-            pairs = pairs.groupBy("b").agg(best.alias("x")).select("x.*")
+        if turn < STAR_ROUNDS:  # few leaders per node are enough to grow components; the last round takes the rest
+            best = Window.partitionBy("member").orderBy(F.desc("common"), "a", "b")
+            pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).drop("place", "member", "common").distinct()
         pairs = materialise(pairs, "join-candidates")
         links = materialise(verified(docs, pairs), "join-links")
         done = pairs.select("a", "b") if done is None else done.union(pairs.select("a", "b"))
@@ -288,7 +300,7 @@ def components(docs: DataFrame, nodes: DataFrame, freq: np.ndarray) -> DataFrame
         else:
             ends = links.join(comps.withColumnsRenamed({"node": "a", "comp": "ca"}), "a", "left").join(comps.withColumnsRenamed({"node": "b", "comp": "cb"}), "b", "left")
             merged = contract(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b"))
-            old = comps.join(merged.withColumnsRenamed({"node": "comp", "comp": "now"}), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
+            old = comps.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
             fresh = merged.join(comps, "node", "left_anti")
             comps = materialise(old.union(fresh.select("node", "comp")), "join-comps")
     return comps
@@ -298,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows, freq = profiles(docs)
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"), F.first("fold").alias("fold"))
     comps = components(docs, materialise(nodes, "join-nodes"), freq)
     rows = with_comp(rows.select("doc_id", "n", "node"), comps)
     least = rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -306,5 +318,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, without near duplicates: the least doc_id of each class stays.
+
+    Repeated rows of a doc_id are copies of one document, and one stays; rows without an id stay. The ids to drop are
+    broadcast if they are at most ``MAX_BROADCAST_IDS``, so texts are not shuffled; else the join is left to Spark.
+    """
+    found = materialise(near_duplicates(docs), "join-classes")
+    drop = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct(), "join-dropped")
+    few = drop.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    kept = docs.join(F.broadcast(drop) if few else drop, "doc_id", "left_anti").select(*docs.columns)
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    numbered = kept.filter("doc_id is not null").withColumn("_row_of_id", F.row_number().over(own)).filter("_row_of_id = 1").drop("_row_of_id")
+    return numbered.unionByName(kept.filter("doc_id is null"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
