@@ -14,7 +14,7 @@ different components; the last round takes every such pair, so no link between c
 a component need no check: they cannot change any class.
 
 A shingle of very many documents is salted before the first round. The frequency table and, if it is small, a
-Bloom filter of the nodes to verify are the only broadcasts, both of bounded size.
+Bloom filter of the texts to verify are the only broadcasts, both of bounded size.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; fewer words than five are
 one shingle; rows with equal doc_id are one document as far as classes go; component ids ignore null ids unless
@@ -42,6 +42,7 @@ MAX_BLOOM_BITS = 1 << 26
 MAX_BROADCAST_IDS = 200_000
 STAR_ROUNDS = 3
 LEADERS = 3
+PROFILE = ["kind", "doc_id", "n", "node", "text_key", "parity", "fold"]
 _Q = powers(N + 1)[1:]
 
 
@@ -92,8 +93,13 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """Texts with a hash of each whole text, by which a node's texts are found again without making their sets."""
+    return docs.select(*more, whole_text().alias("text")).withColumn("text_key", F.xxhash64("text"))
+
+
 def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node, parity) of every document, and the frequency table."""
+    """(doc_id, n, node, text_key, parity, fold) of every document, and the frequency table."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +112,13 @@ def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 n = len(sets)
                 cols = [pa.array(["doc"] * n), piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())]
                 bits = [parities(s) for s in sets]
-                cols += [pa.array(bits, pa.binary()), pa.array([folded(b) for b in bits], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "node", "parity", "fold"])
+                cols += [piece.column("text_key"), pa.array(bits, pa.binary()), pa.array([folded(b) for b in bits], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, PROFILE)
             used = np.flatnonzero(freq)
-            cols = [pa.array(["freq"] * len(used)), pa.nulls(len(used), batch.column("doc_id").type), pa.array(freq[used]), pa.array(used), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "doc_id", "n", "node", "parity", "fold"])
+            cols = [pa.array(["freq"] * len(used)), pa.nulls(len(used), batch.column("doc_id").type), pa.array(freq[used]), pa.array(used), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, PROFILE)
 
-    made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"kind string, doc_id {id_type}, n bigint, node bigint, parity binary, fold array<bigint>")
+    made = keyed(docs, "doc_id").mapInArrow(run, f"kind string, doc_id {id_type}, n bigint, node bigint, text_key bigint, parity binary, fold array<bigint>")
     made = materialise(made, "join-profiles", ["kind"])
     freq = np.zeros(BUCKETS, np.int64)
     counted = made.filter(F.col("kind") == "freq").groupBy("node").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
@@ -179,52 +185,57 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "common", "member", "parity_a", "parity_b").mapInArrow(differing, "a bigint, b bigint, n_a int, n_b int, common bigint, member bigint")
 
 
-def bloom_of(nodes: DataFrame, n: int) -> np.ndarray | None:
-    """Bit table of node ids, or nothing if it would exceed ``MAX_BLOOM_BITS``."""
+def bloom_of(keys: DataFrame, n: int) -> np.ndarray | None:
+    """Bit table of text keys, or nothing if it would exceed ``MAX_BLOOM_BITS``."""
     bits = 64
     while bits < 12 * n:
         bits *= 2
     if bits > MAX_BLOOM_BITS:
         return None
-    probes = F.explode(F.array(*[F.pmod(F.shiftright("node", k * 19), F.lit(bits)) for k in range(3)]))
-    words = nodes.select(probes.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).toPandas()
+    probes = F.explode(F.array(*[F.pmod(F.shiftright("text_key", k * 19), F.lit(bits)) for k in range(3)]))
+    words = keys.select(probes.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
+def may_hold(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of signed 64-bit keys: which the bit table may hold."""
+    out = np.ones(len(keys), bool)
+    for k in range(3):
+        at = np.mod(keys >> (k * 19), len(bloom) * 64).astype(np.uint64)
+        out &= (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
-    """(node, shingles) of the given nodes, made again from the texts."""
-    table_ = bloom_of(nodes, n_nodes)
-    shared = docs.sparkSession.sparkContext.broadcast(table_)
+    """(node, shingles) of the given (node, text_key), made again from one text of each node and its copies."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, n_nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         for batch in batches:
+            if bloom is not None and batch.num_rows:
+                batch = batch.filter(pa.array(may_hold(bloom, batch.column("text_key").to_numpy())))
             seen: set[int] = set()
             for piece in slices(iter([batch]), "text"):
                 kept = []
                 for s in shingle_sets(utf8_texts(piece)):
-                    node = node_of(s)
-                    if not len(s) or node in seen:
-                        continue
-                    if bloom is not None:
-                        size = len(bloom) * 64
-                        if not all(int(bloom[(b := (node >> (k * 19)) % size) >> 6]) >> (b & 63) & 1 for k in range(3)):
-                            continue
-                    seen.add(node)
-                    kept.append((node, s.view(np.int64)))
+                    if len(s) and (node := node_of(s)) not in seen:
+                        seen.add(node)
+                        kept.append((node, s.view(np.int64)))
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "node bigint, shingles array<bigint>")
+    made = keyed(docs).mapInArrow(run, "node bigint, shingles array<bigint>")
     made = made.join(nodes, "node", "left_semi")
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that are links, by intersecting their whole sets."""
-    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-ends")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = materialise(ends.join(nodes.select("node", "text_key"), "node"), "join-ends")
     n = ends.count()
     if not n:
         return pairs.select("a", "b")
@@ -291,7 +302,7 @@ def components(docs: DataFrame, nodes: DataFrame, freq: np.ndarray) -> DataFrame
             best = Window.partitionBy("member").orderBy(F.desc("common"), "a", "b")
             pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).drop("place", "member", "common").distinct()
         pairs = materialise(pairs, "join-candidates")
-        links = materialise(verified(docs, pairs), "join-links")
+        links = materialise(verified(docs, pairs, nodes), "join-links")
         done = pairs.select("a", "b") if done is None else done.union(pairs.select("a", "b"))
         if links.isEmpty():
             continue
@@ -310,7 +321,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows, freq = profiles(docs)
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"), F.first("fold").alias("fold"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"), F.first("fold").alias("fold"), F.min("text_key").alias("text_key"))
     comps = components(docs, materialise(nodes, "join-nodes"), freq)
     rows = with_comp(rows.select("doc_id", "n", "node"), comps)
     least = rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
