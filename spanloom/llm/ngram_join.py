@@ -249,13 +249,18 @@ def contract(edges: DataFrame) -> DataFrame:
     """(node, comp): least node reachable by edges (a, b), for nodes that have an edge."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "join-edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "join-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+
+    def step(known: DataFrame) -> DataFrame:
+        near = both.join(known.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        moved = known.join(near, "node").select("node", F.least("comp", "near").alias("comp"))
         # A label is itself a node: follow it one step further.
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        moved = moved.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        moved = materialise(moved, "join-labels")
+        jump = known.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+        return moved.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
+
+    while True:  # two steps a write; labels at rest after the second step were at rest after the first
+        once = step(labels)
+        was = once.withColumnRenamed("comp", "was")
+        moved = materialise(step(once).join(was, "node"), "join-labels")
         labels = moved.select("node", "comp")
         if moved.filter("was <> comp").isEmpty():
             return labels
@@ -297,7 +302,7 @@ def components(docs: DataFrame, nodes: DataFrame, freq: np.ndarray) -> DataFrame
         pairs = filtered(met)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = suffix_filter(materialise(pairs, "join-pairs"), nodes)
+        pairs = suffix_filter(pairs, nodes)
         if turn < STAR_ROUNDS:  # few leaders per node are enough to grow components; the last round takes the rest
             best = Window.partitionBy("member").orderBy(F.desc("common"), "a", "b")
             pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).drop("place", "member", "common").distinct()
