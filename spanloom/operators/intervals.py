@@ -178,11 +178,11 @@ def nearest_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEPT = f"""(SELECT user_id, event_id, a AS s, b AS e, coalesce(sum(b - a) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS out FROM {MONO} WHERE b > a)"""
 
 
-@query("output_map", f"SELECT event_id, round(out, 3) AS out_start, round(out + (e - s) / 2, 3) AS out_middle FROM {KEPT}")
+@query("output_map", f"SELECT event_id, round(out, 3) AS out_start, round(out + (e - s) / 2, 4) AS out_middle FROM {KEPT}")
 def output_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-to-output time of each kept range's start and middle."""
     kept = output_offsets(mono_intervals_of(table(spark, sf_dir, "events")).where("b > a").select("user_id", "event_id", F.col("a").alias("s"), F.col("b").alias("e")), "user_id")
-    return kept.select("event_id", F.round("out", 3).alias("out_start"), F.round(F.col("out") + (F.col("e") - F.col("s")) / 2, 3).alias("out_middle"))
+    return kept.select("event_id", F.round("out", 3).alias("out_start"), F.round(F.col("out") + (F.col("e") - F.col("s")) / 2, 4).alias("out_middle"))
 
 
 @query("point_in_segment", f"SELECT o.o_orderkey, k.event_id FROM (SELECT o_orderkey, o_custkey % 150 AS user_id, (o_orderkey * 977 % 2600000)::DOUBLE AS t FROM orders) o JOIN {KEPT} k ON k.user_id = o.user_id AND o.t >= k.s AND o.t < k.e")

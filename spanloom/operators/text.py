@@ -41,7 +41,8 @@ def phrase_hits(text: Column, phrases: Sequence[str]) -> Column:
 def shingles(toks: Column, n: int = 3) -> Column:
     """Distinct token n-grams joined by a space; a shorter text is one shingle; no tokens, none."""
     size = F.size(toks)
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " "))
+    # Single elements, not slices: a slice reads the whole array every time.
+    grams = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.concat_ws(" ", *[F.get(toks, i + k) for k in range(n)]))
     return F.when(size >= n, F.array_distinct(grams)).when(size > 0, F.array(F.array_join(toks, " "))).otherwise(F.array().cast("array<string>"))
 
 
