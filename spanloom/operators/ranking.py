@@ -115,7 +115,7 @@ def text_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents like an item of the benchmark, a stated reference set: intersection or containment of 3-grams."""
 
     def grams(name: str, key: str, n: str) -> DataFrame:
-        rows = table(spark, sf_dir, name).select(key, tokens(F.col("text")).alias("t"))  # once a row: shingles() looks at it for every gram
+        rows = table(spark, sf_dir, name).select(key, tokens(F.col("text")).alias("t"))
         rows = rows.select(key, shingles(F.col("t")).alias("g"))
         return rows.select(key, F.size("g").alias(n), F.explode("g").alias("gram"))
 

@@ -40,10 +40,13 @@ def phrase_hits(text: Column, phrases: Sequence[str]) -> Column:
 
 def shingles(toks: Column, n: int = 3) -> Column:
     """Distinct token n-grams joined by a space; a shorter text is one shingle; no tokens, none."""
-    size = F.size(toks)
-    # Single elements, not slices: a slice reads the whole array every time.
-    grams = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.concat_ws(" ", *[F.get(toks, i + k) for k in range(n)]))
-    return F.when(size >= n, F.array_distinct(grams)).when(size > 0, F.array(F.array_join(toks, " "))).otherwise(F.array().cast("array<string>"))
+    def grams_of(t: Column) -> Column:
+        size = F.size(t)
+        grams = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)]))
+        return F.when(size >= n, F.array_distinct(grams)).when(size > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    # Bound as a lambda variable, the tokens are made once a row; written out in place they would be made for every gram.
+    return F.element_at(F.transform(F.array(toks), grams_of), 1)
 
 
 def set_similarity(common: Column, a: Column, b: Column) -> Column:
