@@ -26,7 +26,7 @@ def classify(url: Column, hosts: Mapping[str, str]) -> Column:
 
 def time_offset(url: Column) -> Column:
     """Seconds of a t= parameter written as 90, 90s or 1h2m3s; null without one."""
-    value = F.regexp_extract(url, r"[?&#]t=([0-9hms]+)", 1)
+    value = F.coalesce(F.regexp_extract(url, r"[?&#]t=([0-9hms]+)", 1), F.lit(""))
     part = lambda unit: F.coalesce(F.regexp_extract(value, f"([0-9]+){unit}", 1).try_cast("bigint"), F.lit(0))
     return F.when(value == "", None).when(value.rlike("^[0-9]+$"), value.try_cast("bigint")).otherwise(part("h") * 3600 + part("m") * 60 + part("s"))
 
