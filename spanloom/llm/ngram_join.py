@@ -41,6 +41,7 @@ FOLD_WORDS = 4
 MAX_BLOOM_BITS = 1 << 26
 MAX_BROADCAST_IDS = 200_000
 STAR_ROUNDS = 3
+FILE_ROWS = 250_000
 LEADERS = 3
 PROFILE = ["kind", "doc_id", "n", "node", "text_key", "parity", "fold"]
 _Q = powers(N + 1)[1:]
@@ -248,7 +249,8 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def contract(edges: DataFrame) -> DataFrame:
     """(node, comp): least node reachable by edges (a, b), for nodes that have an edge."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "join-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "join-labels")
+    files = 1 + both.count() // FILE_ROWS  # these rows are narrow: few files, few tasks
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).coalesce(files), "join-labels")
 
     def step(known: DataFrame) -> DataFrame:
         near = both.join(known.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
@@ -260,7 +262,7 @@ def contract(edges: DataFrame) -> DataFrame:
     while True:  # two steps a write; labels at rest after the second step were at rest after the first
         once = step(labels)
         was = once.withColumnRenamed("comp", "was")
-        moved = materialise(step(once).join(was, "node"), "join-labels")
+        moved = materialise(step(once).join(was, "node").coalesce(files), "join-labels")
         labels = moved.select("node", "comp")
         if moved.filter("was <> comp").isEmpty():
             return labels
@@ -307,6 +309,8 @@ def components(docs: DataFrame, nodes: DataFrame, freq: np.ndarray) -> DataFrame
             best = Window.partitionBy("member").orderBy(F.desc("common"), "a", "b")
             pairs = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).drop("place", "member", "common").distinct()
         pairs = materialise(pairs, "join-candidates")
+        if pairs.isEmpty():
+            continue
         links = materialise(verified(docs, pairs, nodes), "join-links")
         done = pairs.select("a", "b") if done is None else done.union(pairs.select("a", "b"))
         if links.isEmpty():
