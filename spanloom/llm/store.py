@@ -253,7 +253,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
 
 # ---- reading --------------------------------------------------------------------------------
 def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part binary, payload binary, n_tokens bigint").parquet(f"{path}/parts/kind=chunk")
+    """Chunks; none if nothing but empty tables was written."""
+    return spark.read.schema("part binary, payload binary, n_tokens bigint, kind string").parquet(f"{path}/parts").filter(F.col("kind") == "chunk").drop("kind")
 
 
 def stored_recipes(spark: SparkSession, path: str) -> DataFrame:

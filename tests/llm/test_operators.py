@@ -109,8 +109,10 @@ def test_op2_base(spark, texts):
 
 
 def test_op3_held_out(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = QUERIES["op3_toxicity"](spark, SF).collect()
+    """At 10,000 documents: at 1,000 only 6 held-out rows are toxic, too few to tell (see README for that figure)."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = QUERIES["op3_toxicity"](spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
     pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
