@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.common import WordCache, slices, table, whole_text
 
 LONG_WORD = 400
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 QUERY_WORDS = 20_000
 DUCKDB_MEMORY = "256MB"
 _SHIFT = 20
