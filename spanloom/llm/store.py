@@ -13,6 +13,7 @@ Merkle root is computed anew. Only those facts are shuffled, never stored ids; `
 Tasks drop a chunk they have already emitted before the shuffle, so a passage in a third of all documents
 costs one row per task. Texts are encoded word by word, each distinct word of a slice once: white space never joins a token and
 the tokenizer's normaliser works within words, so the ids equal those of whole texts. The word cache is bounded.
+Added tokens such as <|endoftext|> are matched as the library does by default, in the case they are written in.
 
 Defined results: null or empty texts hold the end id alone; rows with equal doc_id are ordered by content;
 null ids come first; an empty table gives empty tables; extra columns are ignored.
@@ -53,7 +54,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or len(t.content.encode().split()) != 1 for t in added):
+            raise ValueError("an added token that holds white space cannot be matched word by word")
+        self.literals = [t.content.encode().lower() for t in added]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.cache = WordCache(CACHE_WORDS)
@@ -71,13 +75,32 @@ class WordEncoder:
             for key, a, b in zip(keys[at : at + WORDS_PER_CALL], (cut[:-1] * size).tolist(), (cut[1:] * size).tolist()):
                 self.cache.young[key] = packed[a:b]
 
+    def literal_words(self, raw: bytes, w: Words) -> set[int]:
+        """Words that hold an added token's literal in any case."""
+        found = set()
+        for literal in self.literals:
+            at = raw.find(literal)
+            while at >= 0:
+                i = int(np.searchsorted(w.start, at, side="right")) - 1
+                found.add(i)
+                at = raw.find(literal, int(w.end[i]))
+        return found
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of each text. Words that differ in the case of A-Z alone have the same ids, as the tokenizer lower-cases."""
+        """Packed ids of each text. Words that differ in the case of A-Z alone have the same ids, as the tokenizer lower-cases;
+        those that hold an added token's literal do not, and are told apart by their own bytes."""
         w = Words(texts)
-        uniq, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        own_hash, raw = w.hash, w.raw.tobytes()
+        if found := self.literal_words(raw, w):
+            joined, raw = b"\n".join(texts), bytearray(raw)
+            for i in found:
+                a, b = int(w.start[i]), int(w.end[i])
+                raw[a:b] = joined[a:b]
+                own_hash[i] = int.from_bytes(hashlib.blake2b(joined[a:b], digest_size=8).digest(), "little")
+            raw = bytes(raw)
+        uniq, at, back = np.unique(own_hash, return_index=True, return_inverse=True)
         keys = uniq.tolist()
         if fresh := self.cache.missing(set(keys)):
-            raw = w.raw.tobytes()
             start, end = w.start[at].tolist(), w.end[at].tolist()
             new = [i for i, k in enumerate(keys) if k in fresh]
             self.learn([keys[i] for i in new], [raw[start[i] : end[i]] for i in new])
