@@ -8,7 +8,7 @@ Elias-Fano sequence with a quantised back-off weight and the monotone pointer to
 query finds its context, takes the child range from the pointers, and searches the word's successor in it.
 
 Building level k is one pass over the training texts that looks up levels 1 .. k-1, one shuffle of keys with
-counts combined in the task, and a range partitioning of the keys that survive ``MIN_COUNT``; every range becomes
+counts combined in the task, and a range partitioning of the keys that survive ``MIN_COUNT`` (1 keeps all); every range becomes
 one shard written by its own task, so no task sees a whole level, and a context with very many children is
 spread over shards. An n-gram can only survive if its prefix and suffix did, so others are never shuffled. Shards
 lie in the shared folder and tasks map them into memory; the driver holds only the list of shards.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import Words, held_out_mask, materialise, shared_path, slices, table, utf8_texts, whole_text
 
-ORDER = 2
-MIN_COUNT = 2
+ORDER = 3
+MIN_COUNT = 1
 DISCOUNT = 0.75
 ALPHA = 0.1
 HELD_OUT = 10

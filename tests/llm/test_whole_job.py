@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 
+from spanloom.llm.queries import QUERIES
+
 
 def test_op8_added_tokens(spark, tmp_path):
     """Texts that hold added tokens have the ids that the library gives by default; other cases of a literal are plain text."""
@@ -27,3 +29,42 @@ def test_op8_added_tokens(spark, tmp_path):
     store.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), f"{tmp_path}/store", path)
     rows = store.read_digests(spark, f"{tmp_path}/store").collect()
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows} == want and all(r.verified for r in rows)
+
+
+def test_op7_brute_force(spark, tmp_path):
+    """The registered query's score is that of a plain trigram model of all training n-grams, in codes of 1/32."""
+    rng, vocabulary = np.random.default_rng(5), [f"w{i}" for i in range(12)]
+    docs = {i: [str(w) for w in rng.choice(vocabulary, rng.integers(0, 40))] for i in range(60)}
+    docs[60] = ["w1", "never", "w2", "w3", "w1", "w2"]
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 10 == 0}
+    assert held and held != set(docs)
+    spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    count, after = {}, {}
+    for ws in ([*ws, None] for i, ws in docs.items() if i not in held):
+        for k in (1, 2, 3):
+            for i in range(len(ws) - k + 1):
+                gram = tuple(ws[i : i + k])
+                count[gram] = count.get(gram, 0) + 1
+    for gram, n in count.items():
+        after.setdefault(gram[:-1], []).append(n)
+    total, kinds = sum(after[()]), len(after[()])
+
+    def code(p):
+        return min(255, round(-np.log10(p) * 32)) / 32
+
+    def freed(before):
+        return code(1 - sum(n - 0.75 for n in after[before]) / count[before])
+
+    def log_p(before, word):
+        if not before:
+            return np.log10((count.get((word,), 0) + 0.1) / (total + 0.1 * (kinds + 1)))
+        lower = log_p(before[1:], word)
+        if n := count.get((*before, word)):
+            return -code((n - 0.75) / count[before] + 10 ** -freed(before) * 10**lower)
+        return lower - (freed(before) if before in after else 0)
+
+    rows = QUERIES["op7_lm_scoring"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.held_out for r in rows} == {i: i in held for i in docs}
+    for r in rows:
+        ws = [*docs[r.doc_id], None]
+        assert abs(r.score - sum(log_p(tuple(ws[max(0, i - 2) : i]), w) for i, w in enumerate(ws))) < 1e-6
