@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, table, utf8_texts, whole_text
+from spanloom.llm.common import materialise, slices, table, utf8_texts, whole_text
 
 # Fixed values of the MPEG-1 Layer III format: bitrate index -> kbit/s, sample-rate index -> Hz.
 KBPS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -209,7 +209,7 @@ READ_SCHEMA = (
 )
 
 
-def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), seek_table: bool = True) -> DataFrame:
+def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """Parse the column ``media``: exact duration, checksums, seek offsets of frames, and the payload's digests.
 
     A null or empty stream gives zero frames and the digests of no bytes.
@@ -229,7 +229,7 @@ def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"),
                 else:
                     micros = sum(SAMPLES * 1_000_000 // HZ[data[p + 2] >> 2 & 3] for p in found["offsets"])
                 n_crc, ok = checksums_ok(data, found["offsets"])
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(found["offsets"]), micros, n_crc, ok, found["resyncs"], found["vbr"].get("frames", -1), found["offsets"] if seek_table else found["offsets"][:: max(1, len(found["offsets"]) // 4)]))
+                rows.append((len(data), hashlib.sha256(data).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(found["offsets"]), micros, n_crc, ok, found["resyncs"], found["vbr"].get("frames", -1), found["offsets"]))
             arrays = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 7, pa.list_(pa.int64())))]
             names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *arrays], [*keep, *names])
@@ -238,7 +238,7 @@ def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"),
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_media(write_media(table(spark, sf_dir, "documents")), seek_table=False)
+    read = read_media(materialise(write_media(table(spark, sf_dir, "documents")), "media"))
     seek = F.array_join(F.transform("frame_offsets", lambda x: x.cast("string")), "/")
     return read.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",

@@ -1,5 +1,6 @@
 """Cases where an operator once did less than its whole job."""
 
+import os
 import zlib
 
 import numpy as np
@@ -68,3 +69,23 @@ def test_op7_brute_force(spark, tmp_path):
     for r in rows:
         ws = [*docs[r.doc_id], None]
         assert abs(r.score - sum(log_p(tuple(ws[max(0, i - 2) : i]), w) for i, w in enumerate(ws))) < 1e-6
+
+
+def test_op6_all_offsets(spark, tmp_path, monkeypatch):
+    """The media column is written to the shared folder, and every frame's offset is in the feature."""
+    from spanloom.llm import common, media
+
+    texts = {1: "", 2: "short", 3: "twenty thousand words " * 5000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    rows = QUERIES["op6_media_columns"](spark, str(tmp_path)).collect()
+    assert [n for n in os.listdir(f"{tmp_path}/shared") if n.startswith("media-")]
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        stream = media.write_stream(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))
+        at, offsets = 10 + int.from_bytes(stream[9:10], "big") + 144, []  # behind the tag and the frame of the table, at 32 kbit/s
+        while at < len(stream):
+            offsets.append(at)
+            at += 144 * (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[stream[at + 2] >> 4] // 32
+        assert r.feature.endswith(";seek=" + "/".join(map(str, offsets))) and f"frames={len(offsets)};" in r.feature
+    assert max(r.feature.count("/") for r in rows) > 70
