@@ -29,7 +29,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.default_ranks(), bpe.default_pattern(), digests=True)
+    return bpe.encode(docs, bpe.default_ranks(), bpe.default_pattern(), digests=True, with_ids=True)
 
 
 STAGES = [
@@ -40,7 +40,7 @@ STAGES = [
     ("byte_bpe", encode_tokens),
 ]
 
-#: Models, random draws and tokenization are beyond SQL; tests hold each stage against brute force.
+#: Models, random draws and tokenization are beyond SQL; tests hold near duplicates and token ids against brute force.
 ORACLE_SQL = None
 
 

@@ -193,8 +193,8 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return _CODECS[ranks_path, pattern]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) per row, or with ``digests`` the SHA-256 of ids and decoded bytes instead."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) per row, or with ``digests`` the SHA-256 of ids and decoded bytes instead, ``with_ids`` behind the ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +202,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False
         for part in slices(batches, "text"):
             both = list(own.encode_batch(part.column("text").to_pylist()))
             n = pa.array([len(i) // 4 for i, _ in both], pa.int64())
+            cols = {"doc_id": part.column(0), "n_tokens": n}
+            if with_ids or not digests:
+                cols["ids"] = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in both], pa.list_(pa.int32()))
             if digests:
-                cols = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in both]) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), n, *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                cols |= {name: pa.array([hashlib.sha256(x[k]).hexdigest() for x in both], pa.string()) for k, name in enumerate(("ids_sha256", "decoded_sha256"))}
             else:
-                ids = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in both], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), n, ids, pa.array([d for _, d in both], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+                cols["decoded"] = pa.array([d for _, d in both], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
+    tail = ("ids array<int>, " if with_ids or not digests else "") + ("ids_sha256 string, decoded_sha256 string" if digests else "decoded binary")
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {tail}")
 
 

@@ -1,5 +1,6 @@
 """Cases where an operator once did less than its whole job."""
 
+import hashlib
 import os
 import zlib
 
@@ -89,3 +90,39 @@ def test_op6_all_offsets(spark, tmp_path, monkeypatch):
             at += 144 * (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[stream[at + 2] >> 4] // 32
         assert r.feature.endswith(";seek=" + "/".join(map(str, offsets))) and f"frames={len(offsets)};" in r.feature
     assert max(r.feature.count("/") for r in rows) > 70
+
+
+def byte_pair_encoding():
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    ranks = load_tiktoken_bpe(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_pipeline_near_duplicates(spark):
+    """One document of each class of near duplicates stays, unchanged; texts without words are a class each."""
+    import corpus_pipeline
+
+    base = [f"word{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base), " ".join([*base, "more"]), "other text of its own here", " ".join(reversed(base)), "few"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, texts)]
+    classes = [{j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)} for a in sets]
+    rows = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    kept = {r.doc_id for r in rows}
+    assert all(len(kept & c) == 1 for c in classes) and all(r.text == texts[r.doc_id] for r in rows)
+
+
+def test_pipeline_token_ids(spark):
+    """The last stage gives every document's token ids, and their digests beside them."""
+    import corpus_pipeline
+
+    texts, tok = ["", "one text of some words", "é😀 ünï  1234567\n\n x", "twice twice"], byte_pair_encoding()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = corpus_pipeline.encode_tokens(spark, docs, "").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = tok.encode_ordinary(texts[r.doc_id])
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
