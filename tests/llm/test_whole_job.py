@@ -126,3 +126,20 @@ def test_pipeline_token_ids(spark):
         ids = tok.encode_ordinary(texts[r.doc_id])
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_op9_long_words(spark):
+    """Words just below and above the size where the heap takes over, in one-, two- and three-byte characters."""
+    from spanloom.llm import bpe
+
+    limit, tok = bpe.LONG_WORD, byte_pair_encoding()
+    rng = np.random.default_rng(3)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH"), 3 * limit))
+    texts = [letters[:n] for n in range(limit - 2, limit + 4)] + ["é" * (limit // 2 + d) for d in (-1, 0, 1)] + ["語言" * (limit // 6 + d) for d in (-1, 0, 1, 200)] + ["=" * n for n in (limit - 1, limit, limit + 1)]
+    texts += [f"a {letters} b", f"{letters}\n{letters[:limit]}"]
+    coded = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bpe.default_ranks(), bpe.default_pattern())
+    rows = coded.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.ids == tok.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded) == texts[r.doc_id].encode()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(coded, bpe.default_ranks(), bpe.default_pattern()).collect()} == dict(enumerate(texts))
