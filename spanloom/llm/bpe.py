@@ -19,18 +19,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import WordCache, slices, table, whole_text
+from spanloom.llm.common import RangeCache, give_back, ranges, slices, table, whole_text
 
 LONG_WORD = 400
-CACHE_WORDS = 200_000
-QUERY_WORDS = 20_000
-DUCKDB_MEMORY = "256MB"
+CACHE_WORDS = 400_000
+QUERY_WORDS = 10_000
+DUCKDB_MEMORY = "96MB"
 _SHIFT = 20
 _PAIR = 20
 
@@ -92,7 +93,8 @@ class Codec:
         self._load("merges", pa.table({"pair": pa.array([p[0] for p in pairs], pa.int64()), "merged": pa.array([p[1] for p in pairs], pa.int64())}))
         # Bytes travel as Latin-1 characters, so text aggregates serve for bytes.
         self._load("vocabulary", pa.table({"token": pa.array(list(self.ranks.values()), pa.int64()), "chars": [t.decode("latin-1") for t in self.ranks]}))
-        self.cache = WordCache(CACHE_WORDS)
+        self.cache = RangeCache(CACHE_WORDS, ["<u4", np.uint8])
+        give_back()
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -149,38 +151,50 @@ class Codec:
         self.db.unregister("start_rows")
         return np.bincount(got["word"], minlength=len(words)), np.asarray(got["token"], np.int64)
 
-    def learn(self, fresh: Iterable[str]) -> None:
-        """Encode and decode words that are not in the cache."""
-        fresh = list(fresh)
-        for at in range(0, len(fresh), QUERY_WORDS):
-            names = fresh[at : at + QUERY_WORDS]
-            raw = [w.encode("utf-8") for w in names]
-            short = [i for i, b in enumerate(raw) if len(b) <= LONG_WORD]
-            self._keep([names[i] for i in short], *self._contract([raw[i] for i in short])) if short else None
-            for i, b in enumerate(raw):
-                if len(b) > LONG_WORD:
-                    ids = np.array(self._long(b), np.int64)
-                    self._keep([names[i]], np.array([len(ids)]), ids)
-
-    def _keep(self, names: list[str], counts: np.ndarray, tokens: np.ndarray) -> None:
-        decoded = self.decode_words(counts, tokens)
-        packed, ends = tokens.astype("<u4").tobytes(), np.cumsum(counts) * 4
-        for name, a, b, d in zip(names, (ends - counts * 4).tolist(), ends.tolist(), decoded):
-            self.cache.young[name] = (packed[a:b], d)
+    def learn(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """[(number of ids, ids), (number of bytes, bytes decoded from the ids)] of words, in their order."""
+        counts, ids = np.zeros(len(words), np.int64), []
+        raw = [w.encode("utf-8") for w in words]
+        short = [i for i, b in enumerate(raw) if len(b) <= LONG_WORD]
+        long = [i for i, b in enumerate(raw) if len(b) > LONG_WORD]
+        for at in range(0, len(short), QUERY_WORDS):
+            part = short[at : at + QUERY_WORDS]
+            counts[part], got = self._contract([raw[i] for i in part])
+            ids.append(got)
+        for i in long:
+            ids.append(np.array(self._long(raw[i]), np.int64))
+            counts[i] = len(ids[-1])
+        order = np.array(short + long)
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        tokens = np.concatenate(ids)[ranges(begin, counts)]
+        upto, decoded = np.cumsum([0, *counts]), []
+        for at in range(0, len(words), QUERY_WORDS):
+            own = counts[at : at + QUERY_WORDS]
+            decoded += self.decode_words(own, tokens[upto[at] : upto[at + len(own)]])
+        return [(counts, tokens.astype("<u4")), (np.fromiter(map(len, decoded), np.int64, len(decoded)), np.frombuffer(b"".join(decoded), np.uint8))]
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, bytes decoded from the ids) of each text."""
         pieces = [self.find(t) for t in texts]
-        wanted = set().union(*pieces) if pieces else set()
-        if fresh := self.cache.missing(wanted):
-            self.learn(fresh)
-        get = self.cache.young.__getitem__
-        for words in pieces:
-            if words:
-                ids, decoded = zip(*map(get, words))
-                yield b"".join(ids), b"".join(decoded)
-            else:
-                yield b"", b""
+        words = list(chain.from_iterable(pieces))
+        if not words:
+            yield from ((b"", b"") for _ in texts)
+            return
+        keys = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+        uniq, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        both = self.cache.get(uniq, lambda which: self.learn([words[i] for i in at[which].tolist()]))
+        first = np.cumsum([0, *map(len, pieces)])
+        joined = []
+        for begin, length, values in both:
+            own = length[back]
+            edge = np.concatenate(([0], np.cumsum(own)))[first].tolist()
+            flat = values[ranges(begin[back], own)]
+            joined.append([flat[a:b].tobytes() for a, b in zip(edge, edge[1:])])
+        for text, found, ids, decoded in zip(texts, pieces, *joined):
+            if decoded != text.encode("utf-8"):  # two words of one hash: this text without the cache
+                ids, decoded = (v.tobytes() for _, v in self.learn(found))
+            yield ids, decoded
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}

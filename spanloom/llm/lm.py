@@ -1,17 +1,19 @@
 """Operator 7: language-model scoring with an Elias-Fano n-gram trie.
 
-Level 1 holds every training word: sorted 63-bit word hashes and counts. Level k > 1 holds n-grams as keys
-parent * V + word, where parent is the n-gram's place in level k - 1 and word its last word's place in level 1.
-Keys are monotone, so a level is Elias-Fano coded: unary high parts with a select directory, byte-aligned low
-parts, and one byte per n-gram for its smoothed, quantised probability. A level's contexts are a second
-Elias-Fano sequence with a quantised back-off weight and the monotone pointer to the context's first child. A
-query finds its context, takes the child range from the pointers, and searches the word's successor in it.
-
-Building level k is one pass over the training texts that looks up levels 1 .. k-1, one shuffle of keys with
-counts combined in the task, and a range partitioning of the keys that survive ``MIN_COUNT`` (1 keeps all); every range becomes
+Level 1 holds every training word: sorted 63-bit word hashes and counts. Level k > 1 holds the children of level k - 1:
+each context's words (places in level 1) stand together in ascending order. A level is one Elias-Fano sequence: a
+word is stored as its place plus the last value before its context's range, which keeps the sequence monotone, so
+values are relative to the context and need no product of level sizes. Beside it stands one byte an n-gram for its
+smoothed, quantised probability. A level's contexts are a second Elias-Fano sequence with a quantised back-off weight and the
+monotone pointer to the context's first child. A query finds its context, takes the child range from the pointers,
+and searches the word's successor inside that range.
+
+Building level k is one pass over the training texts that looks up levels 1 .. k-1, one shuffle of (context, word) with
+counts combined in the task, and a range partitioning of the pairs that survive ``MIN_COUNTS``; every range becomes
 one shard written by its own task, so no task sees a whole level, and a context with very many children is
 spread over shards. An n-gram can only survive if its prefix and suffix did, so others are never shuffled. Shards
-lie in the shared folder and tasks map them into memory; the driver holds only the list of shards.
+lie in the shared folder and tasks map them into memory (from a store without local paths, a bounded number are held);
+the driver holds only the list of shards.
 
 Probabilities: unigrams (c + 0.1) / (N + 0.1 * (V + 1)); above, interpolated absolute discounting, a context's
 mass that pruning or discounting frees going to the next lower level.
@@ -22,8 +24,8 @@ with N = V = 0; repeated rows repeat; null ids count as training documents unles
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,12 +38,13 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import Words, held_out_mask, materialise, shared_path, slices, table, utf8_texts, whole_text
 
-ORDER = 3
-MIN_COUNT = 1
+#: Least count of an n-gram that is kept, by its length: all words, then what occurs twice (figures in the README).
+MIN_COUNTS = (1, 2, 2)
 DISCOUNT = 0.75
 ALPHA = 0.1
 HELD_OUT = 10
 SHARD_KEYS = 2_000_000
+OPEN_SHARDS = 64
 STEP = 1 / 32  # of quantised log10 probabilities
 END = np.int64(1)  # the end token's hash
 
@@ -102,14 +105,12 @@ class EliasFano:
             out[:, : self.low.shape[1]] = self.low[i]
         return out.view("<u8")[:, 0].astype(np.int64)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first element >= x, whether it equals x)."""
-        inside = (x >= self.base) & (x <= self.top)
-        place = np.where(x < self.base, 0, self.n).astype(np.int64)
-        equal = np.zeros(len(x), bool)
-        at = np.flatnonzero(inside)
+    def within(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Place of ``x`` among the elements first .. last - 1; -1 where its successor there is another value."""
+        place = np.full(len(x), -1, np.int64)
+        at = np.flatnonzero((x >= self.base) & (x <= self.top) & (first < last))
         if not len(at):
-            return place, equal
+            return place
         y = (x[at] - self.base).astype(np.int64)
         h = y >> self.bits
         want = y & ((1 << self.bits) - 1)
@@ -117,6 +118,7 @@ class EliasFano:
         lo = np.zeros(len(h), np.int64)
         some = h > 0
         lo[some] = self._select(h[some] - 1, False) - (h[some] - 1)
+        lo, hi = np.maximum(lo, first[at]), np.minimum(hi, last[at])
         end = hi.copy()
         act = np.flatnonzero(lo < hi)
         while len(act):
@@ -125,10 +127,10 @@ class EliasFano:
             lo[act[less]] = mid[less] + 1
             hi[act[~less]] = mid[~less]
             act = act[lo[act] < hi[act]]
-        place[at] = lo
         hit = np.flatnonzero(lo < end)
-        equal[at[hit]] = self._low(lo[hit]) == want[hit]
-        return place, equal
+        hit = hit[self._low(lo[hit]) == want[hit]]
+        place[at[hit]] = lo[hit]
+        return place
 
 
 # ---- shards in the shared folder --------------------------------------------------------------
@@ -147,81 +149,118 @@ _OPEN: dict[str, dict[str, np.ndarray]] = {}
 
 
 def open_shard(folder: str, name: str) -> dict[str, np.ndarray]:
-    """A shard's arrays, mapped into memory; from a store without local paths a copy is mapped."""
+    """A shard's arrays, mapped into memory; from a store without local paths, read. At most ``OPEN_SHARDS`` stay open."""
     at = f"{folder}/{name}"
     if at not in _OPEN:
         store, base = fs.FileSystem.from_uri(at if "://" in at or at.startswith("/") else f"file:{at}")
-        if not isinstance(store, fs.LocalFileSystem):
-            local = os.path.join(tempfile.gettempdir(), "spanloom-lm", name)
-            os.makedirs(local, exist_ok=True)
-            fs.copy_files(base, local, source_filesystem=store)
-            base = local
-        _OPEN[at] = {f[:-4]: np.load(f"{base}/{f}", mmap_mode="r") for f in os.listdir(base) if f.endswith(".npy")}
+        if isinstance(store, fs.LocalFileSystem):
+            arrays = {f[:-4]: np.load(f"{base}/{f}", mmap_mode="r") for f in os.listdir(base) if f.endswith(".npy")}
+        else:
+            arrays = {}
+            for info in store.get_file_info(fs.FileSelector(base)):
+                with store.open_input_stream(info.path) as f:
+                    arrays[info.base_name[:-4]] = np.load(io.BytesIO(f.read()))
+        while len(_OPEN) >= OPEN_SHARDS:
+            _OPEN.pop(next(iter(_OPEN)))
+        _OPEN[at] = arrays
     return _OPEN[at]
 
 
 @dataclass
 class Sharded:
-    """One sorted sequence in shards: (first key, size, children, name) of each, in order."""
+    """One sequence in shards: (first key or context, first word, size, children, name) of each, in order."""
 
     folder: str
-    shards: list[tuple[int, int, int, str]]
+    shards: list[tuple[int, int, int, int, str]]
 
     def __post_init__(self) -> None:
         self.shards = sorted(self.shards)
-        self.starts = np.cumsum([0, *(s[1] for s in self.shards)], dtype=np.int64)
-        self.child_starts = np.cumsum([0, *(s[2] for s in self.shards)], dtype=np.int64)
+        self.starts = np.cumsum([0, *(s[2] for s in self.shards)], dtype=np.int64)
+        self.child_starts = np.cumsum([0, *(s[3] for s in self.shards)], dtype=np.int64)
         self.firsts = np.array([s[0] for s in self.shards], np.int64)
 
-    def find(self, x: np.ndarray, values: tuple[str, ...] = ()) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """(place, or -1, of each key; stored values there) for sorted keys."""
-        place = np.full(len(x), -1, np.int64)
-        out = {v: np.zeros(len(x), np.int64) for v in values}
+    def arrays(self, k: int) -> dict[str, np.ndarray]:
+        return open_shard(self.folder, self.shards[k][4])
+
+    def shard_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, place, side="right") - 1
+
+    def find(self, x: np.ndarray, value: str) -> tuple[np.ndarray, np.ndarray]:
+        """(place, or -1, of each of the sorted distinct keys; the stored value there)."""
+        place, out = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
         cut = [*np.searchsorted(x, self.firsts).tolist(), len(x)]
-        for k, shard in enumerate(self.shards):
+        for k in range(len(self.shards)):
             a, b = cut[k], cut[k + 1]
             if a < b:
-                arrays = open_shard(self.folder, shard[3])
-                at, same = EliasFano(arrays).successor(x[a:b])
+                arrays = self.arrays(k)
+                ef = EliasFano(arrays)
+                at = ef.within(x[a:b], np.zeros(b - a, np.int64), np.full(b - a, ef.n))
+                same = at >= 0
                 place[a:b][same] = at[same] + self.starts[k]
-                for v in values:
-                    out[v][a:b][same] = arrays[v][at[same]]
+                out[a:b][same] = arrays[value][at[same]]
         return place, out
 
     def at(self, place: np.ndarray, value: str) -> np.ndarray:
-        """A stored value, or with ``key`` the key itself, at places in any order."""
-        out = np.zeros(len(place), np.int64)
-        of = np.searchsorted(self.starts, place, side="right") - 1
+        """A stored value at places in any order."""
+        out, of = np.zeros(len(place), np.int64), self.shard_of(place)
         for k in np.unique(of).tolist():
             own = of == k
-            arrays = open_shard(self.folder, self.shards[k][3])
-            i = place[own] - self.starts[k]
-            out[own] = EliasFano(arrays).access(i) if value == "key" else arrays[value][i]
+            out[own] = self.arrays(k)[value][place[own] - self.starts[k]]
         return out
 
     def children(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of contexts: range of their children in the next level, from the monotone pointers."""
         first, last = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        of = np.searchsorted(self.starts, place, side="right") - 1
+        of = self.shard_of(place)
         for k in np.unique(of).tolist():
             own = of == k
-            arrays = open_shard(self.folder, self.shards[k][3])
+            arrays = self.arrays(k)
             pointers = EliasFano({n: arrays[f"pointer_{n}"] for n in ("meta", "low", "high", "zeros")})
             i = place[own] - self.starts[k]
             first[own] = self.child_starts[k] + pointers.access(i)
             last[own] = self.child_starts[k] + pointers.access(i + 1)
         return first, last
 
+    def before(self, first: np.ndarray) -> np.ndarray:
+        """What the values of a range that begins at ``first`` are relative to: the element before it in its shard, or 0."""
+        out, of = np.zeros(len(first), np.int64), self.shard_of(first)
+        for k in np.unique(of).tolist():
+            own = np.flatnonzero((of == k) & (first > self.starts[k]))
+            if len(own):
+                out[own] = EliasFano(self.arrays(k)).access(first[own] - self.starts[k] - 1)
+        return out
+
+    def search(self, first: np.ndarray, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, or -1, and code) of words inside their contexts' ranges; a range may go over several shards."""
+        place, code = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64)
+        of, to = self.shard_of(first), self.shard_of(last - 1)
+        long = np.flatnonzero(of < to)
+        touched = set(np.unique(of).tolist()).union(*(range(a, b + 1) for a, b in set(zip(of[long].tolist(), to[long].tolist()))))
+        for k in sorted(touched):
+            own = np.flatnonzero((of <= k) & (to >= k))
+            arrays, start = self.arrays(k), self.starts[k]
+            base = np.where(of[own] == k, before[own], 0)
+            at = EliasFano(arrays).within(base + word[own], np.maximum(first[own] - start, 0), np.minimum(last[own], self.starts[k + 1]) - start)
+            hit = at >= 0
+            place[own[hit]], code[own[hit]] = at[hit] + start, arrays["code"][at[hit]]
+        return place, code
+
 
 def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-30)) / STEP), 0, 255).astype(np.uint8)
 
 
-def spread_find(level: Sharded, x: np.ndarray, values: tuple[str, ...] = ()) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """``Sharded.find`` for keys in any order and repetition."""
-    uniq, back = np.unique(x, return_inverse=True)
-    place, out = level.find(uniq, values)
-    return place[back], {v: a[back] for v, a in out.items()}
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one of each distinct pair, sorted by pair; number of each pair's place among them). ``a`` and ``b`` are not negative."""
+    if not len(a) or (int(a.max()) + 1) * (int(b.max()) + 1) < 1 << 63:
+        key = a * np.int64(b.max() + 1 if len(b) else 1) + b
+        _, at, back = np.unique(key, return_index=True, return_inverse=True)
+        return at, back
+    order = np.lexsort((b, a))
+    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    back = np.empty(len(a), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
 
 
 @dataclass
@@ -235,9 +274,6 @@ class Model:
     def base(self, c: np.ndarray) -> np.ndarray:
         return (c + ALPHA) / (self.n + ALPHA * (self.v + 1))
 
-    def key(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return parent * np.int64(max(1, self.v)) + word
-
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(63-bit hash of every token with each text's end token, place of each token in its text, text of each token)."""
@@ -265,7 +301,8 @@ class Step:
 
 def walk(model: Model, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[Step]]:
     """Per token: word place (-1 unknown), word count, and a step per level."""
-    word, got = spread_find(model.words, hashes, ("count",))
+    uniq, back = np.unique(hashes, return_inverse=True)
+    word, count = (x[back] for x in model.words.find(uniq, "count"))
     steps = []
     last = word
     for k, (level, contexts) in enumerate(zip(model.levels, model.contexts)):
@@ -275,20 +312,22 @@ def walk(model: Model, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarra
         at = at[last[at - 1] >= 0]
         if len(at) and level.shards:
             parents, back = np.unique(last[at - 1], return_inverse=True)
-            ctx, values = contexts.find(parents, ("code",))
+            ctx, codes = contexts.find(parents, "code")
             has = ctx >= 0
-            first, end = np.zeros(len(parents), np.int64), np.zeros(len(parents), np.int64)
+            first, end, before = (np.zeros(len(parents), np.int64) for _ in range(3))
             first[has], end[has] = contexts.children(ctx[has])
+            before[has] = level.before(first[has])
             step.context[at] = has[back]
-            step.context_code[at] = values["code"][back]
+            step.context_code[at] = codes[back]
             inner = np.flatnonzero(has[back] & (word[at] >= 0))
             at, back = at[inner], back[inner]
-            found, values = spread_find(level, model.key(last[at - 1], word[at]), ("code",))
-            good = (found >= first[back]) & (found < end[back])  # a successor outside the context's range is another's
-            step.place[at[good]], step.code[at[good]] = found[good], values["code"][good]
+            one, again = unique_pairs(back, word[at])
+            own = back[one]
+            found, codes = level.search(first[own], end[own], before[own], word[at[one]])
+            step.place[at], step.code[at] = found[again], codes[again]
         steps.append(step)
         last = step.place
-    return word, got["count"], steps
+    return word, count, steps
 
 
 def score_tokens(model: Model, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,62 +340,55 @@ def score_tokens(model: Model, hashes: np.ndarray, place: np.ndarray) -> tuple[n
     return count > 0, base, score
 
 
-def suffix_place(model: Model, k: int, place: np.ndarray) -> np.ndarray:
-    """Of level-``k`` n-grams: place in level k - 1 of the n-gram without its first word (-1 if it was pruned)."""
-    key = model.levels[k - 2].at(place, "key")
-    parent, word = key // max(1, model.v), key % max(1, model.v)
-    if k == 2:
-        return word
-    shorter = suffix_place(model, k - 1, parent)
-    out = np.full(len(place), -1, np.int64)
-    ok = shorter >= 0
-    out[ok] = spread_find(model.levels[k - 3], model.key(shorter[ok], word[ok]))[0]
-    return out
-
-
-def lower_probability(model: Model, k: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Probability of ``word`` after level-(k-1) contexts shortened by their first word."""
-    if k == 2:
-        return model.base(model.words.at(word, "count"))
-    shorter = suffix_place(model, k - 1, parent)
-    p = lower_probability(model, k - 1, np.maximum(shorter, 0), word)
-    ok = np.flatnonzero(shorter >= 0)
-    ctx, codes = spread_find(model.contexts[k - 3], shorter[ok], ("code",))
-    p[ok] *= np.where(ctx >= 0, 10.0 ** (-codes["code"] * STEP), 1.0)
-    found, codes = spread_find(model.levels[k - 3], model.key(shorter[ok], word[ok]), ("code",))
-    p[ok] = np.where(found >= 0, 10.0 ** (-codes["code"] * STEP), p[ok])
-    return p
-
-
 # ---- building -------------------------------------------------------------------------------
-def combine(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
-    counts = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
-    uniq, back = np.unique(keys, return_inverse=True)
-    return uniq, np.bincount(back, counts, len(uniq)).astype(np.int64)
+def training_texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    for piece in slices(iter([batch]), "text"):
+        train = ~held_out_mask(piece.column("doc_id").to_pylist(), HELD_OUT)
+        texts = [t for t, keep in zip(utf8_texts(piece), train) if keep]
+        if texts:
+            yield texts
 
 
-def count_keys(docs: DataFrame, of) -> DataFrame:
-    """(key, n): counts of ``of(hashes, place)`` over training texts, combined per Arrow batch before the shuffle."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(key, n): counts of word hashes over training texts, combined per Arrow batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for piece in slices(iter([batch]), "text"):
-                train = ~held_out_mask(piece.column("doc_id").to_pylist(), HELD_OUT)
-                texts = [t for t, keep in zip(utf8_texts(piece), train) if keep]
-                if texts:
-                    hashes, place, _ = tokens(texts)
-                    parts.append(np.unique(of(hashes, place), return_counts=True))
-            keys, counts = combine(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
+            parts = [np.unique(tokens(texts)[0], return_counts=True) for texts in training_texts(batch)]
+            if parts:
+                keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
     made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "key bigint, n bigint")
-    return made.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    return made.groupBy("key").agg(F.sum("n").alias("n"))
+
 
+def count_pairs(docs: DataFrame, model: Model, k: int, least: int) -> DataFrame:
+    """(parent, word, low, n): level-k n-grams whose prefix and suffix are in the level below, with the suffix's code."""
 
-def build_shards(rows: DataFrame, folder: str, n_rows: int, make) -> list[tuple[int, int, int, str]]:
-    """Write sorted ranges of ``rows`` (key, ...) as shards; ``make(columns)`` gives the arrays beside the keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in training_texts(batch):
+                hashes, place, _ = tokens(texts)
+                word, count, steps = walk(model, hashes, place)
+                last = steps[-1].place if steps else np.where(count >= least, word, -1)
+                at = np.flatnonzero((place >= k - 1) & (last >= 0))
+                at = at[last[at - 1] >= 0]
+                if len(at):
+                    one, back = unique_pairs(last[at - 1], word[at])
+                    low = steps[-1].code[at[one]] if steps else np.zeros(len(one))
+                    cols = [last[at[one] - 1], word[at[one]], low.astype(np.int16), np.bincount(back, minlength=len(one))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["parent", "word", "low", "n"])
+
+    made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "parent bigint, word bigint, low smallint, n bigint")
+    # Each task's own pairs are already combined, so the rows are dealt before they are counted.
+    counted = made.repartition("parent", "word").groupBy("parent", "word").agg(F.max("low").alias("low"), F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= least)
+
+
+def build_shards(rows: DataFrame, keys: list[str], folder: str, n_rows: int, make) -> list[tuple[int, int, int, int, str]]:
+    """Write ranges of ``rows``, sorted by ``keys``, as shards; ``make(columns)`` gives a shard's arrays."""
     if not n_rows:
         return []
     names = rows.columns
@@ -367,8 +399,8 @@ def build_shards(rows: DataFrame, folder: str, n_rows: int, make) -> list[tuple[
 
         def flush() -> None:
             cols = {c: np.concatenate([h[c] for h in held]) for c in names}
-            name = save_shard(folder, EliasFano.build(cols["key"]) | make(cols))
-            made.append((int(cols["key"][0]), len(cols["key"]), int(cols["children"].sum()) if "children" in cols else 0, name))
+            name = save_shard(folder, make(cols))
+            made.append((int(cols[keys[0]][0]), int(cols[keys[-1]][0]), len(cols[keys[0]]), int(cols["children"].sum()) if "children" in cols else 0, name))
 
         for batch in batches:
             held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names})
@@ -378,51 +410,56 @@ def build_shards(rows: DataFrame, folder: str, n_rows: int, make) -> list[tuple[
                 held, size = [], 0
         if size:
             flush()
-        cols = list(zip(*made)) or [[], [], [], []]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["first", "size", "children", "name"])
+        cols = list(zip(*made)) or [[], [], [], [], []]
+        types = (*[pa.int64()] * 4, pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["first", "word", "size", "children", "name"])
 
-    ranged = rows.repartitionByRange(max(1, -(-n_rows // SHARD_KEYS)), "key").sortWithinPartitions("key")
-    shards = materialise(ranged.mapInArrow(run, "first bigint, size bigint, children bigint, name string"), "lm-shards")
+    ranged = rows.repartitionByRange(max(1, -(-n_rows // SHARD_KEYS)), *keys).sortWithinPartitions(*keys)
+    shards = materialise(ranged.mapInArrow(run, "first bigint, word bigint, size bigint, children bigint, name string"), "lm-shards")
     return [tuple(r) for r in shards.collect()]
 
 
+def parent_counts(lower: Model, k: int, parent: np.ndarray) -> np.ndarray:
+    return (lower.levels[k - 3] if k > 2 else lower.words).at(parent, "count")
+
+
 def context_arrays(lower: Model, k: int, c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Back-off codes and Elias-Fano pointers of a run of level-k contexts."""
-    count = (lower.levels[k - 3] if k > 2 else lower.words).at(c["key"], "count")
     pointers = EliasFano.build(np.concatenate(([0], np.cumsum(c["children"]))).astype(np.int64))
-    return {"code": quantise(1.0 - c["mass"] / count)} | {f"pointer_{n}": a for n, a in pointers.items()}
+    code = quantise(1.0 - c["mass"] / parent_counts(lower, k, c["parent"]))
+    return EliasFano.build(c["parent"]) | {"code": code} | {f"pointer_{n}": a for n, a in pointers.items()}
 
 
 def level_arrays(lower: Model, contexts: Sharded, k: int, keep_counts: bool, c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Probability codes of a run of level-k n-grams; counts only where a next level will need them."""
-    parent, word = c["key"] // max(1, lower.v), c["key"] % max(1, lower.v)
-    count = (lower.levels[k - 3] if k > 2 else lower.words).at(parent, "count")
-    freed = 10.0 ** (-spread_find(contexts, parent, ("code",))[1]["code"] * STEP)
-    p = (c["n"] - DISCOUNT) / count + freed * lower_probability(lower, k, parent, word)
-    return {"code": quantise(p)} | ({"count": c["n"].astype(np.uint32)} if keep_counts else {})
-
-
-def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Model:
-    """The trie of all training documents (crc32 of the id as text not divisible by ``HELD_OUT``)."""
+    """Context-relative words and probability codes of a run of level-k n-grams; counts only where a next level will need them."""
+    parent, word = c["parent"], c["word"]
+    edge = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1])))
+    tops = word[np.concatenate((edge[1:], [len(word)])) - 1]
+    length = np.diff(np.concatenate((edge, [len(word)])))
+    relative = word + np.repeat(np.cumsum(tops) - tops, length)
+    freed = 10.0 ** (-np.repeat(contexts.find(parent[edge], "code")[1], length) * STEP)
+    below = lower.base(lower.words.at(word, "count")) if k == 2 else 10.0 ** (-c["low"] * STEP)
+    p = (c["n"] - DISCOUNT) / parent_counts(lower, k, parent) + freed * below
+    return EliasFano.build(relative) | {"code": quantise(p)} | ({"count": c["n"].astype(np.uint32)} if keep_counts else {})
+
+
+def train(docs: DataFrame, min_counts: tuple[int, ...] = MIN_COUNTS) -> Model:
+    """The trie of all training documents (crc32 of the id as text not divisible by ``HELD_OUT``), of order ``len(min_counts)``.
+
+    All words are kept; ``min_counts`` must not fall from one length to the next.
+    """
+    order = len(min_counts)
     folder = shared_path(docs.sparkSession, "lm")
-    counts = materialise(count_keys(docs, lambda hashes, place: hashes), "lm-words")
+    counts = materialise(count_words(docs), "lm-words")
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    model = Model(Sharded(folder, build_shards(counts, folder, total["v"], lambda c: {"count": c["n"]})), total["n"], total["v"])
+    words = build_shards(counts, ["key"], folder, total["v"], lambda c: EliasFano.build(c["key"]) | {"count": c["n"]})
+    model = Model(Sharded(folder, words), total["n"], total["v"])
     for k in range(2, order + 1):
-
-        def keys(hashes: np.ndarray, place: np.ndarray, lower: Model = model, k: int = k) -> np.ndarray:
-            word, count, steps = walk(lower, hashes, place)
-            last = steps[-1].place if steps else np.where(count >= min_count, word, -1)
-            at = np.flatnonzero((place >= k - 1) & (last >= 0))
-            at = at[last[at - 1] >= 0]
-            return lower.key(last[at - 1], word[at])
-
-        found = materialise(count_keys(docs, keys).filter(F.col("n") >= min_count), f"lm-level{k}")
-        by_context = found.groupBy(F.expr(f"key div {max(1, model.v)}").alias("key")).agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("mass"), F.count("*").alias("children"))
+        found = materialise(count_pairs(docs, model, k, min_counts[k - 1]), f"lm-level{k}")
+        by_context = found.groupBy("parent").agg(F.sum(F.col("n") - F.lit(DISCOUNT)).alias("mass"), F.count("*").alias("children"))
         by_context = materialise(by_context, f"lm-contexts{k}")
-        contexts = Sharded(folder, build_shards(by_context, folder, by_context.count(), lambda c, lower=model, k=k: context_arrays(lower, k, c)))
-        level = build_shards(found, folder, found.count(), lambda c, lower=model, ctx=contexts, k=k: level_arrays(lower, ctx, k, k < order, c))
+        contexts = Sharded(folder, build_shards(by_context, ["parent"], folder, by_context.count(), lambda c, lower=model, k=k: context_arrays(lower, k, c)))
+        level = build_shards(found, ["parent", "word"], folder, found.count(), lambda c, lower=model, ctx=contexts, k=k: level_arrays(lower, ctx, k, k < order, c))
         model = Model(model.words, model.n, model.v, [*model.levels, Sharded(folder, level)], [*model.contexts, contexts])
     return model
 

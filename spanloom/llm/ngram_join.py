@@ -294,7 +294,8 @@ def components(docs: DataFrame, nodes: DataFrame, freq: np.ndarray) -> DataFrame
             else:  # with the length, positional and (on fewer classes) suffix filters in the join itself
                 known = open_.drop("leader").join(nodes.select("node", "fold"), "node")
                 a, b = (known.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "comp", "fold")], F.col("node").alias(x)) for x in ("p", "q"))
-                near = F.least(F.col("n_p") - F.col("pos_p"), F.col("n_q") - F.col("pos_q")) + F.least("pos_p", "pos_q")
+                # A pair need only be met at its first common shingle, where nothing before it is common.
+                near = F.least(F.col("n_p") - F.col("pos_p"), F.col("n_q") - F.col("pos_q"))
                 apart = sum((F.bit_count(F.element_at("fold_p", k + 1).bitwiseXOR(F.element_at("fold_q", k + 1))) for k in range(FOLD_WORDS)), F.lit(0))
                 least = needed(F.col("n_p"), F.col("n_q"))
                 met = a.join(b, "token").filter((F.col("comp_p") < F.col("comp_q")) & long_enough(F.col("n_p"), F.col("n_q")) & (near >= least) & (apart <= F.col("n_p") + F.col("n_q") - 2 * least))

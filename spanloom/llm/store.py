@@ -22,6 +22,7 @@ null ids come first; an empty table gives empty tables; extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WordCache, Words, mix64, powers, shared_path, slices, table, utf8_texts, whole_text
+from spanloom.llm.common import RangeCache, Words, mix64, powers, ranges, shared_path, slices, table, utf8_texts, whole_text
 
 END_ID = 2
 WINDOW = 16
 CUT_MASK = 255
 MIN_CHUNK, MAX_CHUNK = 64, 2048
-CACHE_WORDS = 600_000
-WORDS_PER_CALL = 4_000
+CACHE_WORDS = 1_000_000
+WORDS_PER_CALL = 400
 RECIPE_FILE_TOKENS = 64_000_000
 _ID_HASH = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 1 << 16, dtype=np.uint64)
 
@@ -47,6 +48,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words whose pre-tokens are known from their form: letters of one case pair, then marks; each of both is one.
+PLAIN = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)[.,;:!?]*")
+
+
 class WordEncoder:
     """ids of texts by the tokenizers library, each distinct word encoded once while it is in the cache."""
 
@@ -60,20 +65,45 @@ class WordEncoder:
         self.literals = [t.content.encode().lower() for t in added]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
-        self.cache = WordCache(CACHE_WORDS)
-
-    def learn(self, keys: list[int], words: list[bytes]) -> None:
-        for at in range(0, len(words), WORDS_PER_CALL):
-            part = words[at : at + WORDS_PER_CALL]
-            texts = [w.decode("utf-8") for w in part]
-            code = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            # Offsets count the joined text's characters; a token belongs to the word it begins in.
-            begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            first = np.fromiter((o[0] for o in code.offsets), np.int64, len(code.offsets))
-            cut = np.searchsorted(first, begin)
-            packed, size = np.asarray(code.ids, self.type).tobytes(), self.type.itemsize
-            for key, a, b in zip(keys[at : at + WORDS_PER_CALL], (cut[:-1] * size).tolist(), (cut[1:] * size).tolist()):
-                self.cache.young[key] = packed[a:b]
+        self.cache = RangeCache(CACHE_WORDS, [self.type])
+
+    def _by_offsets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word): a token belongs to the word it begins in."""
+        code = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        first = np.fromiter((o[0] for o in code.offsets), np.int64, len(code.offsets))
+        return np.asarray(code.ids, self.type), np.diff(np.searchsorted(first, begin))
+
+    def _by_pieces(self, texts: list[str], pieces: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of known numbers of pre-tokens."""
+        code = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        of, upto = np.asarray(code.word_ids, np.int64), np.cumsum([0, *pieces])
+        if not len(of) or of[-1] + 1 != upto[-1]:
+            return self._by_offsets(texts)
+        return np.asarray(code.ids, self.type), np.diff(np.searchsorted(of, upto))
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of words in their order."""
+        texts = [w.decode("utf-8") for w in words]
+        found = [PLAIN.fullmatch(t) for t in texts]
+        plain = sorted((i for i, m in enumerate(found) if m), key=texts.__getitem__)  # like words touch the same merges
+        other = [i for i, m in enumerate(found) if not m]
+        lengths, ids = np.zeros(len(words), np.int64), []
+        for group in (plain, other):
+            for at in range(0, len(group), WORDS_PER_CALL):
+                part = group[at : at + WORDS_PER_CALL]
+                own = [texts[i] for i in part]
+                if group is plain:
+                    got = self._by_pieces(own, [(0 < found[i].end(1)) + (found[i].end(1) < len(texts[i])) for i in part])
+                else:
+                    got = self._by_offsets(own)
+                ids.append(got[0])
+                lengths[part] = got[1]
+        order = np.array(plain + other)
+        sizes = lengths[order]
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(sizes) - sizes
+        return lengths, np.concatenate(ids)[ranges(begin, lengths)]
 
     def literal_words(self, raw: bytes, w: Words) -> set[int]:
         """Words that hold an added token's literal in any case."""
@@ -99,19 +129,15 @@ class WordEncoder:
                 own_hash[i] = int.from_bytes(hashlib.blake2b(joined[a:b], digest_size=8).digest(), "little")
             raw = bytes(raw)
         uniq, at, back = np.unique(own_hash, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        if fresh := self.cache.missing(set(keys)):
-            start, end = w.start[at].tolist(), w.end[at].tolist()
-            new = [i for i, k in enumerate(keys) if k in fresh]
-            self.learn([keys[i] for i in new], [raw[start[i] : end[i]] for i in new])
-        pieces = list(map(self.cache.young.__getitem__, keys))
-        flat = np.frombuffer(b"".join(pieces), self.type)
-        length = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.type.itemsize
-        begin = np.cumsum(length) - length
+
+        def learn(which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            i = at[which]
+            return [self.learn([raw[a:b] for a, b in zip(w.start[i].tolist(), w.end[i].tolist())])]
+
+        [(begin, length, held)] = self.cache.get(uniq, learn)
         own = length[back]
-        upto = np.cumsum(own)
-        ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[back] - (upto - own), own)]
-        edge = np.concatenate(([0], upto))[w.first].tolist()
+        ids = held[ranges(begin[back], own)]
+        edge = np.concatenate(([0], np.cumsum(own)))[w.first].tolist()
         return [ids[a:b].tobytes() for a, b in zip(edge, edge[1:])]
 
 

@@ -33,20 +33,15 @@ def test_op8_added_tokens(spark, tmp_path):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows} == want and all(r.verified for r in rows)
 
 
-def test_op7_brute_force(spark, tmp_path):
-    """The registered query's score is that of a plain trigram model of all training n-grams, in codes of 1/32."""
-    rng, vocabulary = np.random.default_rng(5), [f"w{i}" for i in range(12)]
-    docs = {i: [str(w) for w in rng.choice(vocabulary, rng.integers(0, 40))] for i in range(60)}
-    docs[60] = ["w1", "never", "w2", "w3", "w1", "w2"]
-    held = {i for i in docs if zlib.crc32(str(i).encode()) % 10 == 0}
-    assert held and held != set(docs)
-    spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+def trigram_scores(docs, held, least):
+    """log10 probability of every document by a plain trigram model of n-grams with at least ``least`` occurrences, in codes of 1/32."""
     count, after = {}, {}
     for ws in ([*ws, None] for i, ws in docs.items() if i not in held):
         for k in (1, 2, 3):
             for i in range(len(ws) - k + 1):
                 gram = tuple(ws[i : i + k])
                 count[gram] = count.get(gram, 0) + 1
+    count = {g: n for g, n in count.items() if len(g) == 1 or n >= least}
     for gram, n in count.items():
         after.setdefault(gram[:-1], []).append(n)
     total, kinds = sum(after[()]), len(after[()])
@@ -65,11 +60,42 @@ def test_op7_brute_force(spark, tmp_path):
             return -code((n - 0.75) / count[before] + 10 ** -freed(before) * 10**lower)
         return lower - (freed(before) if before in after else 0)
 
-    rows = QUERIES["op7_lm_scoring"](spark, str(tmp_path)).collect()
-    assert {r.doc_id: r.held_out for r in rows} == {i: i in held for i in docs}
-    for r in rows:
-        ws = [*docs[r.doc_id], None]
-        assert abs(r.score - sum(log_p(tuple(ws[max(0, i - 2) : i]), w) for i, w in enumerate(ws))) < 1e-6
+    return {i: sum(log_p(tuple(full[max(0, j - 2) : j]), w) for j, w in enumerate(full)) for i, full in ((i, [*ws, None]) for i, ws in docs.items())}
+
+
+def test_op7_brute_force(spark, tmp_path, monkeypatch):
+    """The query's score, and that of a model that keeps all n-grams, equal a plain trigram model's; shards of few keys split contexts."""
+    from spanloom.llm import lm
+
+    monkeypatch.setattr(lm, "SHARD_KEYS", 23)
+    rng, vocabulary = np.random.default_rng(5), [f"w{i}" for i in range(12)]
+    docs = {i: [str(w) for w in rng.choice(vocabulary, rng.integers(0, 40))] for i in range(60)}
+    docs[60] = ["w1", "never", "w2", "w3", "w1", "w2"]
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 10 == 0}
+    assert held and held != set(docs)
+    spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for rows, least in ((QUERIES["op7_lm_scoring"](spark, str(tmp_path)).collect(), 2), (lm.score(table, lm.train(table, (1, 1, 1))).collect(), 1)):
+        want = trigram_scores(docs, held, least)
+        assert {r.doc_id: r.held_out for r in rows} == {i: i in held for i in docs}
+        assert all(abs(r.score - want[r.doc_id]) < 1e-6 for r in rows)
+
+
+def test_op7_pairs_beyond_64_bits():
+    from spanloom.llm.lm import unique_pairs
+
+    a, b = np.array([2**40, 5, 2**40, 5]), np.array([2**40, 7, 2**40, 2**41])
+    at, back = unique_pairs(a, b)
+    assert [(int(a[i]), int(b[i])) for i in at] == [(5, 7), (5, 2**41), (2**40, 2**40)] and back.tolist() == [2, 0, 2, 1]
+
+
+def test_word_hashes_do_not_collide_by_form():
+    """The Thue-Morse word over two letters and its complement have one polynomial hash modulo 2 ** 64; here they differ."""
+    from spanloom.llm.common import Words
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = (bytes(97 + (x ^ flip) for x in bits) for flip in (0, 1))
+    assert len(set(Words([a, b, a]).hash.tolist())) == 2 and len(set(Words([a[:20], a[:40], b[:40]]).hash.tolist())) == 3
 
 
 def test_op6_all_offsets(spark, tmp_path, monkeypatch):
