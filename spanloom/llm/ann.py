@@ -2,17 +2,21 @@
 
 Trees are fitted on a bounded sample (``SAMPLE`` rows with the least id hashes): a node's plane is the difference
 of two random points, cut at the median. Vectors get one more coordinate that lifts them to equal norm, so the
-largest inner product is the nearest point. Every row is indexed: it has one leaf per tree.
+largest inner product is the nearest point. Every row is indexed: it has one leaf per tree. Leaves hold about
+``LEAF`` rows, so trees grow deeper with the table, down to 2 ** ``DEPTH`` leaves, which the sample can still cut.
 
 A query ranks the leaves of all trees in one shared priority queue, by the summed squared margins of the planes
-it must cross, and visits leaves until they hold ``VISITS`` times the number of rows (rows of several trees count
-once per tree). The queue is evaluated in bulk: a tree has at most 2 ** ``DEPTH`` leaves. Leaves are cut into
-blocks of ``LEAF_BLOCK`` rows and queries into blocks of ``QUERY_BLOCK``, so a leaf full of equal vectors is spread
-over tasks. Each pair of blocks that meet is reranked exactly in double precision and gives its 20 best, and these
-are merged per query. Measured recall is in the README; it is checked against brute force in the tests.
+it must cross, and visits leaves until they hold a budget of rows (rows of several trees count once per tree). The
+budget is calibrated: for ``PROBES`` queries the true neighbours are found by one exact pass, and the queue says
+how many rows had to be visited before each turned up; the ``RECALL`` quantile of that is the budget. Vectors with near
+neighbours in clusters get a small one, whatever the table's size; vectors without any structure a large one.
+
+Leaves are cut into blocks of ``LEAF_BLOCK`` rows and queries into blocks of ``QUERY_BLOCK``, so a leaf full of equal
+vectors is spread over tasks. Each pair of blocks that meet is reranked exactly in double precision and gives its 20
+best, and these are merged per query. Measured recall is in the README; it is checked against brute force in the tests.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or whose length is not the most
-common one take no part; rows with equal vec_id count once as candidate and once as query; fewer candidates than 20
+common one take no part; of rows with equal vec_id the one with the least vector counts, once as candidate and once as query; fewer candidates than 20
 give fewer rows; ties go to the smaller vec_id; null ids take no part; an empty table gives an empty table.
 """
 
@@ -28,11 +32,14 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import materialise, table
 
 K = 20
-TREES = 8
-DEPTH = 6
-MIN_LEAF = 32
-SAMPLE = 20_000
-VISITS = 1.5
+TREES = 12
+DEPTH = 13
+LEAF = 128
+SAMPLE = 65_536
+SAMPLE_LEAF = 8
+PROBES = 96
+RECALL = 0.94
+PROBE_ROWS = 64
 LEAF_BLOCK = 4096
 QUERY_BLOCK = 16_384
 QUERY_EVERY = 20
@@ -108,49 +115,100 @@ def leaf_costs(tree: tuple[np.ndarray, np.ndarray], depth: int, queries: np.ndar
     return cost
 
 
-def nearest(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, trees: int = TREES, visits: float = VISITS) -> DataFrame:
+class Forest:
+    """Fitted trees and, once counted, the rows of each leaf."""
+
+    def __init__(self, points: np.ndarray, n: int, trees: int, top: float) -> None:
+        self.depth = max(0, int(np.log2(max(1.0, min(n / LEAF, len(points) / SAMPLE_LEAF, 2.0**DEPTH)))))
+        self.trees, self.top, self.n_leaves = fit_forest(points, trees, self.depth), top, 1 << self.depth
+        self.sizes = np.zeros(trees * self.n_leaves, np.int64)
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """Leaf of each row of ``x`` in every tree; leaves are numbered through all trees."""
+        x = lift(x, self.top)
+        return np.column_stack([leaves_of(t, self.depth, x) + i * self.n_leaves for i, t in enumerate(self.trees)])
+
+    def queue(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query: leaves in the order of the shared queue, and the rows that were visited before each."""
+        q = lift(q, None)
+        order = np.argsort(np.concatenate([leaf_costs(t, self.depth, q) for t in self.trees], axis=1), axis=1, kind="stable")
+        held = self.sizes[order]
+        return order, np.cumsum(held, axis=1) - held
+
+
+def exact_neighbours(indexed: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """(query, leaves): leaves of the ``k`` true neighbours of a few queries, by one pass over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids = b.column("vec_id").to_numpy()
+                s = queries @ matrix(b.column("embedding")).T
+                s[ids[None, :] == query_ids[:, None]] = -np.inf
+                best = np.argsort(-s, axis=1)[:, :k]
+                rows = best.ravel()
+                number = np.repeat(np.arange(len(queries)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(s[number, rows]), b.column("leaves").take(pa.array(rows))], ["query", "score", "leaves"])
+
+    found = indexed.mapInArrow(run, "query bigint, score double, leaves array<bigint>").filter("score > double('-inf')")
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query", "leaves")
+
+
+def calibrated(forest: Forest, indexed: DataFrame, query_every: int, k: int, recall: float) -> int:
+    """Rows to visit for the wanted recall, from ``PROBES`` queries with the least id hashes."""
+    asked = indexed.filter(F.col("vec_id") % query_every == 0).select("vec_id", "embedding", F.xxhash64("vec_id", F.lit(3)).alias("h")).orderBy("h", "vec_id").limit(PROBES).toArrow()
+    ids, q = asked.column("vec_id").to_numpy(), matrix(asked.column("embedding"))
+    truth = exact_neighbours(indexed, ids, q, k).toArrow()  # PROBES * k rows at most
+    if not truth.num_rows:
+        return 1
+    order, before = forest.queue(q)
+    place = np.argsort(order, axis=1, kind="stable")  # of each leaf in its query's queue
+    number, leaves = truth.column("query").to_numpy(), matrix(truth.column("leaves")).astype(np.int64)
+    needed = before[number[:, None], place[number[:, None], leaves]].min(axis=1)
+    return int(np.quantile(needed, recall, method="higher")) + 1
+
+
+def nearest(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): neighbours of rows whose vec_id is divisible by ``query_every`` among all rows."""
-    spark = vectors.sparkSession
-    rows = materialise(usable(vectors).dropDuplicates(["vec_id"]), "ann-vectors")
+    spark, kind = vectors.sparkSession, vectors.schema["embedding"].dataType.simpleString()
+    rows = usable(vectors).groupBy("vec_id").agg(F.min(F.struct("embedding", "norm2")).alias("v")).select("vec_id", "v.embedding", "v.norm2")
+    rows = materialise(rows, "ann-vectors")
     facts = rows.agg(F.count("*").alias("n"), F.max("norm2").alias("top"), F.count_if(F.col("vec_id") % query_every == 0).alias("queries")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not facts["queries"]:
         return spark.createDataFrame([], schema)
     sample = rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(SAMPLE).toArrow()
-    points = lift(matrix(sample.column("embedding")), facts["top"])
-    depth = max(0, min(DEPTH, int(np.log2(max(1, len(points) / MIN_LEAF)))))
-    forest, n_leaves, top = fit_forest(points, trees, depth), 1 << depth, facts["top"]
+    forest = Forest(lift(matrix(sample.column("embedding")), facts["top"]), facts["n"], trees, facts["top"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = lift(matrix(b.column("embedding")), top)
-                own = [leaves_of(t, depth, x) + i * n_leaves for i, t in enumerate(forest)]
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(list(np.column_stack(own)), pa.list_(pa.int64()))], ["vec_id", "embedding", "leaves"])
-
-    indexed = materialise(rows.select("vec_id", "embedding").mapInArrow(index, "vec_id bigint, embedding array<float>, leaves array<bigint>"), "ann-index")
-    sizes = np.zeros(trees * n_leaves, np.int64)  # the forest's leaves, a fixed number
-    for r in indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():
-        sizes[r["leaf"]] = r["count"]
-    blocks = np.maximum(1, -(-sizes // LEAF_BLOCK))
+                own = forest.leaves(matrix(b.column("embedding")))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(list(own), pa.list_(pa.int64()))], ["vec_id", "embedding", "leaves"])
+
+    indexed = materialise(rows.select("vec_id", "embedding").mapInArrow(index, f"vec_id bigint, embedding {kind}, leaves array<bigint>"), "ann-index")
+    for r in indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # trees * 2 ** DEPTH rows at most
+        forest.sizes[r["leaf"]] = r["count"]
+    budget = calibrated(forest, indexed, query_every, k, recall)
+    blocks = np.maximum(1, -(-forest.sizes // LEAF_BLOCK))
     query_blocks = -(-facts["queries"] // QUERY_BLOCK)
-    budget = visits * facts["n"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                q = lift(matrix(part.column("embedding")), None)
-                cost = np.concatenate([leaf_costs(t, depth, q) for t in forest], axis=1)
-                queue = np.argsort(cost, axis=1, kind="stable")
-                held = np.cumsum(sizes[queue], axis=1)
-                take = (held - sizes[queue] < budget) & (sizes[queue] > 0)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array([o[t] for o, t in zip(queue, take)], pa.list_(pa.int64()))], ["query_id", "query", "leaves"])
-
-    block_of = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), (F.col("leaf") + 1).cast("int"))
+            for at in range(0, b.num_rows, PROBE_ROWS):
+                part = b.slice(at, PROBE_ROWS)
+                order, before = forest.queue(matrix(part.column("embedding")))
+                take = (before < budget) & (forest.sizes[order] > 0)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array([o[t] for o, t in zip(order, take)], pa.list_(pa.int64()))], ["query_id", "query", "leaves"])
+
+    # Nearly all leaves are one block; the rest are few, as blocks hold many leaves' rows.
+    cut = {int(leaf): int(blocks[leaf]) for leaf in np.flatnonzero(blocks > 1)}
+    many = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]) if cut else None
+    block_of = F.lit(1) if many is None else F.coalesce(F.try_element_at(many, F.col("leaf").cast("int")), F.lit(1))
     held = indexed.select("vec_id", "embedding", F.explode("leaves").alias("leaf")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(9)), block_of))
     held = held.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = rows.filter(F.col("vec_id") % query_every == 0).select("vec_id", "embedding").mapInArrow(probe, "query_id bigint, query array<float>, leaves array<bigint>")
+    asked = rows.filter(F.col("vec_id") % query_every == 0).select("vec_id", "embedding").mapInArrow(probe, f"query_id bigint, query {kind}, leaves array<bigint>")
     asked = asked.select("query_id", "query", F.explode("leaves").alias("leaf"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), (block_of - 1).cast("bigint"))))
 

@@ -87,10 +87,11 @@ class Codec:
         self.ranks = read_ranks(ranks_path)
         self.find = regex.compile(pattern).findall
         self.byte_token = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        pairs = [(self.ranks[t[:i]] << _PAIR | self.ranks[t[i:]], k) for t, k in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        splits = ((self.ranks[t[:i]] << _PAIR | self.ranks[t[i:]], k) for t, k in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
+        pairs = np.fromiter(splits, np.dtype((np.int64, 2)))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
         self.db.execute("SET preserve_insertion_order = false")
-        self._load("merges", pa.table({"pair": pa.array([p[0] for p in pairs], pa.int64()), "merged": pa.array([p[1] for p in pairs], pa.int64())}))
+        self._load("merges", pa.table({"pair": np.ascontiguousarray(pairs[:, 0]), "merged": np.ascontiguousarray(pairs[:, 1])}))
         # Bytes travel as Latin-1 characters, so text aggregates serve for bytes.
         self._load("vocabulary", pa.table({"token": pa.array(list(self.ranks.values()), pa.int64()), "chars": [t.decode("latin-1") for t in self.ranks]}))
         self.cache = RangeCache(CACHE_WORDS, ["<u4", np.uint8])

@@ -216,6 +216,14 @@ class RangeCache:
         return [(begin[place], length[place], values) for begin, length, values in self.young[1]]
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -220,40 +220,40 @@ def bounded(per_source: DataFrame) -> DataFrame:
     return F.broadcast(per_source) if few else per_source
 
 
-def mix(docs: DataFrame, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_copies and mix_shards (shard of each copy)."""
+def placed(docs: DataFrame, share: float, shards: int, seed: int) -> DataFrame:
+    """(doc, doc_id, size, copies, shards, source_size, target) of every row; ``doc`` holds its own columns, whatever their names."""
     n = docs.count()
     n_blocks = max(1, min(MAX_BLOCKS, n // BLOCK_DOCS))
     sized = materialise(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
-    plan = bounded(mixing_plan(sized, n_blocks, share, shards, seed).select(F.struct("*").alias("mix_plan"), F.col("source").alias("mix_key")))
+    plan = bounded(mixing_plan(sized, n_blocks, share, shards, seed).select(F.struct("*").alias("plan"), F.col("source").alias("key")))
     _, place, doc_key = hash_keys(n_blocks, seed)
-    p = lambda name: F.col(f"mix_plan.{name}")
-    joined = docs.withColumn("mix_size", word_count()).withColumn("mix_place", place).withColumn("mix_doc", doc_key)
-    joined = joined.join(plan, F.col("source").eqNullSafe(F.col("mix_key")))
-    within = (F.col("mix_place") < p("cut_block")) | ((F.col("mix_place") == p("cut_block")) & p("last").isNotNull() & (F.struct(F.col("mix_size").alias("size"), F.col("mix_doc").alias("doc_key")) <= p("last")))
+    p = lambda name: F.col(f"plan.{name}")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", word_count().alias("size"), place.alias("block_key"), doc_key.alias("doc_key"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("key")))
+    within = (F.col("block_key") < p("cut_block")) | ((F.col("block_key") == p("cut_block")) & p("last").isNotNull() & (F.struct("size", "doc_key") <= p("last")))
     extra = F.when((p("rest") > 0) & (p("cut_block").isNull() | within), 1).otherwise(0)
-    copies = (p("copies") + extra).cast("int")
+    rows = rows.withColumn("copies", (p("copies") + extra).cast("int"))
 
     def shard(number: Column) -> Column:
-        before = F.filter(F.coalesce(p("shard_from"), F.array().cast("array<struct<pass:bigint,key:bigint,shard:int>>")), lambda e: (e["pass"] < number) | ((e["pass"] == number) & (e["key"] <= F.col("mix_place"))))
+        before = F.filter(F.coalesce(p("shard_from"), F.array().cast("array<struct<pass:bigint,key:bigint,shard:int>>")), lambda e: (e["pass"] < number) | ((e["pass"] == number) & (e["key"] <= F.col("block_key"))))
         return F.size(before)
 
-    passes = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(0), F.col("mix_copies") - 1)).otherwise(F.array().cast("array<int>"))
-    return (
-        joined.withColumn("mix_copies", copies)
-        .withColumn("mix_shards", F.transform(passes, shard))
-        .withColumn("mix_source_size", p("source_size"))
-        .withColumn("mix_target", p("target"))
-        .drop("mix_plan", "mix_key", "mix_place", "mix_doc")
-    )
+    passes = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
+    return rows.select("doc", "doc_id", "size", "copies", F.transform(passes, shard).alias("shards"), p("source_size").alias("source_size"), p("target").alias("target"))
+
+
+def mix(docs: DataFrame, share: float = SHARE, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """``docs`` with mix_size, mix_source_size, mix_target, mix_copies and mix_shards (shard of each copy), in place of columns so named."""
+    made = {f"mix_{c}": F.col(c) for c in ("size", "source_size", "target", "copies", "shards")}
+    kept = [F.col(f"doc.`{c}`") for c in docs.columns if c not in made]
+    return placed(docs, share, shards, seed).select(*kept, *[c.alias(name) for name, c in made.items()])
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mixture itself: ``docs``' columns, a document once per copy, by shard and shuffled inside each shard."""
-    taken = mix(docs, shards=shards, seed=seed)
-    rows = taken.select(*docs.columns, F.posexplode("mix_shards").alias("mix_pass", "mix_shard"))
-    key = F.xxhash64(F.lit(seed + 3), F.col("doc_id"), F.col("mix_pass"))
-    return rows.repartition(F.col("mix_shard"), F.pmod(key, F.lit(64))).sortWithinPartitions("mix_shard", key).select(*docs.columns)
+    rows = placed(docs, SHARE, shards, seed).select("doc", "doc_id", F.posexplode("shards").alias("pass", "shard"))
+    key = F.xxhash64(F.lit(seed + 3), F.col("doc_id"), F.col("pass"))
+    return rows.repartition(F.col("shard"), F.pmod(key, F.lit(64))).sortWithinPartitions("shard", key).select("doc.*")
 
 
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

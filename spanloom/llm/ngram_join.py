@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Words, materialise, mix64, powers, slices, table, utf8_texts, whole_text
+from spanloom.llm.common import Words, free_name, materialise, mix64, powers, slices, table, utf8_texts, whole_text
 
 N = 5
 PERCENT = 80
@@ -352,7 +352,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    numbered = kept.filter("doc_id is not null").withColumn("_row_of_id", F.row_number().over(own)).filter("_row_of_id = 1").drop("_row_of_id")
+    place = free_name(docs.columns, "place")
+    numbered = kept.filter("doc_id is not null").withColumn(place, F.row_number().over(own)).filter(F.col(place) == 1).drop(place)
     return numbered.unionByName(kept.filter("doc_id is null"))
 
 

@@ -1,9 +1,10 @@
 """Operator 2: personal data by candidate generators, boosted trees and calibrated thresholds, in built-in functions.
 
 Strict rules give base spans of email, ip, card and phone, which always stay. High-recall generators propose further
-spans that may overlap. Format and context features of each candidate (never the strict rule itself) feed gradient
-boosted trees, fitted on a bounded sample of candidates (``SAMPLE`` by hash) whose silver label says whether the strict
-rule holds. The trees become one SQL expression, so every candidate is scored inside its own row and no text is
+spans that may overlap: addresses with bracketed words for their signs, telephone numbers without a plus, any dotted
+quadruple, any long digit run. A candidate's silver label is evidence that no feature shows: an address is well formed once spelled out, octets
+are in range, check digits hold, a number has a country code or a cue word (telephone, call, ...) before it. Format and context features feed gradient
+boosted trees, fitted on a bounded sample of candidates (``SAMPLE`` by hash). The trees become one SQL expression, so every candidate is scored inside its own row and no text is
 shuffled. Per kind, the threshold is the least score bin from which on the silver precision over all candidates of the
 corpus reaches ``PRECISION``, above the first bin that is mostly wrong; candidates above it that overlap no base span are added, the best of overlapping ones first.
 
@@ -21,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialise, table, whole_text
+from spanloom.llm.common import free_name, materialise, table, whole_text
 from spanloom.llm.spans import any_case, count_kind, digest_text, matches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -32,14 +33,15 @@ BINS = 50
 NEAR = 24
 
 # A run is entered at its start, or where the last match ended: the same matches as without, in linear time.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # possessive: a repeated group that may give back is matched by recursion
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 RUN = r"[0-9][0-9\x20-]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE_EMAIL = r"[A-Za-z0-9._%+-]{1,64}+\x20?(?:[(\[]at[)\]]|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,8}"
 LOOSE_PHONE = r"[+(]?[0-9][\x20().0-9-]{5,30}[0-9]"
 OCTET = r"^0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
-CUES = "|".join(any_case(w) for w in ("tel", "phone", "call", "fax", "mobil", "mail", "contact", "card", "visa", "credit", "carte", "tarjeta", "karte", "addr", "host", "server", "ip"))
+PHONE_CUES = "|".join(any_case(w) for w in ("tel", "phone", "call", "fax", "mobil"))
+CUES = "|".join(any_case(w) for w in ("mail", "contact", "card", "visa", "credit", "carte", "tarjeta", "karte", "addr", "host", "server", "ip"))
 
 
 def digits_of(value: Column) -> Column:
@@ -83,22 +85,28 @@ def _kinded(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
 
+def spelled_out(value: Column) -> Column:
+    """An address with the bracketed words at and dot written as signs."""
+    return F.regexp_replace(F.regexp_replace(value, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+
+
 def candidate_spans(text: Column) -> Column:
-    """array<struct<kind, start, end, value, before, after, strict>> of the high-recall generators."""
+    """array<struct<kind, start, end, value, before, after, evident>> of the high-recall generators."""
     none = matches(F.lit(""), RUN)
     found = (
-        (F.when(text.rlike(r"@|[(\[]at[)\]]"), matches(text, LOOSE_EMAIL)).otherwise(none), lambda v: v.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")),
-        (matches(text, IP), is_ip),
-        (F.filter(runs(text), lambda m: (n_digits(m["value"]) >= 12) & (n_digits(m["value"]) <= 19)), luhn),
-        (F.when(text.rlike(r"[0-9][\x20().0-9-]{5,}[0-9]"), F.filter(matches(text, LOOSE_PHONE), lambda m: (n_digits(m["value"]) >= 7) & (n_digits(m["value"]) <= 15))).otherwise(none), lambda v: v.startswith("+") & (n_digits(v) >= 9)),
+        (F.when(text.rlike(r"@|[(\[]at[)\]]"), matches(text, LOOSE_EMAIL)).otherwise(none), lambda v, before: spelled_out(v).rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")),
+        (matches(text, IP), lambda v, before: is_ip(v)),
+        (F.filter(runs(text), lambda m: (n_digits(m["value"]) >= 12) & (n_digits(m["value"]) <= 19)), lambda v, before: luhn(v)),
+        (F.when(text.rlike(r"[0-9][\x20().0-9-]{5,}[0-9]"), F.filter(matches(text, LOOSE_PHONE), lambda m: (n_digits(m["value"]) >= 7) & (n_digits(m["value"]) <= 15))).otherwise(none), lambda v, before: (v.startswith("+") & (n_digits(v) >= 9)) | before.rlike(PHONE_CUES)),
     )
 
     def shaped(spans: Column, kind: int, rule) -> Column:
         def one(m: Column) -> Column:
             begin = F.greatest(m["start"] - NEAR, F.lit(0))
+            before = F.substring(text, (begin + 1).cast("int"), (m["start"] - begin).cast("int"))
             return F.struct(
                 F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
-                F.substring(text, (begin + 1).cast("int"), (m["start"] - begin).cast("int")).alias("before"), F.substring(text, (m["end"] + 1).cast("int"), F.lit(2)).alias("after"), rule(m["value"]).alias("strict"),
+                before.alias("before"), F.substring(text, (m["end"] + 1).cast("int"), F.lit(2)).alias("after"), rule(m["value"], before).alias("evident"),
             )
 
         return F.transform(spans, one)
@@ -144,7 +152,7 @@ class Scorer:
 
 def fit(docs: DataFrame) -> Scorer | None:
     """Trees from a bounded sample of candidates; thresholds from all candidates."""
-    found = docs.select(F.inline(candidate_spans(whole_text()))).select("kind", F.col("strict").cast("double").alias("label"), F.array(*features(F.struct("kind", "value", "before", "after"))).alias("x"), F.xxhash64("value", "before", "after").alias("h"))
+    found = docs.select(F.inline(candidate_spans(whole_text()))).select("kind", F.col("evident").cast("double").alias("label"), F.array(*features(F.struct("kind", "value", "before", "after"))).alias("x"), F.xxhash64("value", "before", "after").alias("h"))
     found = materialise(found, "pii-candidates")
     sample = found.orderBy("h", "kind").limit(SAMPLE)
     sample = materialise(sample.select("label", array_to_vector("x").alias("features")), "pii-sample").coalesce(4)
@@ -169,7 +177,8 @@ def fit(docs: DataFrame) -> Scorer | None:
 def added_spans(text: Column, base: Column, scorer: Scorer) -> Column:
     """Candidates at or above their kind's threshold that overlap neither a base span nor a better candidate."""
     limits = F.array(*[F.lit(t) for t in scorer.thresholds])
-    scored = F.transform(F.filter(candidate_spans(text), lambda c: ~c["strict"]), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.array(*features(c)).alias("x")))
+    apart = lambda c: ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    scored = F.transform(F.filter(candidate_spans(text), apart), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.array(*features(c)).alias("x")))
     scored = F.transform(scored, lambda c: F.struct((-scorer.probability(c["x"])).alias("order"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     good = F.array_sort(F.filter(scored, lambda c: -c["order"] >= F.element_at(limits, c["kind"] + 1)))
 
@@ -180,12 +189,12 @@ def added_spans(text: Column, base: Column, scorer: Scorer) -> Column:
     return F.aggregate(good, base, take, lambda acc: F.slice(acc, F.size(base) + 1, F.greatest(F.size(acc) - F.size(base), F.lit(0))))
 
 
-def find_pii(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
-    """``docs`` with pii_base and pii_added: array<struct<kind, start, end>>."""
-    rows = docs.withColumn("pii_base", base_spans(whole_text()))
+def find_pii(docs: DataFrame, scorer: Scorer | None, base: str = "pii_base", added: str = "pii_added") -> DataFrame:
+    """``docs`` with ``base`` and ``added``: array<struct<kind, start, end>>."""
+    rows = docs.withColumn(base, base_spans(whole_text()))
     if scorer is None:
-        return rows.withColumn("pii_added", F.slice("pii_base", 1, 0))
-    return rows.withColumn("pii_added", added_spans(whole_text(), F.col("pii_base"), scorer))
+        return rows.withColumn(added, F.slice(base, 1, 0))
+    return rows.withColumn(added, added_spans(whole_text(), F.col(base), scorer))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -204,11 +213,12 @@ def redact(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced and ``n_chars``, if there, brought up to date; null texts stay null."""
-    rows = find_pii(docs, scorer).withColumn("pii_spans", F.concat("pii_base", "pii_added"))
-    text = F.when(F.size("pii_spans") > 0, redact(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text"))
+    base, added, spans = (free_name(docs.columns, c) for c in ("pii_base", "pii_added", "pii_spans"))
+    rows = find_pii(docs, scorer, base, added).withColumn(spans, F.concat(base, added))
+    text = F.when(F.size(spans) > 0, redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

@@ -3,7 +3,7 @@
 Every text is scanned once with built-in regex functions for credential candidates: assignments, access
 keys, long hex runs, and (the method's own kind) long mixed tokens. Each candidate's value is hashed and
 the hashes are counted over the whole corpus by distinct repositories and owners. A value that several
-owners hold is a widely copied example; a value of one owner that looks random is live-looking. Base
+owners hold, or one owner in many repositories, is a widely copied example; a value of one owner in few repositories that looks random is live-looking. Base
 spans always stay; mixed tokens are reported only if they are live-looking and overlap no base span.
 
 Counting is two-level: occurrences are first reduced to distinct (hash, repository, owner), on the map side
@@ -30,6 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 MIXED = r"[A-Za-z0-9_-]{24,}"
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 4
+SALTS = 16
 
 
 def candidate_spans(text: Column) -> Column:
@@ -54,7 +56,7 @@ def looks_random(secret: Column) -> Column:
     return secret.rlike("[0-9]") & secret.rlike("[A-Za-z]") & (most * 2 <= F.length(secret))
 
 
-def scan_secrets(docs: DataFrame, repository: Column, owner: Column, copied_owners: int = COPIED_OWNERS) -> tuple[DataFrame, DataFrame]:
+def scan_secrets(docs: DataFrame, repository: Column, owner: Column, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
     """(per document: doc_id and spans with their verdict; per secret hash: repositories, owners, verdict)."""
     rows = docs.select("doc_id", repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), candidate_spans(whole_text()).alias("found"))
     hashed = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["secret"], 256).alias("hash"), looks_random(s["secret"]).alias("random")))
@@ -64,13 +66,16 @@ def scan_secrets(docs: DataFrame, repository: Column, owner: Column, copied_owne
     # Null repositories and owners count as one value each.
     value = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     counts = held.groupBy("hash").agg(F.count_distinct(value(F.col("repository"))).alias("repositories"), F.count_distinct(value(F.col("owner"))).alias("owners"), F.bool_or("random").alias("random"))
-    verdict = F.when(F.col("owners") >= copied_owners, "copied").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("shared")
+    verdict = F.when((F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories), "copied").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("shared")
     counts = counts.withColumn("verdict", verdict)
-    judged = seen.join(counts.select("hash", "verdict", "owners"), "hash")
-    judged = judged.groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end", "hash", "verdict", "owners")).alias("judged"))
+    # A widely copied value would send all its rows to one task: rows are salted, and its verdict is there once a salt.
+    salted = F.pmod(F.xxhash64("row_id"), F.lit(SALTS))
+    told = counts.select("hash", "verdict", "repositories", "owners", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    judged = seen.withColumn("salt", salted.cast("int")).join(told, ["hash", "salt"])
+    judged = judged.groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end", "hash", "verdict", "repositories", "owners")).alias("judged"))
     base = F.filter("judged", lambda s: s["kind"] < N_BASE)
     extra = F.filter("judged", lambda s: (s["kind"] >= N_BASE) & (s["verdict"] == "live") & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,hash:string,verdict:string,owners:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,hash:string,verdict:string,repositories:bigint,owners:bigint>>")
     out = rows.select("row_id", "doc_id").join(judged, "row_id", "left").withColumn("judged", F.coalesce("judged", none))
     return out.select("doc_id", F.array_sort(F.concat(base, extra)).alias("spans")), counts
 
@@ -80,11 +85,12 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found, _ = scan_secrets(docs, F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))), F.col("source"))
     base = F.filter("spans", lambda s: s["kind"] < N_BASE)
+    most = lambda c: F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).cast("long")
     live = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long")
     return found.select(
         "doc_id", count_kind(base, 0).alias("n_assign"), count_kind(base, 1).alias("n_access"), count_kind(base, 2).alias("n_hex"),
         F.sha2(digest_text(base, KINDS), 256).alias("base_sha256"), digest_text(F.col("spans"), KINDS).alias("spans"),
-        live("live").alias("n_live"), live("copied").alias("n_copied"),
+        live("live").alias("n_live"), live("copied").alias("n_copied"), most("owners").alias("most_owners"), most("repositories").alias("most_repositories"),
     )
 
 
@@ -107,12 +113,13 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
 m AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3),
 looks AS (SELECT *, regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]') AND
   2 * list_max(list_transform(list_distinct(string_split(secret, '')), lambda c: length(secret) - length(replace(secret, c, '')))) <= length(secret) AS random FROM m),
-counts AS (SELECT secret, count(DISTINCT coalesce('=' || owner, '')) AS owners, bool_or(random) AS random FROM looks GROUP BY secret),
-judged AS (SELECT l.*, CASE WHEN c.owners >= {COPIED_OWNERS} THEN 'copied' WHEN c.owners = 1 AND c.random THEN 'live' ELSE 'shared' END AS verdict FROM looks l JOIN counts c USING (secret)),
+counts AS (SELECT secret, count(DISTINCT coalesce('=' || owner, '')) AS owners, count(DISTINCT repo) AS repos, bool_or(random) AS random FROM looks GROUP BY secret),
+judged AS (SELECT l.*, c.owners, c.repos, CASE WHEN c.owners >= {COPIED_OWNERS} OR c.repos >= {COPIED_REPOSITORIES} THEN 'copied' WHEN c.owners = 1 AND c.random THEN 'live' ELSE 'shared' END AS verdict FROM looks l JOIN counts c USING (secret)),
 kept AS (SELECT *, ['assign', 'access', 'hex', 'mixed'][kind + 1] || ':' || start || ':' || stop AS s FROM judged j
   WHERE kind < 3 OR (verdict = 'live' AND NOT EXISTS (SELECT 1 FROM judged b WHERE b.rid = j.rid AND b.kind < 3 AND b.start < j.stop AND j.start < b.stop)))
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(s, ',' ORDER BY start, kind, stop) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, kind, stop), '') AS spans,
-  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied,
+  coalesce(max(owners), 0) AS most_owners, coalesce(max(repos), 0) AS most_repositories
 FROM d LEFT JOIN kept USING (rid) GROUP BY d.rid, d.doc_id
 """

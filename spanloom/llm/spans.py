@@ -17,22 +17,38 @@ def any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in word)
 
 
+CHUNK = 256
+
+
 def matches(text: Column, pattern: str, part: int = 0) -> Column:
-    """Leftmost non-overlapping matches; ``part`` is the group kept beside the whole match."""
+    """Leftmost non-overlapping matches; ``part`` is the group kept beside the whole match.
+
+    Running lengths are added up in chunks of ``CHUNK`` matches, as appending to an array copies it.
+    """
     empty = F.array().cast(FOUND)
     pieces = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(part)) if part else values
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(values)).alias("piece"), values.alias("value"), parts.alias("part"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["value"])
-        one = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["value"].alias("value"), x["part"].alias("part"))
-        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(chunk: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + F.length(x["piece"])
+            end = begin + F.length(x["value"])
+            one = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["value"].alias("value"), x["part"].alias("part"))
+            return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(values)).alias("piece"), values.alias("value"), parts.alias("part"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(empty)
+        return F.aggregate(chunk, F.struct(at.cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def all_of(rows: Column) -> Column:
+        def gather(acc: Column, x: Column) -> Column:
+            at = F.coalesce(F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(-1))["end"], F.lit(0))
+            return F.concat(acc, F.array(placed(F.slice(rows, x * CHUNK + 1, F.lit(CHUNK)), at)))
+
+        chunks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK)).cast("int"))
+        return F.flatten(F.aggregate(chunks, F.array().cast(f"array<{FOUND}>"), gather))
+
+    return F.when(~text.rlike(pattern), empty).otherwise(F.element_at(F.transform(F.array(rows), all_of), 1))
 
 
 def digest_text(spans: Column, kinds: tuple[str, ...]) -> Column:

@@ -169,3 +169,61 @@ def test_op9_long_words(spark):
     for r in rows:
         assert r.ids == tok.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded) == texts[r.doc_id].encode()
     assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(coded, bpe.default_ranks(), bpe.default_pattern()).collect()} == dict(enumerate(texts))
+
+
+def test_op2_added_spans(spark):
+    """Spelled-out addresses and numbers in the form of called ones are added and redacted; like digit runs of other forms are not."""
+    from spanloom.llm import pii
+
+    rng = np.random.default_rng(8)
+    number = lambda: "0{} {} {}".format(*rng.integers([100, 100, 1000], [999, 999, 9999]))
+    texts = [f"please call {number()} today" for _ in range(60)] + [f"write to name{i} [at] mail{i % 7} [dot] example for more" for i in range(60)]
+    texts += [f"order {rng.integers(10**6, 10**7)}-{rng.integers(10, 99)} was sent" for _ in range(120)] + [f"we have {number()} and no more"]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, pii_base string")
+    scorer = pii.fit(docs)
+    rows = {r.doc_id: r for r in pii.find_pii(docs.drop("pii_base"), scorer).collect()}
+    assert all(not r.pii_base for r in rows.values())
+    assert all([s.kind for s in rows[i].pii_added] == [0] for i in range(60, 120))
+    assert all([s.kind for s in rows[i].pii_added] == [3] for i in [*range(60), 240])
+    assert not any(rows[i].pii_added for i in range(120, 240))
+    clean = {r.doc_id: r for r in pii.redacted(docs, scorer).collect()}
+    assert clean[0].text == "please call <phone> today" and clean[60].text == "write to <email> for more" and clean[130].text == texts[130] and clean[0].pii_base == "mine"
+
+
+def test_op2_long_domains_and_many_matches(spark):
+    from spanloom.llm import pii
+    from pyspark.sql import functions as F
+
+    texts = ["x@" + "a." * 20000 + "b", "a@b.cc " * 30000, "1.2.3.4 " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(pii.base_spans(F.col("text")).alias("s")).collect()
+    assert [(s.kind, s.start, s.end) for s in rows[0].s] == [(0, 0, len(texts[0]))]
+    assert [(s.kind, s.start, s.end) for s in rows[1].s] == [(0, 7 * i, 7 * i + 6) for i in range(30000)]
+    assert [(s.kind, s.start, s.end) for s in rows[2].s] == [(1, 8 * i, 8 * i + 7) for i in range(3000)]
+
+
+def test_op1_many_repositories_of_one_owner(spark):
+    """A value that one owner holds in many repositories is copied; in one repository it is live, and its mixed token is reported."""
+    from pyspark.sql import functions as F
+    from spanloom.llm import secrets
+
+    token = lambda k: f"Ab3_{k}xYz90_QwErTy12345{k}Mn"
+    rows = [(i, f"see {token('c')} here", f"r{i}", "o") for i in range(5)] + [(9, f"see {token('l')} here", "r0", "o")]
+    found, counts = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, repo string, own string"), F.col("repo"), F.col("own"))
+    got = {r.doc_id: [s.verdict for s in r.spans] for r in found.collect()}
+    assert got == {**{i: [] for i in range(5)}, 9: ["live"]}
+    assert sorted((r.repositories, r.owners, r.verdict) for r in counts.collect()) == [(1, 1, "live"), (5, 1, "copied")]
+
+
+def test_op10_shards_are_disjoint_and_whole(spark):
+    """Every copy has one shard, shard sizes follow the tree's quotas, and columns named like the operator's own are kept."""
+    from spanloom.llm import mixing
+
+    rows = [(i, "abc"[i % 3 if i % 7 else 0], "w " * (1 + i % 5), "mine", i) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_size string, plan long")
+    taken = {r.doc_id: r for r in mixing.mix(docs, shards=4).collect()}
+    assert len(taken) == 4000 and all(len(r.mix_shards) == r.mix_copies and set(r.mix_shards) <= {0, 1, 2, 3} for r in taken.values())
+    mixed = mixing.mixed_documents(docs, shards=4).collect()
+    assert sorted(r.doc_id for r in mixed) == sorted(i for i, r in taken.items() for _ in range(r.mix_copies))
+    assert {r.mix_size for r in mixed} == {"mine"} and all(r.plan == r.doc_id for r in mixed)
+    sizes = [sum(r.mix_shards.count(k) for r in taken.values()) for k in range(4)]
+    assert min(sizes) > 0.8 * max(sizes)
