@@ -141,9 +141,16 @@ class Words:
 
     @property
     def hash(self) -> np.ndarray:
-        if not len(self.start):
-            return np.empty(0, np.uint64)
-        return mix64(np.add.reduceat(self._contributions(), self._word0) + self.length.astype(np.uint64))
+        return mix64(self._sums() + self.length.astype(np.uint64))
+
+    def _sums(self) -> np.ndarray:
+        return np.add.reduceat(self._contributions(), self._word0) if len(self.start) else np.empty(0, np.uint64)
+
+    def without_last(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of these words: the hash of all but the last byte, and the hash of the last byte as a word of its own."""
+        last = self._word0[which] + self.length[which] - 1
+        rest = mix64(self._sums()[which] - self._contributions()[last] + (self.length[which] - 1).astype(np.uint64))
+        return rest, mix64(_BYTE[self.raw[self._at[last]]] + np.uint64(1))
 
     def prefix_hash(self, k: int) -> np.ndarray:
         """Hash of each word's first ``k`` bytes; 0 where the word is not longer than that."""

@@ -36,9 +36,13 @@ END_ID = 2
 WINDOW = 16
 CUT_MASK = 255
 MIN_CHUNK, MAX_CHUNK = 64, 2048
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 3_000_000
+TEXT_BYTES = 3_000_000
 WORDS_PER_CALL = 400
 RECIPE_FILE_TOKENS = 64_000_000
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[ord("a") : ord("z") + 1] = True
 _ID_HASH = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 1 << 16, dtype=np.uint64)
 
 
@@ -128,16 +132,29 @@ class WordEncoder:
                 raw[a:b] = joined[a:b]
                 own_hash[i] = int.from_bytes(hashlib.blake2b(joined[a:b], digest_size=8).digest(), "little")
             raw = bytes(raw)
-        uniq, at, back = np.unique(own_hash, return_index=True, return_inverse=True)
+        # A mark behind a letter is a pre-token of its own, so "word." has the ids of "word", then those of ".".
+        end = np.frombuffer(raw, np.uint8)
+        cut = np.flatnonzero(w.length > 1)
+        cut = cut[_MARK[end[w.end[cut] - 1]] & _LETTER[end[w.end[cut] - 2]]]
+        cut = cut[~np.isin(cut, list(found))]
+        extra = np.zeros(len(own_hash), np.int64)
+        extra[cut] = 1
+        place = np.arange(len(own_hash)) + np.cumsum(extra) - extra
+        hashes, start, stop = (np.empty(len(own_hash) + len(cut), t) for t in (np.uint64, np.int64, np.int64))
+        hashes[place], start[place], stop[place] = own_hash, w.start, w.end
+        hashes[place[cut]], hashes[place[cut] + 1] = w.without_last(cut)
+        stop[place[cut]], start[place[cut] + 1], stop[place[cut] + 1] = w.end[cut] - 1, w.end[cut] - 1, w.end[cut]
+        first = np.concatenate((place, [len(hashes)]))[w.first]
+        uniq, at, back = np.unique(hashes, return_index=True, return_inverse=True)
 
         def learn(which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             i = at[which]
-            return [self.learn([raw[a:b] for a, b in zip(w.start[i].tolist(), w.end[i].tolist())])]
+            return [self.learn([raw[a:b] for a, b in zip(start[i].tolist(), stop[i].tolist())])]
 
         [(begin, length, held)] = self.cache.get(uniq, learn)
         own = length[back]
         ids = held[ranges(begin[back], own)]
-        edge = np.concatenate(([0], np.cumsum(own)))[w.first].tolist()
+        edge = np.concatenate(([0], np.cumsum(own)))[first].tolist()
         return [ids[a:b].tobytes() for a, b in zip(edge, edge[1:])]
 
 
@@ -243,7 +260,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         own, seen = encoder(tokenizer), set()
         end = np.asarray([end_id], own.type).tobytes()
         size = own.type.itemsize
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", TEXT_BYTES):
             ids_of = piece.column(0)
             chunks, recipes = [], []
             for i, packed in enumerate(own.encode(utf8_texts(piece))):

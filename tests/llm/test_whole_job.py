@@ -19,7 +19,7 @@ def test_op8_added_tokens(spark, tmp_path):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     texts = [
         "stop <|endoftext|> go", "stop <|ENDOFTEXT|> go", "<|EndOfText|> a<|endoftext|>b <|endoftext|>", "<|startoftext|><|endoftext|>x<|STARTOFTEXT|>", "<|endoftext|", "Stop STOP <|endoftext|>\n<|startoftext|>",
-        "<|endoftext|>" * 700, "A<|endoftext|>b a<|endoftext|>B",
+        "<|endoftext|>" * 700, "a<|endoftext|>b. x<|ENDOFTEXT|>c, It is. its. a. b! ab,, é. don't. <|endoftext|>.", "A<|endoftext|>b a<|endoftext|>B",
     ]
     tok = Tokenizer.from_file(path)
     want, start = {}, 0
