@@ -141,11 +141,12 @@ def phrase_hits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", phrase_hits(F.col("text"), PHRASES).alias("hits"))
 
 
-@query("stutters", f"SELECT conv_id, count(*) AS n FROM (SELECT conv_id, lower(regexp_replace(word, '[^a-zA-Z]', '', 'g')) AS w, lag(lower(regexp_replace(word, '[^a-zA-Z]', '', 'g'))) OVER k AS p FROM {WORDS} WINDOW k AS (PARTITION BY conv_id ORDER BY idx)) WHERE w = p AND w <> '' GROUP BY 1")
+@query("stutters", f"SELECT conv_id, count(*) AS n FROM (SELECT conv_id, w, lag(w) OVER k AS p, lag(w, 2) OVER k AS q FROM (SELECT conv_id, idx, trim(lower(word), '.,!?') AS w FROM {WORDS}) WINDOW k AS (PARTITION BY conv_id ORDER BY idx)) WHERE w = p AND w = q GROUP BY 1")
 def stutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a word stands three times running, marks around it aside."""
     w = Window.partitionBy("conv_id").orderBy("idx")
-    rows = words_of(table(spark, sf_dir, "conversations")).withColumn("w", F.lower(F.regexp_replace("word", "[^a-zA-Z]", "")))
-    return rows.withColumn("p", F.lag("w").over(w)).where("w = p AND w <> ''").groupBy("conv_id").agg(F.count("*").alias("n"))
+    rows = words_of(table(spark, sf_dir, "conversations")).withColumn("w", F.regexp_replace(F.lower("word"), r"^[.,!?]+|[.,!?]+$", ""))
+    return rows.select("conv_id", "w", F.lag("w").over(w).alias("p"), F.lag("w", 2).over(w).alias("q")).where("w = p AND w = q").groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -206,9 +207,12 @@ def grounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("nums").alias("n"), F.aggregate("nums", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("size"))
 
 
-@query("hashtags", "SELECT item_id, CASE WHEN length(h) BETWEEN 2 AND 30 THEN h END AS tag FROM (SELECT item_id, regexp_replace(substr(text, 1, 24), '[^\\p{L}\\p{N}_]', '', 'g') AS h FROM benchmark)")
+@query("hashtags", "SELECT doc_id, count(DISTINCT h) AS tags, count(*) FILTER (length(h) > 30) AS long, max(h) FILTER (length(h) BETWEEN 2 AND 30) AS last FROM (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), ' ')), '[^\\p{L}\\p{N}_]', '', 'g') AS h FROM documents) GROUP BY 1")
 def hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", hashtag(F.substring("text", 1, 24)).alias("tag"))
+    """Tags that every word of the whole texts would make: how many, how many are too long, and the last in order."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
+    h = words.select("doc_id", F.regexp_replace("w", r"[^\p{L}\p{N}_]", "").alias("h"), hashtag(F.col("w")).alias("tag"))
+    return h.groupBy("doc_id").agg(F.count_distinct("h").alias("tags"), F.count_if(F.length("h") > 30).alias("long"), F.max("tag").alias("last"))
 
 
 @query("vocab_tags", f"SELECT conv_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT conv_id, unnest({_TOK}) AS token FROM conversations) JOIN (SELECT * FROM (VALUES ('the', 'article'), ('la', 'article'), ('der', 'article'), ('and', 'link'), ('und', 'link'), ('et', 'link'), ('in', 'place'), ('to', 'place')) v(token, tag)) USING (token) GROUP BY 1")
