@@ -213,10 +213,14 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", F.col("shot").cast("long").alias("shot")).agg(F.count("*").alias("n"))
 
 
-@query("moving_median", f"SELECT user_id, i, round(median(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS x FROM {SERIES}")
+@query("moving_median", f"SELECT user_id, i, round(list_sort([coalesce(lag(x, 2) OVER k, first(x) OVER k), coalesce(lag(x) OVER k, first(x) OVER k), x, coalesce(lead(x) OVER k, last(x) OVER k), coalesce(lead(x, 2) OVER k, last(x) OVER k)])[3], 6) AS x FROM {SERIES} WINDOW k AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def moving_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("i").rowsBetween(-2, 2)
-    return series_of(table(spark, sf_dir, "events")).select("user_id", "i", F.round(F.percentile("x", F.lit(0.5)).over(w), 6).alias("x"))
+    """Median of five places; at the ends the first and last samples repeat."""
+    w = Window.partitionBy("user_id").orderBy("i")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = F.first("x").over(whole), F.last("x").over(whole)
+    near = F.array(*[F.coalesce(F.lag("x", k).over(w), first) for k in (2, 1)], F.col("x"), *[F.coalesce(F.lead("x", k).over(w), last) for k in (1, 2)])
+    return series_of(table(spark, sf_dir, "events")).select("user_id", "i", F.round(F.element_at(F.array_sort(near), 3), 6).alias("x"))
 
 
 @query("trailing_mean", f"SELECT user_id, i, round(avg(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS x FROM {SERIES}")

@@ -12,9 +12,8 @@ from spanloom.registry import query, table
 
 
 def moment_correlation(x: Column, y: Column) -> Column:
-    """Pearson's correlation as an aggregate; 0 for fewer than three rows or a constant side."""
-    top = F.avg(x * y) - F.avg(x) * F.avg(y)
-    return F.when(F.count("*") < 3, 0.0).otherwise(F.coalesce(F.try_divide(top, F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0)))
+    """Pearson's correlation as an aggregate of centred moments; 0 for fewer than three rows or a constant side."""
+    return F.when((F.count("*") < 3) | (F.stddev_pop(x) * F.stddev_pop(y) == 0), 0.0).otherwise(F.coalesce(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), F.lit(0.0)))
 
 
 def with_performance(samples: DataFrame) -> DataFrame:
@@ -29,15 +28,20 @@ def unpivot(rows: DataFrame, keep: list[str], metrics: list[str]) -> DataFrame:
     return rows.unpivot(keep, metrics, "metric", "value").where("value IS NOT NULL")
 
 
-def updated_weight(weight: Column, r: Column, n: Column, rate: float, least: int) -> Column:
-    """A weight moved by its correlation, at most ``rate`` of itself, kept in 0..5; too few samples leave it."""
-    return F.when(n < least, weight).otherwise(F.least(F.greatest(weight * (1 + rate * F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))), F.lit(0.0)), F.lit(5.0)))
+def updated_weight(weight: Column, r: Column, n: Column, rate: float = 0.15, most: float = 0.2, least: int = 20) -> Column:
+    """A weight moved towards weight * (1 + r) by ``rate``, r shrunk for few samples, by ``most`` of itself at most; below ``least`` samples it stays."""
+    target = weight * (1 + r * F.greatest(F.lit(0.0), 1 - 1.5 / F.sqrt(n)))
+    step = weight + rate * (target - weight)
+    return F.when(n < least, weight).otherwise(F.least(F.greatest(step, weight * (1 - most)), weight * (1 + most)))
 
 
 SAMPLES = "(SELECT d.doc_id, d.lang, d.source, d.n_chars::DOUBLE AS views, l.quality::DOUBLE AS like_rate, (d.doc_id % 97)::DOUBLE AS m_id, l.toxic::DOUBLE AS m_toxic, (d.n_chars % 1000)::DOUBLE AS m_tail FROM documents d JOIN labels l USING (doc_id))"
 PERF = f"(SELECT s.*, 0.8::DOUBLE * ((views - mv) / sv) + 0.2::DOUBLE * ((like_rate - ml) / sl) AS perf FROM {SAMPLES} s, (SELECT avg(views) AS mv, coalesce(nullif(stddev_pop(views), 0), 1) AS sv, avg(like_rate) AS ml, coalesce(nullif(stddev_pop(like_rate), 0), 1) AS sl FROM {SAMPLES}))"
 LONG = f"(UNPIVOT (SELECT doc_id, perf, m_id, m_toxic, m_tail FROM {PERF}) ON m_id, m_toxic, m_tail INTO NAME metric VALUE value)"
 R = "CASE WHEN count(*) < 3 OR stddev_pop(value) * stddev_pop(perf) = 0 THEN 0 ELSE (avg(value * perf) - avg(value) * avg(perf)) / (stddev_pop(value) * stddev_pop(perf)) END"
+#: Samples of at least two days, by their age of doc_id % 90 days.
+MATURE = "doc_id % 90 >= 2"
+LONG_MATURE = LONG.replace(SAMPLES, f"(SELECT * FROM {SAMPLES} WHERE {MATURE})")
 METRICS = ["m_id", "m_toxic", "m_tail"]
 
 
@@ -47,8 +51,8 @@ def samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", number("n_chars").alias("views"), number("quality").alias("like_rate"), number("doc_id % 97").alias("m_id"), number("toxic").alias("m_toxic"), number("n_chars % 1000").alias("m_tail"))
 
 
-def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unpivot(with_performance(samples_of(spark, sf_dir)), ["doc_id", "perf"], METRICS)
+def correlations(samples: DataFrame) -> DataFrame:
+    rows = unpivot(with_performance(samples), ["doc_id", "perf"], METRICS)
     return rows.groupBy("metric").agg(F.count("*").alias("n"), moment_correlation(F.col("value"), F.col("perf")).alias("r"))
 
 
@@ -59,18 +63,21 @@ def zscore_perf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pearson_by_metric", f"SELECT metric, count(*) AS n, round({R}, 6) AS r FROM {LONG} GROUP BY 1")
 def pearson_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlations(spark, sf_dir).select("metric", "n", F.round("r", 6).alias("r"))
+    return correlations(samples_of(spark, sf_dir)).select("metric", "n", F.round("r", 6).alias("r"))
 
 
-@query("weight_update", f"SELECT metric, round(CASE WHEN count(*) < 20 THEN 1.0 ELSE least(greatest(1 + 0.3::DOUBLE * ({R}), 0), 5) END, 6) AS weight FROM {LONG} GROUP BY 1")
+@query("weight_update", f"WITH w AS (SELECT metric, CASE WHEN count(*) < 20 THEN 1.0::DOUBLE ELSE least(greatest(1 + 0.15::DOUBLE * ({R}) * greatest(0, 1 - 1.5::DOUBLE / sqrt(count(*))), 0.8), 1.2) END AS w FROM {LONG_MATURE} GROUP BY 1) SELECT metric, round(w * count(*) OVER () / sum(w) OVER (), 4) AS weight FROM w")
 def weight_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlations(spark, sf_dir).select("metric", F.round(updated_weight(F.lit(1.0), F.col("r"), F.col("n"), 0.3, 20), 6).alias("weight"))
+    """Weights of one each, moved by what mature samples say, then brought back to their total."""
+    moved = correlations(samples_of(spark, sf_dir).where(MATURE)).select("metric", updated_weight(F.lit(1.0), F.col("r"), F.col("n")).alias("w"))
+    total = moved.agg(F.sum("w").alias("total"), F.count("*").alias("mass"))
+    return moved.join(F.broadcast(total)).select("metric", F.round(F.col("w") * F.col("mass") / F.col("total"), 4).alias("weight"))
 
 
 @query(
     "insights",
     f"""SELECT dimension, level, n, round(effect, 6) AS effect FROM (SELECT dimension, level, count(*) AS n, avg(perf) - (SELECT avg(perf) FROM {PERF}) AS effect FROM
-    (SELECT 'lang' AS dimension, lang AS level, perf FROM {PERF} UNION ALL SELECT 'source', source, perf FROM {PERF}) GROUP BY 1, 2) WHERE n >= 3 AND abs(effect) >= 0.01 ORDER BY abs(effect) DESC, dimension, level LIMIT 12""",
+    (SELECT 'lang' AS dimension, lang AS level, perf FROM {PERF} UNION ALL SELECT 'source', source, perf FROM {PERF}) GROUP BY 1, 2) WHERE n >= 3 AND abs(effect) >= 0.25 ORDER BY abs(effect) DESC, dimension, level LIMIT 12""",
 )
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels whose mean performance differs from the mean of all, the strongest first: a top-12 report."""
@@ -78,4 +85,4 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = unpivot(rows, ["perf"], ["lang", "source"]).withColumnsRenamed({"metric": "dimension", "value": "level"})
     means = long.groupBy("dimension", "level").agg(F.count("*").alias("n"), F.avg("perf").alias("mean"))
     found = means.join(F.broadcast(rows.agg(F.avg("perf").alias("all")))).withColumn("effect", F.col("mean") - F.col("all"))
-    return found.where("n >= 3 AND abs(effect) >= 0.01").orderBy(F.desc(F.abs("effect")), "dimension", "level").limit(12).select("dimension", "level", "n", F.round("effect", 6).alias("effect"))
+    return found.where("n >= 3 AND abs(effect) >= 0.25").orderBy(F.desc(F.abs("effect")), "dimension", "level").limit(12).select("dimension", "level", "n", F.round("effect", 6).alias("effect"))

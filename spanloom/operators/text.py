@@ -60,10 +60,21 @@ def numbers_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")))
 
 
+#: Forms of secrets in logs; a group is what stays before the stars.
+SECRET_FORMS = (
+    r"ya29\.[0-9A-Za-z\-_]+",
+    r"1//[0-9A-Za-z\-_]{20,}",
+    r"AIza[0-9A-Za-z\-_]{35}",
+    r"GOCSPX-[0-9A-Za-z\-_]+",
+    r"""(?i)("?(?:access_token|refresh_token|client_secret|api_key|password|token)"?\s*[:=]\s*"?)[^\s",&]+""",
+    r"(?i)(authorization:\s*bearer\s+)[^\s]+",
+)
+
+
 def redact_secrets(text: Column) -> Column:
-    """Values of secret-like assignments and keys replaced, their names kept."""
-    for p in (r"(?i)((?:password|secret|token|api_?key)\s*[:=]\s*[\"']?)[^\s\"']+", r"(AKIA)[A-Z0-9]{12,}", r"(?i)(bearer\s+)[a-z0-9._-]{8,}"):
-        text = F.regexp_replace(text, p, "$1***")
+    """Secrets replaced by stars, the names before them kept."""
+    for p in SECRET_FORMS:
+        text = F.regexp_replace(text, p, "$1***" if p.startswith("(?i)(") else "***")
     return text
 
 
@@ -151,7 +162,7 @@ def stutters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "redaction",
-    """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)((?:password|secret|token|api_?key)\\s*[:=]\\s*["'']?)[^\\s"'']+', '\\1***', 'g'), '(AKIA)[A-Z0-9]{12,}', '\\1***', 'g'), '(?i)(bearer\\s+)[a-z0-9._-]{8,}', '\\1***', 'g')) AS digest FROM documents""",
+    "SELECT doc_id, md5(" + "regexp_replace(" * len(SECRET_FORMS) + "text" + "".join(f", '{p}', '{chr(92)}1***', 'g')" if p.startswith("(?i)(") else f", '{p}', '***', 'g')" for p in SECRET_FORMS) + ") AS digest FROM documents",
 )
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(redact_secrets(F.col("text"))).alias("digest"))

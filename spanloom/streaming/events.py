@@ -62,5 +62,5 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_dedupe", "SELECT event_type, user_id, count(DISTINCT date_trunc('hour', ts)) AS hours FROM events GROUP BY 1, 2")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events coalesced to one per key and hour before they are counted."""
-    keyed = event_stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts")).dropDuplicates(["event_type", "user_id", "hour"])
+    keyed = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").withColumn("hour", F.date_trunc("hour", "ts")).dropDuplicatesWithinWatermark(["event_type", "user_id", "hour"])
     return drained(keyed.select("event_type", "user_id", "hour"), "dedupe").groupBy("event_type", "user_id").agg(F.count("*").alias("hours"))
