@@ -20,8 +20,10 @@ SLICE_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or, in local mode alone, a local one where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or f"file://{os.path.join(tempfile.gettempdir(), 'spanloom-shared')}"
 
 
