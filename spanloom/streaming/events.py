@@ -16,8 +16,11 @@ from spanloom.registry import query, table
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'spanloom-streams')}"
+    """A new folder below ``spark.checkpoint.dir``; a local one only in local mode and where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or f"file://{os.path.join(tempfile.gettempdir(), 'spanloom-streams')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
