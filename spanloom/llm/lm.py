@@ -54,6 +54,19 @@ _SELECT = np.zeros((256, 8), np.uint8)
 for _v in range(256):
     for _k, _bit in enumerate([b for b in range(8) if _v >> b & 1]):
         _SELECT[_v, _k] = _bit
+_SELECT = _SELECT.ravel()
+_PAIRS, _NIBBLES, _HALVES, _ONES, _TOPS = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
+_U = [np.uint64(k) for k in range(9)]
+
+
+def select_bit(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the set bit number ``k``, counted from 0, of each 64-bit word: all eight bytes are counted at once."""
+    upto = x - ((x >> _U[1]) & _PAIRS)
+    upto = (upto & _NIBBLES) + ((upto >> _U[2]) & _NIBBLES)
+    upto = ((upto + (upto >> _U[4])) & _HALVES) * _ONES  # byte i: set bits in bytes 0 .. i
+    shift = np.bitwise_count(((k * _ONES | _TOPS) - upto) & _TOPS).astype(np.uint64) << _U[3]
+    left = k - (((upto << _U[8]) >> shift) & np.uint64(255))
+    return (shift + _SELECT.take((((x >> shift) & np.uint64(255)) << _U[3] | left).astype(np.int64))).astype(np.int64)
 
 
 class EliasFano:
@@ -61,7 +74,11 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.n, self.base, self.top, self.bits = (int(x) for x in arrays["meta"])
-        self.low, self.high, self.zeros = arrays["low"], arrays["high"], arrays["zeros"]
+        self.width = -(-self.bits // 8)
+        self.high, self.zeros, self.ones = np.asarray(arrays["high"]), np.asarray(arrays["zeros"]), None
+        # Lowest bits: little-endian numbers of ``width`` bytes, each read with the bytes behind it and masked.
+        self.low = np.ndarray(self.n, "<u8", np.asarray(arrays["low"]), strides=(self.width,)) if self.width else None
+        self.mask = np.uint64((1 << self.bits) - 1)
 
     @staticmethod
     def build(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -76,34 +93,26 @@ class EliasFano:
         unary[high + np.arange(n)] = 1
         words = np.packbits(unary, bitorder="little").view("<u8")
         zeros = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))))
-        return {"meta": np.array([n, base, top, bits], np.int64), "low": np.ascontiguousarray(low), "high": words, "zeros": zeros.astype(np.uint32 if zeros[-1] < 1 << 32 else np.int64)}
+        return {
+            "meta": np.array([n, base, top, bits], np.int64), "low": np.concatenate((low.ravel(), np.zeros(8, np.uint8))), "high": words,
+            "zeros": zeros.astype(np.uint32 if zeros[-1] < 1 << 32 else np.int64),
+        }
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Position of the one or zero number ``k``, counted from 0."""
-        if ones:
-            edge = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
-            word = np.searchsorted(edge, k, side="right") - 1
-            left = k - edge[word]
-            bytes_ = self.high[word].astype("<u8")[:, None].view(np.uint8)
-        else:
-            word = np.searchsorted(self.zeros, k, side="right") - 1
-            left = k - self.zeros[word].astype(np.int64)
-            bytes_ = (~self.high[word]).astype("<u8")[:, None].view(np.uint8)
-        upto = np.cumsum(np.bitwise_count(bytes_), axis=1, dtype=np.int64)
-        at = (upto <= left[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        left = left - np.where(at > 0, upto[rows, np.maximum(at - 1, 0)], 0)
-        return word * 64 + at * 8 + _SELECT[bytes_[rows, at], left]
+        if ones and self.ones is None:
+            self.ones = (np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros).astype(self.zeros.dtype)
+        edge = self.ones if ones else self.zeros
+        word = np.searchsorted(edge, k.astype(edge.dtype), side="right") - 1
+        bits = self.high.take(word)
+        return word * 64 + select_bit(bits if ones else ~bits, (k - edge.take(word)).astype(np.uint64))
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Elements at the places ``i``."""
-        return self.base + (((self._select(i, True) - i) << self.bits) | self._low(i))
+        return self.base + (((self._select(i, True) - i) << self.bits) | self._low(i).astype(np.int64))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(i), 8), np.uint8)
-        if self.low.shape[1]:
-            out[:, : self.low.shape[1]] = self.low[i]
-        return out.view("<u8")[:, 0].astype(np.int64)
+        return self.low[i] & self.mask if self.width else np.zeros(len(i), np.uint64)
 
     def within(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Place of ``x`` among the elements first .. last - 1; -1 where its successor there is another value."""
@@ -113,7 +122,7 @@ class EliasFano:
             return place
         y = (x[at] - self.base).astype(np.int64)
         h = y >> self.bits
-        want = y & ((1 << self.bits) - 1)
+        want = y.astype(np.uint64) & self.mask
         hi = self._select(h, False) - h
         lo = np.zeros(len(h), np.int64)
         some = h > 0
@@ -145,16 +154,16 @@ def save_shard(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return name
 
 
-_OPEN: dict[str, dict[str, np.ndarray]] = {}
+_OPEN: dict[str, dict] = {}
 
 
-def open_shard(folder: str, name: str) -> dict[str, np.ndarray]:
+def open_shard(folder: str, name: str) -> dict:
     """A shard's arrays, mapped into memory; from a store without local paths, read. At most ``OPEN_SHARDS`` stay open."""
     at = f"{folder}/{name}"
     if at not in _OPEN:
         store, base = fs.FileSystem.from_uri(at if "://" in at or at.startswith("/") else f"file:{at}")
         if isinstance(store, fs.LocalFileSystem):
-            arrays = {f[:-4]: np.load(f"{base}/{f}", mmap_mode="r") for f in os.listdir(base) if f.endswith(".npy")}
+            arrays = {f[:-4]: np.asarray(np.load(f"{base}/{f}", mmap_mode="r")) for f in os.listdir(base) if f.endswith(".npy")}
         else:
             arrays = {}
             for info in store.get_file_info(fs.FileSelector(base)):
@@ -179,9 +188,16 @@ class Sharded:
         self.child_starts = np.cumsum([0, *(s[3] for s in self.shards)], dtype=np.int64)
         self.firsts = np.array([s[0] for s in self.shards], np.int64)
 
-    def arrays(self, k: int) -> dict[str, np.ndarray]:
+    def arrays(self, k: int) -> dict:
         return open_shard(self.folder, self.shards[k][4])
 
+    def sequence(self, k: int, prefix: str = "") -> EliasFano:
+        """A shard's sequence; made once for as long as the shard is open."""
+        arrays = self.arrays(k)
+        if (name := f"{prefix}sequence") not in arrays:
+            arrays[name] = EliasFano({n: arrays[prefix + n] for n in ("meta", "low", "high", "zeros")})
+        return arrays[name]
+
     def shard_of(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, place, side="right") - 1
 
@@ -193,7 +209,7 @@ class Sharded:
             a, b = cut[k], cut[k + 1]
             if a < b:
                 arrays = self.arrays(k)
-                ef = EliasFano(arrays)
+                ef = self.sequence(k)
                 at = ef.within(x[a:b], np.zeros(b - a, np.int64), np.full(b - a, ef.n))
                 same = at >= 0
                 place[a:b][same] = at[same] + self.starts[k]
@@ -214,8 +230,7 @@ class Sharded:
         of = self.shard_of(place)
         for k in np.unique(of).tolist():
             own = of == k
-            arrays = self.arrays(k)
-            pointers = EliasFano({n: arrays[f"pointer_{n}"] for n in ("meta", "low", "high", "zeros")})
+            pointers = self.sequence(k, "pointer_")
             i = place[own] - self.starts[k]
             first[own] = self.child_starts[k] + pointers.access(i)
             last[own] = self.child_starts[k] + pointers.access(i + 1)
@@ -227,7 +242,7 @@ class Sharded:
         for k in np.unique(of).tolist():
             own = np.flatnonzero((of == k) & (first > self.starts[k]))
             if len(own):
-                out[own] = EliasFano(self.arrays(k)).access(first[own] - self.starts[k] - 1)
+                out[own] = self.sequence(k).access(first[own] - self.starts[k] - 1)
         return out
 
     def search(self, first: np.ndarray, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +255,7 @@ class Sharded:
             own = np.flatnonzero((of <= k) & (to >= k))
             arrays, start = self.arrays(k), self.starts[k]
             base = np.where(of[own] == k, before[own], 0)
-            at = EliasFano(arrays).within(base + word[own], np.maximum(first[own] - start, 0), np.minimum(last[own], self.starts[k + 1]) - start)
+            at = self.sequence(k).within(base + word[own], np.maximum(first[own] - start, 0), np.minimum(last[own], self.starts[k + 1]) - start)
             hit = at >= 0
             place[own[hit]], code[own[hit]] = at[hit] + start, arrays["code"][at[hit]]
         return place, code
@@ -252,12 +267,12 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of one of each distinct pair, sorted by pair; number of each pair's place among them). ``a`` and ``b`` are not negative."""
-    if not len(a) or (int(a.max()) + 1) * (int(b.max()) + 1) < 1 << 63:
-        key = a * np.int64(b.max() + 1 if len(b) else 1) + b
-        _, at, back = np.unique(key, return_index=True, return_inverse=True)
-        return at, back
-    order = np.lexsort((b, a))
-    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    if not len(a):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    width = int(b.max()) + 1
+    order = np.argsort(a * np.int64(width) + b) if (int(a.max()) + 1) * width < 1 << 63 else np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     back = np.empty(len(a), np.int64)
     back[order] = np.cumsum(new) - 1
     return order[new], back
