@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanloom.llm import secrets
+from spanloom.llm.align import op11_tokenizer_alignment
 from spanloom.llm.ann import op5_nearest_neighbours
 from spanloom.llm.bpe import op9_byte_bpe
 from spanloom.llm.lm import op7_lm_scoring
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_content_store": op8_content_store,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing_sources": op10_mixing_sources,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {"op1_secret_scans": secrets.ORACLE}
