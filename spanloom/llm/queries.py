@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from spanloom.llm import secrets
+from spanloom.llm import manifest, secrets
 from spanloom.llm.align import op11_tokenizer_alignment
 from spanloom.llm.ann import op5_nearest_neighbours
 from spanloom.llm.bpe import op9_byte_bpe
 from spanloom.llm.lm import op7_lm_scoring
+from spanloom.llm.manifest import op13_merkle_manifest
 from spanloom.llm.media import op6_media_columns
 from spanloom.llm.mixing import op10_mixing_sources
 from spanloom.llm.ngram_join import op4_ngram_jaccard_join
+from spanloom.llm.pack import op12_best_fit_packing
 from spanloom.llm.pii import op2_pii
 from spanloom.llm.secrets import op1_secret_scans
 from spanloom.llm.store import op8_content_store
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing_sources": op10_mixing_sources,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_scans": secrets.ORACLE}
+ORACLES: dict[str, str] = {"op1_secret_scans": secrets.ORACLE, "op13_merkle_manifest": manifest.ORACLE}
