@@ -1,17 +1,18 @@
 """Ranking and selection: span enumeration, weighted scores, greedy suppression, text duplicates.
 
 Spans are enumerated inside runs without long gaps, and on time buckets as wide as the longest span, so the range join
-is an equi-join whose groups do not grow with a video's length. Greedy suppression picks one best span per group and
-round: every round is an aggregation with map-side combine, so no group is collected into one task.
+is an equi-join whose groups do not grow with a video's length. Greedy suppression is one ordered pass a group whose state
+is the chosen spans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.folds import ordered_fold
 from spanloom.operators.intervals import MONO, mono_intervals_of
 from spanloom.operators.text import shingles, tokens
 from spanloom.registry import query, table
@@ -49,24 +50,30 @@ def overlap_share(a: Column, b: Column, c: Column, d: Column) -> Column:
 def suppress(spans: DataFrame, key: str, k: int, limit: float) -> DataFrame:
     """Greedy choice of k spans per group: best score first, each overlapping no chosen one by more than ``limit``.
 
-    Ties go to the earlier start, then the earlier end. ``spans`` has (key, a, b, score).
+    Ties go to the earlier start, then the earlier end. ``spans`` has (key, a, b, score). One pass over each group in the order of
+    scores: the state is the chosen spans, at most k, so the plan does not grow with k.
     """
-    rest, chosen = spans.select(key, "a", "b", "score"), None
-    for place in range(1, k + 1):
-        best = rest.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("a").alias("c"), F.col("b").alias("d"))).alias("best"))
-        pick = best.select(key, F.lit(place).alias("place"), F.col("best.c").alias("a"), F.col("best.d").alias("b"), (-F.col("best.s")).alias("score"))
-        chosen = pick if chosen is None else chosen.unionByName(pick)
-        if place < k:
-            rest = rest.join(best, key).where(overlap_share(F.col("a"), F.col("b"), F.col("best.c"), F.col("best.d")) <= limit).drop("best")
-    return chosen
+    rows = spans.select(key, "a", "b", "score").where("score IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL")
+
+    def choose(found: Iterator[tuple]) -> Iterator[tuple]:
+        chosen: list[tuple[float, float]] = []
+        for group, a, b, score in found:
+            if all(max(min(b, d) - max(a, c), 0.0) / max(min(b - a, d - c), 0.01) <= limit for c, d in chosen):
+                chosen.append((a, b))
+                yield group, len(chosen), a, b, score
+                if len(chosen) == k:
+                    return
+
+    types = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
+    return ordered_fold(rows, [key], [F.desc("score"), "a", "b"], f"{key} {types[key]}, place int, a {types['a']}, b {types['b']}, score {types['score']}", choose)
 
 
 def suppress_sql(spans: str, key: str, k: int, limit: float) -> str:
     """The same rounds as a chain of DuckDB common tables."""
-    parts = [f"r1 AS (SELECT {key}, a, b, score FROM {spans})"]
+    parts = [f"r1 AS MATERIALIZED (SELECT {key}, a, b, score FROM {spans})"]
     for place in range(1, k + 1):
-        parts.append(f"p{place} AS (SELECT {key}, {place} AS place, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, a, b) AS n FROM r{place}) WHERE n = 1)")
-        parts.append(f"r{place + 1} AS (SELECT r.* FROM r{place} r JOIN p{place} p USING ({key}) WHERE greatest(least(r.b, p.b) - greatest(r.a, p.a), 0) / greatest(least(r.b - r.a, p.b - p.a), 0.01) <= {limit})")
+        parts.append(f"p{place} AS MATERIALIZED (SELECT {key}, {place} AS place, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, a, b) AS n FROM r{place}) WHERE n = 1)")
+        parts.append(f"r{place + 1} AS MATERIALIZED (SELECT r.* FROM r{place} r JOIN p{place} p USING ({key}) WHERE greatest(least(r.b, p.b) - greatest(r.a, p.a), 0) / greatest(least(r.b - r.a, p.b - p.a), 0.01) <= {limit})")
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM p{p}" for p in range(1, k + 1))
 
 
@@ -90,6 +97,12 @@ def nms_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress(event_spans(spark, sf_dir).withColumn("score", F.round(F.col("b") - F.col("a"), 3)), "user_id", 3, 0.45)
 
 
+@query("nms_top12", f"SELECT user_id, place, a, b, score FROM ({suppress_sql(f'(SELECT user_id, a, b, round(b - a, 3) AS score FROM {_SPANS})', 'user_id', 12, 0.45)})")
+def nms_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default number of clips: twelve spans that overlap little."""
+    return suppress(event_spans(spark, sf_dir).withColumn("score", F.round(F.col("b") - F.col("a"), 3)), "user_id", 12, 0.45)
+
+
 @query(
     "weight_normalise",
     "SELECT event_type, round(w * count(*) OVER () / sum(w) OVER (), 4) AS weight FROM (SELECT event_type, avg(value) AS w FROM events GROUP BY 1)",
