@@ -17,99 +17,27 @@ repeated rows are leaves each; a group of one leaf is its own root; an empty tab
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.common import materialise, table
+from spanloom.llm.merkle import climb, complete, height, partition_facts
 
 FIRST, ROUND = 12, 10
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<l:string,r:string>>"
 
 
-def digest(*parts: str) -> str:
-    return hashlib.sha256("".join(parts).encode()).hexdigest()
-
-
-def height(total: int) -> int:
-    """Levels above the leaves of a tree of ``total`` leaves."""
-    return max(total - 1, 0).bit_length()
-
-
-def nodes_at(total: int, level: int) -> int:
-    return (total - 1 >> level) + 1
-
-
 def leaf_digest(values: dict[str, Column]) -> Column:
     """H of the row's fields in their order: ``-`` for null, else UTF-8 byte count, colon and value."""
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string")), F.lit("-")) for v in values.values()]), 256)
 
 
 # ---- one tree a group -----------------------------------------------------------------------------
-def climb(level: int, low: int, digests: list[str], total: int, stop: int) -> tuple[list, list, list]:
-    """Completes what it can of nodes ``low``.. of a level, up to level ``stop``.
-
-    Gives (ragged or top nodes as (level, index, digest), each start node's path entries, each start node's last place among them).
-    """
-    n = len(digests)
-    paths: list[list] = [[] for _ in range(n)]
-    ends: list[tuple[int, int]] = [(0, 0)] * n
-    members = [(k, k + 1) for k in range(n)]  # start nodes below each node still climbing
-    out = []
-
-    def leave(k: int) -> None:
-        out.append((level, low + k, digests[k]))
-        for m in range(*members[k]):
-            ends[m] = (level, low + k)
-
-    while digests:
-        count = nodes_at(total, level)
-        if level == stop or count == 1:
-            for k in range(len(digests)):
-                leave(k)
-            break
-        first, last = low % 2, len(digests)
-        if first:
-            leave(0)
-        if last > first and (low + last) % 2 and low + last != count:
-            last -= 1
-            leave(last)
-        up, of = [], []
-        for k in range(first, last, 2):
-            a, b = digests[k], digests[k + 1] if k + 1 < last else ""
-            up.append(digest(a, b))
-            of.append((members[k][0], members[k + 1 if b else k][1]))
-            for m in range(*members[k]):
-                paths[m].append(("", b))
-            if b:
-                for m in range(*members[k + 1]):
-                    paths[m].append((a, ""))
-        low, digests, members, level = (low + 1) // 2, up, of, level + 1
-    return out, paths, ends
-
-
-def partition_facts(rows: list[tuple]) -> dict[int, tuple[int, int, int]]:
-    """Of each partition: leaves of its first group before it, and in all of its first and its last group. ``rows``: one a partition."""
-    facts, carried = {}, 0
-    rows = sorted(rows)
-    for k, (part, first, n_first, last, n_last, whole) in enumerate(rows):
-        before = carried if k and rows[k - 1][3] == first else 0
-        carried = before + n_first if whole else n_last
-        facts[part] = [before, before + n_first, carried]
-    for k in range(len(rows) - 2, -1, -1):  # what follows in later partitions
-        if rows[k][3] == rows[k + 1][1]:
-            facts[rows[k][0]][2] = facts[rows[k + 1][0]][1]
-            if rows[k][5]:
-                facts[rows[k][0]][1] = facts[rows[k][0]][2]
-    return {p: tuple(f) for p, f in facts.items()}
-
-
 def trees(leaves: DataFrame, group: str, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(leaves, node paths, roots) of one tree a value of ``group`` over ``leaves``, whose column ``digest`` has the leaves' digests.
 
@@ -167,48 +95,23 @@ def trees(leaves: DataFrame, group: str, order: list[str]) -> tuple[DataFrame, D
     schema = T.StructType([T.StructField("kind", T.StringType()), *[T.StructField(f.name, f.dataType) for f in leaves.schema], T.StructField("path", path_type), *whole])
     built = materialise(spark.createDataFrame(ordered.mapPartitionsWithIndex(build), schema, verifySchema=False), "merkle", partition_by=["kind"])
     nodes = built.where("kind = 'node'").select("node_group", "level", "idx", "node_digest", "total")
-    paths, roots = finish_upper(nodes, tallest)
+    paths, roots = finish_upper(nodes, tallest, parts)
     return built.where("kind = 'leaf'").select(*names, "path", "level", "idx"), paths, roots
 
 
-def completion(to: int):
-    """Function over the nodes below one coordinate of height ``to``: their path entries up to it, and the node there (or the root below it)."""
-
-    def complete(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(frame["level"].tolist(), frame["idx"].tolist(), frame["node_digest"].tolist()))
-        total, own_top, g = int(frame["total"].iloc[0]), int(frame["top"].iloc[0]), frame["node_group"].iloc[0]
-        stop, lowest = min(to, own_top), rows[0][0]
-        levels: list[dict[int, str]] = [{} for _ in range(stop - lowest + 1)]
-        for lv, i, d in rows:
-            levels[lv - lowest][i] = d
-        entry: list[dict[int, tuple[str, str]]] = [{} for _ in levels]
-        for here, up, beside in zip(levels, levels[1:], entry):
-            for i in sorted({i >> 1 for i in here}):
-                a, b = here[2 * i], here.get(2 * i + 1, "")
-                up[i] = digest(a, b)
-                beside[2 * i] = ("", b)
-                if b:
-                    beside[2 * i + 1] = (a, "")
-        out = [("path", g, lv, i, None, total, own_top, [entry[k - lowest][i >> (k - lv)] for k in range(lv, stop)], stop, i >> (stop - lv)) for lv, i, _ in rows]
-        [(end, root)] = levels[-1].items()
-        out.append(("node", g, stop, end, root, total, own_top, None, None, None))
-        return pd.DataFrame(out, columns=["kind", "node_group", "level", "idx", "node_digest", "total", "top", "seg", "to_level", "to_idx"])
-
-    return complete
-
-
-def finish_upper(nodes: DataFrame, tallest: int) -> tuple[DataFrame, DataFrame]:
+def finish_upper(nodes: DataFrame, tallest: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Completes ragged nodes by rounds of shuffles by coordinate; (paths from each node to its root, roots)."""
-    group_type = nodes.schema["node_group"].dataType.simpleString()
+    spark, group_type = nodes.sparkSession, nodes.schema["node_group"].dataType.simpleString()
     top = F.length(F.conv((F.greatest(F.col("total") - 1, F.lit(0))).cast("string"), 10, 2)) * (F.col("total") > 1).cast("int")
     nodes = nodes.withColumn("top", top)
     fields = f"node_group {group_type}, level int, idx bigint, node_digest string, total bigint, top int"
     done, segments, to = [nodes.where("level = top")], [], FIRST
     rest = nodes.where("level < top")
     while tallest:
-        now = rest.where(F.col("level") < to).withColumn("at", F.expr(f"shiftright(idx, {to} - level)"))
-        made = now.groupBy("node_group", "at").applyInPandas(completion(to), f"kind string, {fields}, seg {PATH}, to_level int, to_idx bigint")
-        made = materialise(made, "merkle-round", partition_by=["kind"])
+        below = rest.where(F.col("level") < to).rdd.map(lambda r, h=to: ((r[0], r[2] >> (h - r[1])), (r[1], r[2], r[3], r[4], r[5])))
+        done_here = below.groupByKey(parts).flatMap(lambda x, h=to: complete(x[0][0], x[1], h))
+        schema = f"kind string, {fields}, seg {PATH}, to_level int, to_idx bigint"
+        made = materialise(spark.createDataFrame(done_here, T.StructType.fromDDL(schema), verifySchema=False), "merkle-round", partition_by=["kind"])
         segments.append(made.where("kind = 'path'").select("node_group", "level", "idx", "seg", "to_level", "to_idx"))
         up = made.where("kind = 'node'").select(*nodes.columns)
         done.append(up.where("level = top"))
