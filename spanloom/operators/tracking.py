@@ -320,23 +320,24 @@ def contiguous_labels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_hashes(left: DataFrame, right: DataFrame, most: int = 10, blocks: int = 4, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of ``left`` (..., f) and ``right`` (..., g) whose 64-bit hashes differ in ``most`` bits at most, and agree in the columns ``on``.
 
-    Of ``blocks`` equal blocks one differs in at most ``most // blocks`` bits: the left side probes each block's value with up to so many
+    Of ``blocks`` blocks one differs in at most ``most // blocks`` bits: the left side probes each block's value with up to so many
     bits flipped, and meets the right side by (block, value). A pair is kept at its first such block, so none comes twice.
     """
-    width, radius = 64 // blocks, most // blocks
-    flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
-    part = lambda c, k: F.shiftrightunsigned(c, k * width).bitwiseAND((1 << width) - 1)
-    probes = left.withColumn("_block", F.explode(F.array(*map(F.lit, range(blocks)))))
-    value = F.expr(f"shiftrightunsigned(f, _block * {width}) & {(1 << width) - 1}L")
-    probes = probes.withColumn("_value", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: x.bitwiseXOR(value))))
-    stored = right.withColumn("_there", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("g"), k).alias("v")) for k in range(blocks)])))
-    stored = stored.select(*right.columns, F.col("_there.k").alias("_block"), F.col("_there.v").alias("_value"))
+    edge, radius = [64 * k // blocks for k in range(blocks + 1)], most // blocks
+    part = lambda c, k: F.shiftrightunsigned(c, edge[k]).bitwiseAND((1 << (edge[k + 1] - edge[k])) - 1)
+    near = []
+    for k in range(blocks):
+        flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(edge[k + 1] - edge[k]), r)]
+        block, value = F.lit(k).alias("_block"), part(F.col("f"), k)
+        near.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(block, x.bitwiseXOR(value).alias("_value"))))  # noqa: B023
+    probes = left.select(*left.columns, F.inline(F.flatten(F.array(*near))))
+    stored = right.select(*right.columns, F.inline(F.array(*[F.struct(F.lit(k).alias("_block"), part(F.col("g"), k).alias("_value")) for k in range(blocks)])))
     apart = F.col("f").bitwiseXOR(F.col("g"))
     earlier = [(F.bit_count(part(apart, k)) <= radius) & (F.col("_block") > k) for k in range(blocks - 1)]
     first = F.lit(True)
     for e in earlier:
         first = first & ~e
-    met = probes.join(stored, [*on, "_block", "_value"])
+    met = probes.join(stored.hint("merge"), [*on, "_block", "_value"])  # both sides are larger than their plans tell
     return met.where((F.bit_count(apart) <= most) & first).drop("_block", "_value")
 
 
@@ -348,7 +349,7 @@ def fingerprint_cross(prints: DataFrame, others: DataFrame) -> DataFrame:
     n = prints.groupBy("id").agg(F.count("*").alias("n_a"))
     m = others.groupBy(F.col("id").alias("other")).agg(F.count("*").alias("n_b"))
     left = prints.select("id", "i", "f", F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("shift")).withColumn("j", F.col("i") + F.col("shift"))
-    met = near_hashes(left, others.select(F.col("id").alias("other"), F.col("i").alias("j"), F.col("f").alias("g")), on=("j",)).where("id <> other")
+    met = near_hashes(left, others.select(F.col("id").alias("other"), F.col("i").alias("j"), F.col("f").alias("g")), blocks=11, on=("j",)).where("id <> other")
     votes = met.join(n, "id").join(m, "other").where(F.col("i") < F.least("n_a", "n_b")).groupBy("id", "other", "shift", "n_a", "n_b").agg(F.count("*").alias("votes"))
     least = F.least("n_a", "n_b")
     places = F.least(least, F.col("n_b") - F.col("shift")) - F.greatest(F.lit(0), -F.col("shift"))

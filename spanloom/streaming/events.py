@@ -1,6 +1,9 @@
-"""Streaming: event-time windows with a watermark and latest state per key, run to the end of what is there.
+"""Streaming: event-time windows with a watermark, sessions, interval joins, throttles and latest state per key.
 
-Results go to a Parquet sink in the shared folder with its own checkpoint, so a restarted query goes on where it was.
+A stream is run to the end of what is there and stops; its sink and its checkpoint lie in one folder. Called with the folder of an
+earlier run, a query goes on where that one ended (``drained(..., folder=)``); without one it begins anew in a new folder. Late rows
+are those behind the watermark, an hour behind the latest time that earlier batches held: windows that it has passed are closed, and rows
+that belong to them are dropped. State leaves with the watermark, but for ``stream_latest``, whose state is one row a user.
 """
 
 from __future__ import annotations
@@ -8,7 +11,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +35,13 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that the stream gives for the input of now, written and read back; in update mode the last batch of a key counts."""
+def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """All that the stream has given, written and read back; in update mode the last batch of a key counts.
+
+    With ``folder`` the stream goes on from the checkpoint there, and what earlier runs have given stands beside the new rows.
+    """
     spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -42,6 +50,29 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
+def in_rounds(blocks: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append") -> DataFrame:
+    """What ``build`` gives for rows that arrive block by block: each block is one batch of a run that goes on from the run before."""
+    spark = blocks[0].sparkSession
+    folder = shared_folder(spark, name)
+    for block in blocks:
+        block.write.mode("append").parquet(f"{folder}/in")
+        found = drained(build(spark.readStream.schema(block.schema).parquet(f"{folder}/in")), name, mode, folder)
+    return found
+
+
+def arrivals(spark: SparkSession, sf_dir: str, late: bool) -> list[DataFrame]:
+    """Events in four blocks of eight days as they arrive; if ``late``, every fiftieth row comes a block after its own."""
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    block = F.least(F.lit(3), F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 8))
+    block = F.least(F.lit(3), block + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)) if late else block
+    return [rows.where(block == k) for k in range(4)]
+
+
+#: The same blocks, and the watermark that holds in each.
+BLOCKS = """(SELECT *, least(3, date_diff('day', DATE '2024-01-01', ts::DATE) // 8 + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) AS block FROM events)"""
+MARKS = f"(SELECT block, coalesce(max(latest) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR, TIMESTAMP '1970-01-01') AS mark FROM (SELECT block, max(ts) AS latest FROM {BLOCKS} GROUP BY 1))"
+
+
 @query(
     "stream_tumbling",
     """SELECT day, event_type, n, total FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2)
@@ -67,3 +98,90 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events coalesced to one per key and hour before they are counted."""
     keyed = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").withColumn("hour", F.date_trunc("hour", "ts")).dropDuplicatesWithinWatermark(["event_type", "user_id", "hour"])
     return drained(keyed.select("event_type", "user_id", "hour"), "dedupe").groupBy("event_type", "user_id").agg(F.count("*").alias("hours"))
+
+
+@query(
+    "stream_session",
+    f"""WITH kept AS (SELECT e.* FROM {BLOCKS} e JOIN {MARKS} USING (block) WHERE ts + INTERVAL 6 HOUR > mark),
+    parts AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM kept))
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM parts GROUP BY user_id, part HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user with breaks of six hours, over four batches; rows that come eight days late are dropped."""
+
+    def sessions(stream: DataFrame) -> DataFrame:
+        found = stream.withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n"))
+        return found.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+
+    found = in_rounds(arrivals(spark, sf_dir, late=True), sessions, "session")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(
+    "stream_join",
+    """SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 12 HOUR""",
+)
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views with the purchases of the same user in the next twelve hours: two streams, whose state the watermarks bound, over four batches."""
+
+    def joined(stream: DataFrame) -> DataFrame:
+        views = stream.where("event_type = 'view'").select(F.col("user_id").alias("viewer"), F.col("event_id").alias("view_id"), F.col("ts").alias("seen")).withWatermark("seen", "1 hour")
+        bought = stream.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("paid")).withWatermark("paid", "1 hour")
+        return views.join(bought, F.expr("viewer = user_id AND paid BETWEEN seen AND seen + INTERVAL 12 HOURS")).select("view_id", "purchase_id")
+
+    return in_rounds(arrivals(spark, sf_dir, late=False), joined, "join").select("view_id", "purchase_id")
+
+
+def throttled(stream: DataFrame, key: str, key_type: str, seconds: int) -> DataFrame:
+    """(key, event_id, ts): a key's events that are at least ``seconds`` behind the last one let through.
+
+    The state is the time of that one; a timer of event time removes it once the watermark is past the interval.
+    """
+    wait = seconds * 1_000_000
+
+    def step(key_values: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        last = state.get[0] if state.exists else None
+        passed = []
+        for event, us in zip(rows["event_id"], rows["us"]):
+            if last is None or us - last >= wait:
+                passed.append((key_values[0], event, us))
+                last = us
+        state.update((int(last),))
+        state.setTimeoutTimestamp(max((last + wait) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(passed, columns=[key, "event_id", "us"])
+
+    rows = stream.withWatermark("ts", "1 hour").select(key, "event_id", "ts", F.unix_micros("ts").alias("us"))
+    made = rows.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, event_id bigint, us bigint", "last bigint", "append", "EventTimeTimeout")
+    return made.select(key, "event_id", F.timestamp_micros("us").alias("ts"))
+
+
+@query(
+    "stream_throttle",
+    """WITH RECURSIVE passed(user_id, ts) AS (SELECT user_id, min(ts) FROM events GROUP BY 1
+    UNION ALL SELECT p.user_id, min(e.ts) FROM passed p JOIN events e ON e.user_id = p.user_id AND e.ts >= p.ts + INTERVAL 1 DAY GROUP BY p.user_id, p.ts)
+    SELECT user_id, min(event_id) AS event_id, ts FROM passed JOIN events USING (user_id, ts) GROUP BY 1, 3""",
+)
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user at most once a day, over four batches."""
+    found = in_rounds(arrivals(spark, sf_dir, late=False), lambda s: throttled(s, "user_id", "bigint", 86_400), "throttle")
+    return found.select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(
+    "stream_progress",
+    f"""SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM {BLOCKS} e JOIN {MARKS} USING (block) WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR > mark
+    GROUP BY 1, 2 HAVING date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and hour, written once the hour is closed, over four batches with late rows."""
+
+    def last(stream: DataFrame) -> DataFrame:
+        found = stream.withWatermark("ts", "1 hour").groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.max(F.struct("ts", "event_id")).alias("last"), F.count("*").alias("n"))
+        return found.select("user_id", F.col("w.start").alias("hour"), F.col("last.event_id").alias("event_id"), "n")
+
+    found = in_rounds(arrivals(spark, sf_dir, late=True), last, "progress")
+    return found.select("user_id", F.col("hour").cast("timestamp_ntz").alias("hour"), "event_id", "n")
