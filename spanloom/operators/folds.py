@@ -97,10 +97,10 @@ def raw_words_of(conversations: DataFrame) -> DataFrame:
     rows = tokens.withColumn("idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "pos")) - 1)
     start = F.round(F.lit(0.35) * F.col("idx") + F.lit(1.5) * F.col("turn") + F.lit(0.01) * ((F.col("idx") * 37) % 11), 3)
     rows = rows.withColumn("start", start).withColumn("end", F.round(F.col("start") + 0.2 + F.lit(0.01) * ((F.col("idx") * 53) % 23), 3))
-    return rows.select("conv_id", "idx", F.when(F.col("idx") % 41 == 40, " ").otherwise(F.col("token")).alias("text"), "start", "end", (((F.col("idx") * 31) % 97) / 100).alias("prob"), F.floor(F.col("idx") / 9).cast("long").alias("segment"))
+    return rows.select("conv_id", "idx", F.when(F.col("idx") % 41 == 40, " ").otherwise(F.col("token")).alias("text"), "start", "end", (((F.col("idx") * 31) % 97) / 97).alias("prob"), F.floor(F.col("idx") / 9).cast("long").alias("segment"))
 
 
-RAW = """(SELECT conv_id, idx, CASE WHEN idx % 41 = 40 THEN ' ' ELSE token END AS text, start, round(start + 0.2::DOUBLE + 0.01::DOUBLE * ((idx * 53) % 23), 3) AS "end", ((idx * 31) % 97) / 100::DOUBLE AS prob, idx // 9 AS segment FROM (
+RAW = """(SELECT conv_id, idx, CASE WHEN idx % 41 = 40 THEN ' ' ELSE token END AS text, start, round(start + 0.2::DOUBLE + 0.01::DOUBLE * ((idx * 53) % 23), 3) AS "end", ((idx * 31) % 97) / 97::DOUBLE AS prob, idx // 9 AS segment FROM (
   SELECT *, round(0.35::DOUBLE * idx + 1.5::DOUBLE * turn + 0.01::DOUBLE * ((idx * 37) % 11), 3) AS start FROM (
     SELECT conv_id, turn, token, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS idx FROM (
       SELECT conv_id, turn, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(translate(coalesce(text, ''), chr(10) || chr(13) || chr(9), '   '), ' ?[^ ,.;:!?]+|[,.;:!?]+', 0) AS ws FROM conversations)))))"""
@@ -205,13 +205,11 @@ def sanitised_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ABBREVIATIONS = ", ".join(f"'{x}'" for x in ABBREVIATIONS)
-_JOINED = r"""trim(regexp_replace(list_reduce(list(text ORDER BY idx), lambda acc, w: CASE WHEN acc = '' OR regexp_matches(w, '^\s') OR regexp_matches(acc, '\s$') OR NOT regexp_matches(w, '^[\p{L}\p{N}]')
+JOINED = r"""trim(regexp_replace(list_reduce(list(text ORDER BY idx), lambda acc, w: CASE WHEN acc = '' OR regexp_matches(w, '^\s') OR regexp_matches(acc, '\s$') OR NOT regexp_matches(w, '^[\p{L}\p{N}]')
   OR regexp_matches(w, '[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{0e00}-\x{0e7f}]') THEN acc || w ELSE acc || ' ' || w END, ''), '\s+', ' ', 'g'))"""
 
 
-@query(
-    "built_sentences",
-    f"""WITH RECURSIVE {CLEAN}, marks AS MATERIALIZED (SELECT *, coalesce(last OR gap >= 1.2 OR (next_segment <> segment AND gap >= 0.6) OR (regexp_matches(w, '[.!?…]+["'')\\]]*$') AND w NOT IN ({_ABBREVIATIONS}) AND NOT regexp_matches(w, '^[a-z]\\.$')), false) AS ends,
+RUNS = f"""marks AS MATERIALIZED (SELECT *, coalesce(last OR gap >= 1.2 OR (next_segment <> segment AND gap >= 0.6) OR (regexp_matches(w, '[.!?…]+["'')\\]]*$') AND w NOT IN ({_ABBREVIATIONS}) AND NOT regexp_matches(w, '^[a-z]\\.$')), false) AS ends,
     max(CASE WHEN regexp_matches(w, '[,;:]$') THEN idx END) OVER (PARTITION BY conv_id ORDER BY idx) AS comma FROM (
       SELECT *, lower(trim(text)) AS w, lead(start) OVER o - "end" AS gap, lead(segment) OVER o AS next_segment, lead(idx) OVER o IS NULL AS last FROM clean WINDOW o AS (PARTITION BY conv_id ORDER BY idx))),
     runs(conv_id, idx, first, closed) AS (
@@ -219,10 +217,15 @@ _JOINED = r"""trim(regexp_replace(list_reduce(list(text ORDER BY idx), lambda ac
       UNION ALL SELECT conv_id, idx, first, CASE WHEN ends THEN idx WHEN idx - first + 1 >= 45 THEN CASE WHEN comma >= first + 5 THEN comma ELSE idx END END
       FROM (SELECT m.*, coalesce(r.closed + 1, r.first) AS first FROM runs r JOIN marks m ON m.conv_id = r.conv_id AND m.idx = r.idx + 1)),
     found AS (SELECT conv_id, first AS first_word, closed AS last_word FROM runs WHERE closed IS NOT NULL
-      UNION ALL SELECT conv_id, closed + 1, idx FROM runs JOIN (SELECT conv_id, max(idx) AS idx FROM marks GROUP BY 1) USING (conv_id, idx) WHERE closed < idx)
+      UNION ALL SELECT conv_id, closed + 1, idx FROM runs JOIN (SELECT conv_id, max(idx) AS idx FROM marks GROUP BY 1) USING (conv_id, idx) WHERE closed < idx)"""
+
+
+@query(
+    "built_sentences",
+    f"""WITH RECURSIVE {CLEAN}, {RUNS}
     SELECT conv_id, sentence, first_word, last_word, start, "end", md5(text) AS digest FROM (
       SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_word) - 1 AS sentence, first_word, last_word, start, "end", text FROM (
-        SELECT f.conv_id, first_word, last_word, min(start) AS start, arg_max("end", idx) AS "end", {_JOINED} AS text FROM found f JOIN clean c ON c.conv_id = f.conv_id AND idx BETWEEN first_word AND last_word GROUP BY 1, 2, 3))""",
+        SELECT f.conv_id, first_word, last_word, min(start) AS start, arg_max("end", idx) AS "end", {JOINED} AS text FROM found f JOIN clean c ON c.conv_id = f.conv_id AND idx BETWEEN first_word AND last_word GROUP BY 1, 2, 3))""",
 )
 def built_sentences_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = sanitised_words(raw_words_of(table(spark, sf_dir, "conversations")), "conv_id")

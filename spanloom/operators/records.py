@@ -22,9 +22,12 @@ def update_where(rows: DataFrame, condition: Column, values: Mapping[str, Column
 
 
 def without_parent(children: DataFrame, gone: DataFrame, key: str, cascade: Column) -> DataFrame:
-    """Children after their parents are gone: ``cascade`` ones go too, others lose the key."""
-    marked = children.join(gone.select(key, F.lit(True).alias("_gone")), key, "left")
-    return marked.where(F.col("_gone").isNull() | ~cascade).withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+    """Children after their parents are gone: ``cascade`` ones go too, others, those without a flag among them, lose the key.
+
+    A parent that stands twice among the gone ones goes once.
+    """
+    marked = children.join(gone.select(key).distinct().withColumn("_gone", F.lit(True)), key, "left")
+    return marked.where(F.col("_gone").isNull() | ~F.coalesce(cascade, F.lit(False))).withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
 
 
 def reverted(versions: DataFrame, key: str, version: str, to: Column) -> DataFrame:
@@ -67,14 +70,14 @@ def conditional_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.col("o_orderstatus").alias("status"))
 
 
-@query("conditional_delete", "SELECT o_orderpriority, count(*) FILTER (o_totalprice < 50000 AND o_orderstatus IN ('F', 'P')) AS deleted, count(*) FILTER (NOT (o_totalprice < 50000 AND o_orderstatus IN ('F', 'P'))) AS kept FROM orders GROUP BY 1")
+@query("conditional_delete", "SELECT o_orderpriority, count(*) FILTER (o_totalprice < 50000 AND o_orderstatus IN ('F', 'P')) AS deleted, count(*) FILTER ((o_totalprice < 50000 AND o_orderstatus IN ('F', 'P')) IS NOT TRUE) AS kept FROM orders GROUP BY 1")
 def conditional_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a guarded delete removes and leaves, by priority."""
-    goes = (F.col("o_totalprice") < 50000) & F.col("o_orderstatus").isin("F", "P")
+    """What a guarded delete removes and leaves, by priority; a row whose condition is null stays."""
+    goes = F.coalesce((F.col("o_totalprice") < 50000) & F.col("o_orderstatus").isin("F", "P"), F.lit(False))
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(goes).alias("deleted"), F.count_if(~goes).alias("kept"))
 
 
-@query("parent_deletes", "SELECT o_orderkey, CASE WHEN c.c_custkey IS NULL THEN o_custkey END AS o_custkey FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) c ON o_custkey = c.c_custkey WHERE c.c_custkey IS NULL OR o_orderstatus <> 'O'")
+@query("parent_deletes", "SELECT o_orderkey, CASE WHEN c.c_custkey IS NULL THEN o_custkey END AS o_custkey FROM orders LEFT JOIN (SELECT DISTINCT c_custkey FROM customer WHERE c_acctbal < 0) c ON o_custkey = c.c_custkey WHERE c.c_custkey IS NULL OR o_orderstatus IS DISTINCT FROM 'O'")
 def parent_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in debt go: their open orders with them, their other orders lose the customer."""
     gone = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
