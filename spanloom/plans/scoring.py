@@ -365,10 +365,10 @@ def sentence_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("first_word", "last_word", "text", "content").withColumns({c: F.round(c, 3) for c in exact} | {"mean_prob": F.round("mean_prob", 6)})
 
 
-@query("span_metrics", f"WITH RECURSIVE {_SCORES} SELECT conv_id, i, j, score, " + ", ".join(f"round({m}, 4) AS {m}" for m in WEIGHTS) + ", " + ", ".join(f"p_{p}" for p in PENALTIES) + " FROM scored")
+@query("span_metrics", f"WITH RECURSIVE {_SCORES} SELECT conv_id, i, j, score, " + ", ".join(f"round({m}, 6) AS {m}" for m in WEIGHTS) + ", " + ", ".join(f"p_{p}" for p in PENALTIES) + " FROM scored")
 def span_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric and penalty of every span of 15 to 60 s, and its score."""
-    return candidates(all_scores(spark, sf_dir), 15.0).select("conv_id", "i", "j", "score", *[F.round(m, 4).alias(m) for m in WEIGHTS], *[f"p_{p}" for p in PENALTIES])
+    return candidates(all_scores(spark, sf_dir), 15.0).select("conv_id", "i", "j", "score", *[F.round(m, 6).alias(m) for m in WEIGHTS], *[f"p_{p}" for p in PENALTIES])
 
 
 @query("best_clips", f"WITH RECURSIVE {_SCORES}, picked AS ({suppress_sql('scored', 'conv_id', 12, 0.45)}) SELECT * FROM picked")
