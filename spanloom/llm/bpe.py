@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.common import RangeCache, give_back, ranges, slices, table, whole_text
 
 LONG_WORD = 400
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 QUERY_WORDS = 10_000
-DUCKDB_MEMORY = "96MB"
+DUCKDB_MEMORY = "64MB"
 _SHIFT = 20
 _PAIR = 20
 
@@ -224,7 +224,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False
                 cols |= {name: pa.array([hashlib.sha256(x[k]).hexdigest() for x in both], pa.string()) for k, name in enumerate(("ids_sha256", "decoded_sha256"))}
             else:
                 cols["decoded"] = pa.array([d for _, d in both], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            made = pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            del both, cols
+            give_back()  # what a piece has used would else stay with the process until the batch ends
+            yield made
 
     tail = ("ids array<int>, " if with_ids or not digests else "") + ("ids_sha256 string, decoded_sha256 string" if digests else "decoded binary")
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {tail}")
