@@ -2,11 +2,12 @@
 
 Strict rules give base spans of email, ip, card and phone, which always stay. High-recall generators propose further
 spans that may overlap: addresses with bracketed words for their signs, telephone numbers without a plus, any dotted
-quadruple, any long digit run. A candidate's silver label is evidence that no feature shows: an address is well formed once spelled out, octets
+quadruple and quadruples with bracketed dots, any long digit run and groups of digits parted by other signs. A candidate's silver label is evidence that no feature shows: an address is well formed once spelled out, octets
 are in range, check digits hold, a number has a country code or a cue word (telephone, call, ...) before it. Format and context features feed gradient
-boosted trees, fitted on a bounded sample of candidates (``SAMPLE`` by hash). The trees become one SQL expression, so every candidate is scored inside its own row and no text is
-shuffled. Per kind, the threshold is the least score bin from which on the silver precision over all candidates of the
-corpus reaches ``PRECISION``, above the first bin that is mostly wrong; candidates above it that overlap no base span are added, the best of overlapping ones first.
+boosted trees, fitted on a bounded sample of candidates with even hashes (``SAMPLE`` by hash). The trees become one SQL expression, so every candidate is scored inside its own
+row and no text is shuffled. Only candidates that overlap no base span can be added, so thresholds look at those alone, and only at the ones with odd
+hashes, which the trees have not seen: per kind the least score bin from which on their silver precision reaches ``PRECISION``, above the first bin that is
+mostly wrong. What is above it is added, the best of overlapping ones first; a kind without such candidates gets nothing.
 
 Runs of digits with separators are found after separators that do not stand between digits are overwritten with
 letters, one for one, which keeps offsets and needs no nested repetition.
@@ -39,6 +40,8 @@ RUN = r"[0-9][0-9\x20-]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE_EMAIL = r"[A-Za-z0-9._%+-]{1,64}+\x20?(?:[(\[]at[)\]]|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?[(\[]dot[)\]]\x20?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,8}"
 LOOSE_PHONE = r"[+(]?[0-9][\x20().0-9-]{5,30}[0-9]"
+LOOSE_IP = r"(?<![0-9])[0-9]{1,3}(?:\x20?[(\[](?:dot|\.)[)\]]\x20?[0-9]{1,3}){3}(?![0-9])"
+LOOSE_CARD = r"(?<![0-9])[0-9]{4}(?:[._/]\x20?|\x20?[-\x20]\x20?)[0-9]{4}(?:[._/]\x20?|\x20?[-\x20]\x20?)[0-9]{4}(?:[._/]\x20?|\x20?[-\x20]\x20?)[0-9]{3,7}(?![0-9])"
 OCTET = r"^0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 PHONE_CUES = "|".join(any_case(w) for w in ("tel", "phone", "call", "fax", "mobil"))
 CUES = "|".join(any_case(w) for w in ("mail", "contact", "card", "visa", "credit", "carte", "tarjeta", "karte", "addr", "host", "server", "ip"))
@@ -93,11 +96,16 @@ def spelled_out(value: Column) -> Column:
 def candidate_spans(text: Column) -> Column:
     """array<struct<kind, start, end, value, before, after, evident>> of the high-recall generators."""
     none = matches(F.lit(""), RUN)
+    card_like = lambda m: (n_digits(m["value"]) >= 12) & (n_digits(m["value"]) <= 19)
+    phone_like = lambda m: (n_digits(m["value"]) >= 7) & (n_digits(m["value"]) <= 15)
+    octets = lambda v, before: F.forall(F.split(F.regexp_replace(v, r"[^0-9]+", "."), r"\."), lambda p: p.rlike(OCTET))
     found = (
-        (F.when(text.rlike(r"@|[(\[]at[)\]]"), matches(text, LOOSE_EMAIL)).otherwise(none), lambda v, before: spelled_out(v).rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")),
-        (matches(text, IP), lambda v, before: is_ip(v)),
-        (F.filter(runs(text), lambda m: (n_digits(m["value"]) >= 12) & (n_digits(m["value"]) <= 19)), lambda v, before: luhn(v)),
-        (F.when(text.rlike(r"[0-9][\x20().0-9-]{5,}[0-9]"), F.filter(matches(text, LOOSE_PHONE), lambda m: (n_digits(m["value"]) >= 7) & (n_digits(m["value"]) <= 15))).otherwise(none), lambda v, before: (v.startswith("+") & (n_digits(v) >= 9)) | before.rlike(PHONE_CUES)),
+        (0, F.when(text.rlike(r"@|[(\[]at[)\]]"), matches(text, LOOSE_EMAIL)).otherwise(none), lambda v, before: spelled_out(v).rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")),
+        (1, matches(text, IP), octets),
+        (1, F.when(text.rlike(r"[0-9]\x20?[(\[](?:dot|\.)[)\]]"), matches(text, LOOSE_IP)).otherwise(none), octets),
+        (2, F.filter(runs(text), card_like), lambda v, before: luhn(v)),
+        (2, F.when(text.rlike(r"[0-9]{4}(?:[._/]|\x20-|-\x20)\x20?[0-9]{4}"), F.filter(matches(text, LOOSE_CARD), card_like)).otherwise(none), lambda v, before: luhn(v)),
+        (3, F.when(text.rlike(r"[0-9][\x20().0-9-]{5,}[0-9]"), F.filter(matches(text, LOOSE_PHONE), phone_like)).otherwise(none), lambda v, before: (v.startswith("+") & (n_digits(v) >= 9)) | before.rlike(PHONE_CUES)),
     )
 
     def shaped(spans: Column, kind: int, rule) -> Column:
@@ -111,7 +119,7 @@ def candidate_spans(text: Column) -> Column:
 
         return F.transform(spans, one)
 
-    return F.concat(*[shaped(x, k, rule) for k, (x, rule) in enumerate(found)])
+    return F.concat(*[shaped(x, k, rule) for k, x, rule in found])
 
 
 def features(c: Column) -> list[Column]:
@@ -151,16 +159,19 @@ class Scorer:
 
 
 def fit(docs: DataFrame) -> Scorer | None:
-    """Trees from a bounded sample of candidates; thresholds from all candidates."""
-    found = docs.select(F.inline(candidate_spans(whole_text()))).select("kind", F.col("evident").cast("double").alias("label"), F.array(*features(F.struct("kind", "value", "before", "after"))).alias("x"), F.xxhash64("value", "before", "after").alias("h"))
+    """Trees from a bounded sample of one half of the candidates; thresholds from all of the other half that overlap no base span."""
+    base = F.filter(base_spans(F.col("text")), lambda s: s.isNotNull())
+    rows = docs.select(whole_text().alias("text")).select(base.alias("base"), candidate_spans(F.col("text")).alias("found")).where(F.size("found") > 0)
+    rows = rows.select("base", F.inline("found")).withColumn("apart", ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
+    found = rows.select("kind", "apart", F.col("evident").cast("double").alias("label"), F.array(*features(F.struct("kind", "value", "before", "after"))).alias("x"), F.xxhash64("value", "before", "after").alias("h"))
     found = materialise(found, "pii-candidates")
-    sample = found.orderBy("h", "kind").limit(SAMPLE)
+    sample = found.where("h % 2 = 0").orderBy("h", "kind").limit(SAMPLE)
     sample = materialise(sample.select("label", array_to_vector("x").alias("features")), "pii-sample").coalesce(4)
     if sample.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11).fit(sample)
     scorer = Scorer(model, [2.0] * len(KINDS))
-    scored = found.select("kind", "label", F.least(F.lit(BINS - 1), F.floor(scorer.probability(F.col("x")) * BINS).cast("int")).alias("bin"))
+    scored = found.where("apart AND h % 2 <> 0").select("kind", "label", F.least(F.lit(BINS - 1), F.floor(scorer.probability(F.col("x")) * BINS).cast("int")).alias("bin"))
     table_ = {(r["kind"], r["bin"]): (r["good"], r["n"]) for r in scored.groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()}  # kinds x BINS rows
     for kind in range(len(KINDS)):
         good = n = 0
@@ -227,5 +238,5 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_pii(docs, fit(docs))
     return rows.select(
         "doc_id", *[count_kind(F.col("pii_base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
-        F.sha2(digest_text(F.col("pii_base"), KINDS), 256).alias("base_sha256"), digest_text(F.concat("pii_base", "pii_added"), KINDS).alias("spans"), F.size("pii_added").cast("long").alias("n_added"),
+        F.sha2(digest_text(F.col("pii_base"), KINDS), 256).alias("base_sha256"), digest_text(F.concat("pii_base", "pii_added"), KINDS).alias("spans"), F.size("pii_added").cast("long").alias("n_added"), (F.size("pii_base") + F.size("pii_added")).cast("long").alias("n_spans"),
     )
