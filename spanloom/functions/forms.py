@@ -11,7 +11,8 @@ from spanloom.registry import query, table
 ISO_DURATION = r"^P(?:([0-9]+)D)?T?(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:\.[0-9]+)?)S)?$"
 NORM = r"[^\p{L}\p{N}_'%$€£#@+-]"
 NO_SPACES = "[぀-ヿ一-鿿฀-๿]"
-FILLERS = ("so ", "okay", "wait", "first,", "hmm")
+#: Beginnings of sentences that say nothing about the picture.
+FILLERS = ("got it", "let's", "let me", "okay", "so ", "first,", "hmm", "wait")
 #: Needles of an error message, permanent ones before transient ones.
 ERRORS = (("private", "permanent"), ("not found", "permanent"), ("quota", "transient"), ("timeout", "transient"), ("reset", "transient"))
 
@@ -141,7 +142,7 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", headline(F.col("text")).alias("title"), teaser(F.col("text")).alias("teaser"))
 
 
-@query("useful_sentences", r"SELECT conv_id, turn, substr(array_to_string(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '' AND NOT (" + " OR ".join(f"starts_with(lower(s), '{p}')" for p in FILLERS) + "))[1:2], ' '), 1, 300) AS summary FROM conversations")
+@query("useful_sentences", r"SELECT conv_id, turn, substr(array_to_string(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '' AND NOT (" + " OR ".join(f"starts_with(lower(s), '{p.replace(chr(39), chr(39) * 2)}')" for p in FILLERS) + "))[1:2], ' '), 1, 300) AS summary FROM conversations")
 def useful_sentences_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", useful_sentences(F.col("text")).alias("summary"))
 

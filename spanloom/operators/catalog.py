@@ -88,11 +88,6 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.join(old.select(key), key, "left_anti").select(*old.columns))
 
 
-def first_not_taken(titles: Column, taken: Column) -> Column:
-    """First title whose lower-cased form is not taken."""
-    return F.element_at(F.filter(titles, lambda t: ~F.array_contains(taken, F.lower(t))), 1)
-
-
 # ---- registered queries ------------------------------------------------------------------------
 @query(
     "catalog_page",
@@ -210,8 +205,16 @@ def has_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def not_taken_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
-    taken = customers.where("c_custkey % 2 = 0").agg(F.collect_set(F.lower("c_mktsegment")).alias("taken"))  # as many as there are segments
-    return customers.crossJoin(F.broadcast(taken)).select("c_custkey", first_not_taken(F.array("c_mktsegment", "c_name", F.lit("fallback")), F.col("taken")).alias("title"))
+    titles = customers.select("c_custkey", F.array("c_mktsegment", "c_name", F.lit("fallback")).alias("titles"))
+    return first_free(titles, customers.where("c_custkey % 2 = 0").select(F.col("c_mktsegment").alias("title")), "c_custkey")
+
+
+def first_free(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """(key, title): the first of the row's ``titles`` that no row of ``taken`` (title) has, case aside; null if all are taken."""
+    offered = rows.select(key, F.posexplode("titles").alias("place", "title"))
+    used = taken.select(F.lower("title").alias("low")).distinct()
+    free = offered.join(used, F.lower("title") == F.col("low"), "left_anti").groupBy(key).agg(F.min_by("title", "place").alias("title"))
+    return rows.select(key).join(free, key, "left")
 
 
 SNAPSHOTS = """(SELECT event_id AS id, user_id AS short_id, ts AS fetched_at, sum(floor(value * 10)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS views,
