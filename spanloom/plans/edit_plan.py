@@ -249,3 +249,56 @@ def auto_picks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = table(spark, sf_dir, "customer").select(k.alias("source"), (40 + k % 30).alias("least"), (1 + k % 3).alias("most"), F.when(k % 4 > 0, 5 * (k % 4)).alias("daily"), (k % 2 == 0).alias("autopilot"))
     made = orders.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("source")).agg(F.count("*").alias("made"))
     return auto_picks(candidates, rules, made, 20.0)
+
+
+# ---- cutaways -------------------------------------------------------------------------------------
+def cutaways(words: DataFrame, clips: DataFrame, tags: DataFrame, total: DataFrame, key: str, key_type: str, most: int = 2, length: float = 2.0, not_before: float = 2.8, gap: float = 5.0) -> DataFrame:
+    """(key, start, end, source_start, clip, tag): clips placed where a word calls for one of their tags.
+
+    ``words`` has (key, word, start, emphasis), ``clips`` (clip, tags, duration), ``tags`` (word, tag), ``total`` (key, total). Words stand for their first
+    clip by name of a second or more; emphasised words come first, then earlier ones. A clip is used once a key, places are ``gap`` apart, ``most``
+    in all: one pass whose state is the places taken.
+    """
+    first = clips.where("duration >= 1.0").select("clip", F.col("duration").alias("long"), F.explode("tags").alias("tag"))
+    first = first.groupBy("tag").agg(F.min(F.struct("clip", "long")).alias("_clip"))
+    rows = words.withColumn("word", F.regexp_replace(F.lower("word"), "[^a-z]", "")).join(tags, "word").join(first, "tag").join(total, key)
+    rows = rows.where((F.col("start") >= not_before) & (F.col("start") <= F.col("total") - length - 1.0))
+    rows = rows.select(key, F.coalesce("emphasis", F.lit(False)).alias("emphasis"), "start", "tag", F.col("_clip.clip").alias("clip"), F.col("_clip.long").alias("long"), "total")
+
+    def place(found: Iterator[tuple]) -> Iterator[tuple]:
+        taken: list[tuple[float, str]] = []
+        for k, _, start, tag, clip, long, end in found:
+            begin = max(0.0, start - 0.15)
+            if all(clip != c and abs(start - b) >= gap for b, c in taken):
+                shown = min(length, long)
+                yield k, round(begin, 3), round(min(end, begin + shown), 3), round(max(0.0, (long - shown) / 2), 3), clip, tag
+                taken.append((begin, clip))
+                if len(taken) == most:
+                    return
+
+    return ordered_fold(rows, [key], [F.desc("emphasis"), "start", "tag"], f"{key} {key_type}, start double, end double, source_start double, clip string, tag string", place)
+
+
+#: Words of the given texts with the tag they call for.
+CALLS = (("les", "people"), ("die", "people"), ("los", "people"), ("la", "place"), ("der", "place"), ("in", "place"), ("et", "link"), ("und", "link"), ("and", "link"), ("que", "question"), ("zu", "way"), ("to", "way"))
+
+
+@query(
+    "cutaways",
+    f"""WITH RECURSIVE {CLEAN}, v(word, tag) AS (VALUES {", ".join(f"('{w}', '{t}')" for w, t in CALLS)}), clips AS (SELECT 'clip' || lpad(p_partkey::VARCHAR, 6, '0') AS clip, ['people', 'place', 'link', 'question', 'way'][1 + p_partkey % 5] AS tag, (p_partkey % 9) / 2::DOUBLE AS long FROM part),
+    first AS (SELECT tag, arg_min(long, clip) AS long, min(clip) AS clip FROM clips WHERE long >= 1 GROUP BY 1), top AS (SELECT conv_id, max("end") AS total FROM clean GROUP BY 1),
+    c AS MATERIALIZED (SELECT k.conv_id, k.idx % 13 = 0 AS emphasis, k.start, greatest(0, k.start - 0.15::DOUBLE) AS begin, f.tag, f.clip, f.long, total, row_number() OVER (PARTITION BY k.conv_id ORDER BY k.idx % 13 = 0 DESC, k.start, f.tag) AS n
+      FROM clean k JOIN v ON v.word = regexp_replace(lower(k.text), '[^a-z]', '', 'g') JOIN first f USING (tag) JOIN top USING (conv_id) WHERE k.start >= 2.8 AND k.start <= total - 3),
+    p1 AS MATERIALIZED (SELECT * FROM c WHERE n = 1), p2 AS MATERIALIZED (SELECT c.* FROM c JOIN p1 USING (conv_id) WHERE c.clip <> p1.clip AND abs(c.start - p1.begin) >= 5 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY c.n) = 1)
+    SELECT conv_id, round(begin, 3) AS start, round(least(total, begin + least(2, long)), 3) AS "end", round(greatest(0, (long - least(2, long)) / 2), 3) AS source_start, clip, tag FROM (FROM p1 UNION ALL FROM p2)""",
+)
+def cutaways_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cutaways of each conversation from a library made of parts."""
+    words = checkpointed(conversation_features(spark, sf_dir)[0])
+    name = F.concat(F.lit("clip"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    tag = F.element_at(F.array(*map(F.lit, ("people", "place", "link", "question", "way"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    clips = table(spark, sf_dir, "part").select(name.alias("clip"), F.array(tag).alias("tags"), ((F.col("p_partkey") % 9) / 2).alias("duration"))
+    calls = spark.createDataFrame(list(CALLS), "word string, tag string")
+    total = words.groupBy("conv_id").agg(F.max("end").alias("total"))
+    said = words.select("conv_id", F.col("text").alias("word"), "start", (F.col("idx") % 13 == 0).alias("emphasis"))
+    return cutaways(said, clips, F.broadcast(calls), total, "conv_id", "bigint")
