@@ -90,8 +90,8 @@ MEDIA_RULES = (
     ("clipping", 1, "peak > -0.5", "fix_audio"),
     ("silent", 2, "mean_volume < -50", "fix_audio"),
 )
-_MEDIA = """(SELECT o_orderkey, o_custkey % 60 + 10 AS duration, coalesce(sum(b - a) FILTER (l_linenumber % 3 = 1), 0) AS black, coalesce(sum(l_quantity / 10) FILTER (l_linenumber % 3 = 2), 0) AS frozen, CASE WHEN o_orderkey % 7 > 0 THEN -10 - (o_orderkey % 9)::DOUBLE END AS loudness, -(o_orderkey % 4)::DOUBLE / 4 AS peak,
-  -(o_custkey % 70)::DOUBLE AS mean_volume FROM orders JOIN (SELECT *, l_linenumber::DOUBLE AS a, l_linenumber + l_quantity / 10 AS b FROM lineitem) ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey)"""
+_MEDIA = """(SELECT o_orderkey, o_custkey % 60 + 10 AS duration, coalesce(sum(b - a) FILTER (l_linenumber % 3 = 1), 0) AS black, coalesce(sum(l_quantity / 10) FILTER (l_linenumber % 3 = 2), 0) AS frozen, CASE WHEN o_orderkey % 7 > 0 THEN -10 - (o_orderkey % 9)::DOUBLE END AS loudness, 0 - (o_orderkey % 4)::DOUBLE / 4 AS peak,
+  0 - (o_custkey % 70)::DOUBLE AS mean_volume FROM orders JOIN (SELECT *, l_linenumber::DOUBLE AS a, l_linenumber + l_quantity / 10 AS b FROM lineitem) ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey)"""
 
 
 @query("media_logs", f"SELECT o_orderkey, round(black, 3) AS black, round(frozen, 3) AS frozen, loudness, peak, mean_volume, CASE coalesce(list_max([{', '.join(f'CASE WHEN {c} THEN {lv} END' for _, lv, c, _ in MEDIA_RULES)}]), 0) WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARNING' ELSE 'FAIL' END AS status FROM {_MEDIA}")
