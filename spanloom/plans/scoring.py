@@ -227,10 +227,15 @@ def scores(rows: DataFrame, target: float = 35.0, loudness: float = -30.0, weigh
         "p_weak_opening": F.when((c("h_weak_open") == 1) & (c("h_n_words") <= 3), 3.0),
         "p_sponsor_segment": F.when((c("s_sponsor_hits") >= 2) | (sponsor > 0.3), F.round(most(40, 8 * c("s_sponsor_hits") + 40 * sponsor), 2)),
     })
+    return rows.withColumn("score", combined(weights))
+
+
+def combined(weights: Mapping[str, float] = WEIGHTS) -> Column:
+    """Weighted mean of the metrics less the penalties, 0 to 100, to two places."""
     used = {m: w for m, w in weights.items() if w > 0}
-    base = sum((F.lit(w) * c(m) for m, w in used.items()), F.lit(0.0)) / sum(used.values())
-    lost = sum((F.coalesce(c(f"p_{p}"), F.lit(0.0)) for p in PENALTIES), F.lit(0.0))
-    return rows.withColumn("score", F.round(clamp(base - lost), 2))
+    base = sum((F.lit(w) * F.col(m) for m, w in used.items()), F.lit(0.0)) / sum(used.values())
+    lost = sum((F.coalesce(F.col(f"p_{p}"), F.lit(0.0)) for p in PENALTIES), F.lit(0.0))
+    return F.round(clamp(base - lost), 2)
 
 
 def candidates(rows: DataFrame, shortest: float) -> DataFrame:
@@ -322,9 +327,14 @@ def _in_sections(which: str, value: str = "1") -> str:
     return f"coalesce(list_sum(list_transform(list_filter(range(0, floor(top)::BIGINT // 40 + 1), lambda k: {which}), lambda k: {_SECTION} * {value})), 0)"
 
 
+#: Spans of the limits; with the fallback, videos without any have their longest one from the first sentence.
+_LONG = "SELECT * FROM pairs WHERE b - a >= 15"
+_OR_FIRST = f"{_LONG} UNION ALL SELECT * FROM (SELECT * FROM pairs WHERE conv_id NOT IN (SELECT conv_id FROM pairs WHERE b - a >= 15) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i, j DESC) = 1)"
+_COMBINED = f"""round(least(100, greatest(0, ({" + ".join(f"{w}::DOUBLE * {m}" for m, w in WEIGHTS.items())}) / {sum(WEIGHTS.values())!r}::DOUBLE - ({" + ".join(f"coalesce(p_{p}, 0)" for p in PENALTIES)}))), 2)"""
 _SCORES = f"""{_FEATURES}, around AS MATERIALIZED (SELECT * EXCLUDE (text, toks), coalesce(lag(terminal) OVER w = 0 AND a - lag(b) OVER w < 1.5, false)::INT AS mid, coalesce(lead(a) OVER w - b < 1.0, false)::INT AS closes_soon, coalesce(a - lag(b) OVER w, 0) AS before,
     sum(CASE WHEN a - lag_b > 3 THEN 1 ELSE 0 END) OVER w AS run FROM (SELECT *, lag(b) OVER (PARTITION BY conv_id ORDER BY sentence) AS lag_b FROM f) WINDOW w AS (PARTITION BY conv_id ORDER BY sentence)),
-  spans AS MATERIALIZED (SELECT x.conv_id, x.sentence AS i, y.sentence AS j, x.a, y.b FROM around x JOIN around y ON x.conv_id = y.conv_id AND x.run = y.run AND y.sentence >= x.sentence AND y.b - x.a BETWEEN 15 AND 60),
+  pairs AS MATERIALIZED (SELECT x.conv_id, x.sentence AS i, y.sentence AS j, x.a, y.b FROM around x JOIN around y ON x.conv_id = y.conv_id AND x.run = y.run AND y.sentence >= x.sentence AND y.b - x.a <= 60),
+  spans AS MATERIALIZED ({_LONG}),
   words AS MATERIALIZED (SELECT conv_id, sentence, unnest(content) AS token FROM f), rare AS MATERIALIZED (SELECT conv_id, token, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1 AS idf FROM (SELECT conv_id, token, count(DISTINCT sentence) AS df FROM words GROUP BY 1, 2) JOIN (SELECT conv_id, count(*) AS n FROM f GROUP BY 1) USING (conv_id)),
   own AS (SELECT conv_id, avg(d) AS d_mean, greatest(1e-6, stddev_pop(d)) AS d_sd FROM (SELECT conv_id, sentence, sum(least(c, 3) * idf) / sum(c) AS d FROM (SELECT conv_id, sentence, token, count(*) AS c FROM words GROUP BY 1, 2, 3) JOIN rare USING (conv_id, token) GROUP BY 1, 2) GROUP BY 1),
   fresh AS (SELECT conv_id, i, j, sum(least(c, 3) * idf) / sum(c) AS d, sum(c) AS n_content FROM (SELECT s.conv_id, i, j, token, count(*) AS c FROM spans s JOIN words w ON w.conv_id = s.conv_id AND w.sentence BETWEEN i AND j GROUP BY 1, 2, 3, 4) JOIN rare USING (conv_id, token) GROUP BY 1, 2, 3),
@@ -354,7 +364,8 @@ _SCORES = f"""{_FEATURES}, around AS MATERIALIZED (SELECT * EXCLUDE (text, toks)
       CASE WHEN edges > 0.5 THEN coalesce(CASE WHEN mid = 1 THEN 14 WHEN dangling_open = 1 THEN 6 WHEN context = 1 THEN 4 END, 0) + 4 ELSE CASE WHEN mid = 1 THEN 14 WHEN dangling_open = 1 THEN 6 WHEN context = 1 THEN 4 END END::DOUBLE AS p_missing_context,
       CASE WHEN terminal = 0 THEN CASE WHEN closes_soon = 1 THEN 12 ELSE 7 END END::DOUBLE AS p_abrupt_ending, CASE WHEN prob < 0.6 THEN round(least(10, (0.6::DOUBLE - prob) * 40), 2) END AS p_poor_audio, CASE WHEN act < 0.03 AND n_cuts = 0 THEN 2.0::DOUBLE END AS p_low_visual_interest,
       CASE WHEN hook < 45 AND payoff > 65 AND dur > 40 THEN 4.0::DOUBLE END AS p_excessive_setup, CASE WHEN weak_open = 1 AND h_words <= 3 THEN 3.0::DOUBLE END AS p_weak_opening, CASE WHEN sponsors >= 2 OR sponsor > 0.3 THEN round(least(40, 8 * sponsors + 40 * sponsor), 2) END AS p_sponsor_segment FROM metrics2),
-  scored AS MATERIALIZED (SELECT *, round(least(100, greatest(0, ({" + ".join(f"{w}::DOUBLE * {m}" for m, w in WEIGHTS.items())}) / {sum(WEIGHTS.values())!r}::DOUBLE - ({" + ".join(f"coalesce(p_{p}, 0)" for p in PENALTIES)}))), 2) AS score FROM metrics3)"""
+  scored AS MATERIALIZED (SELECT *, {_COMBINED} AS score FROM metrics3)"""
+_SCORES_OR_FIRST = _SCORES.replace(f"({_LONG})", f"({_OR_FIRST})")
 
 
 @query("sentence_cues", f"WITH RECURSIVE {_FEATURES} SELECT conv_id, sentence, round(a, 3) AS a, round(b, 3) AS b, n_words, is_question, question_opener, hook_hits, curiosity_hits, emotion_hits, payoff_hits, has_number, direct_address, laughter, filler_count, weak_open, dangling_open, context_ref, terminal, sponsor_hits, round(mean_prob, 6) AS mean_prob, round(spoken, 3) AS spoken, round(pause, 3) AS pause, len(content) AS n_content FROM f")
