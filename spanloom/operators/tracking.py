@@ -115,6 +115,57 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks(line_boxes(table(spark, sf_dir, "lineitem")), "series", "bigint")
 
 
+def speakers(faces: DataFrame, shot: list[str], types: str, hold: float, window: int) -> DataFrame:
+    """(shot..., i, track): whom a camera follows at each sample of a shot; null where nobody is seen.
+
+    ``faces`` has (shot..., i from 0, t, place, track, width, activity, speaking), one row a visible track and sample, one with a null track for a sample
+    without. The widest, most persistent track begins. Activity while somebody speaks, averaged over the last ``window`` samples, is a range frame; another
+    track takes over once it was clearly more active for 0.6 of ``hold`` seconds, or at once when the followed one is gone.
+    """
+    seen = faces.where("track IS NOT NULL")
+    persistent = seen.groupBy(*shot, "track").agg(F.sum("width").alias("_size"), F.min(F.struct("i", "place")).alias("_first"))
+    widest = persistent.groupBy(*shot).agg(F.max_by("track", F.struct("_size", -F.col("_first.i"), -F.col("_first.place"))).alias("_widest"))
+    last = Window.partitionBy(*shot, "track").orderBy("i").rangeBetween(-(window - 1), 0)
+    said = F.sum(F.when(F.col("speaking"), F.coalesce("activity", F.lit(0.0))).otherwise(0.0)).over(last) / F.least(F.lit(window), F.col("i") + 1)
+    rows = faces.withColumn("_score", said).join(widest, shot, "left").select(*shot, "i", "t", "place", "track", "width", "_score", F.coalesce("speaking", F.lit(False)).alias("speaking"), "_widest")
+    n = len(shot)
+
+    def fold(found: Iterator[tuple]) -> Iterator[tuple]:
+        current = rival = None
+        begun, since = False, 0.0
+        for i, own in groupby(found, key=lambda r: r[n]):
+            own = list(own)
+            t, speaking = own[0][n + 1], own[0][n + 6]
+            there = {r[n + 3]: (r[n + 5], r[n + 4]) for r in own if r[n + 3] is not None}
+            if not begun:
+                current, begun = own[0][n + 7], True
+            if there and current not in there:
+                current, rival = max(there, key=there.get), None
+            elif there and speaking:
+                best = max(there, key=lambda k: there[k][0])
+                if best != current and there[best][0] > 1.5 * there[current][0] + 0.004:
+                    if rival != best:
+                        rival, since = best, t
+                    elif t - since >= hold * 0.6:
+                        current, rival = best, None
+                else:
+                    rival = None
+            yield *own[0][:n], i, current if there else None
+
+    return ordered_fold(rows, shot, ["i", "place"], f"{types}, i bigint, track bigint", fold)
+
+
+@query("speaker_series")
+def speaker_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom a camera follows among the tracks of each supplier, in shots of 53 weeks."""
+    boxes = line_boxes(table(spark, sf_dir, "lineitem"))
+    found = tracks(boxes, "series", "bigint").join(boxes.select("series", "frame", "box", "h"), ["series", "frame", "box"])
+    found = found.withColumn("shot", F.floor(F.col("frame") / 53)).withColumn("i", (F.dense_rank().over(Window.partitionBy("series", "shot").orderBy("frame")) - 1).cast("long"))
+    once = found.groupBy("series", "shot", "i", "frame", "track").agg(F.min("box").alias("place"), F.max("h").alias("width"), F.max((F.col("box") % 7) / 20).alias("activity"))
+    faces = once.select("series", "shot", "i", (F.col("frame") * 0.5).alias("t"), "place", "track", "width", "activity", (F.col("frame") % 5 != 0).alias("speaking"))
+    return speakers(faces, ["series", "shot"], "series bigint, shot bigint", 2.0, 4)
+
+
 # ---- beats ----------------------------------------------------------------------------------------
 def onset_strength(series: DataFrame, key: str) -> DataFrame:
     """(key, i, e): rises of x less their mean over sixteen samples around, nothing below 0, scaled to 1 at most. ``series`` has (key, i, x)."""

@@ -25,11 +25,12 @@ def test_query_equals_sql(spark, name):
 
 
 def test_queries_without_sql_run_on_whole_tables(spark):
-    """Greedy matching and page building have no SQL; tests/test_series.py holds them against plain loops."""
+    """Greedy matching, speakers and page building have no SQL; tests/test_series.py holds them against plain loops."""
     from spanloom import registry
 
     left = set(registry.QUERIES) - set(registry.ORACLES)
-    assert left == {"tracker", "caption_pages"}
+    assert left == {"tracker", "caption_pages", "speaker_series"}
+    assert registry.QUERIES["speaker_series"](spark, SF).groupBy("series", "shot", "i").count().where("count <> 1").count() == 0
     tracks = registry.QUERIES["tracker"](spark, SF)
     assert tracks.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count() == tracks.select("series", "frame", "box").distinct().count()
     pages = registry.QUERIES["caption_pages"](spark, SF).selectExpr("sum(last_word - first_word + 1) AS n").first()["n"]

@@ -83,6 +83,53 @@ def test_tracks_end_after_five_misses(spark):
     assert got == {0: 0, 5: 0, 11: 1}
 
 
+def followed(samples, hold, window):
+    """Samples (t, speaking, [(track, width, activity)]) of one shot, one after the other."""
+    sizes = {}
+    for _, _, faces in samples:
+        for k, w, _ in faces:
+            sizes.setdefault(k, []).append(w)
+    if not sizes:
+        return [None] * len(samples)
+    current = max(sizes, key=lambda k: sum(sizes[k]))
+    rival, since, past, out = None, 0.0, {k: [] for k in sizes}, []
+    for t, speaking, faces in samples:
+        now = {k: a for k, _, a in faces}
+        for k, values in past.items():
+            values.append(now.get(k, 0.0) if speaking else 0.0)
+        score = {k: sum(past[k][-window:]) / len(past[k][-window:]) for k in now}
+        if now and current not in now:
+            width = {k: w for k, w, _ in faces}
+            current, rival = max(now, key=lambda k: (score[k], width[k])), None
+        elif now and speaking:
+            best = max(score, key=score.get)
+            if best != current and score[best] > 1.5 * score[current] + 0.004:
+                if rival != best:
+                    rival, since = best, t
+                elif t - since >= hold * 0.6:
+                    current, rival = best, None
+            else:
+                rival = None
+        out.append(current if now else None)
+    return out
+
+
+def test_speakers_change_with_hysteresis(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for shot in range(6):
+        samples = []
+        for i in range(80):
+            loud = (i // 20) % 3
+            faces = [(k, rng.choice([0.1, 0.2, 0.3]), rng.uniform(0.2, 0.4) if k == loud else rng.uniform(0, 0.1)) for k in range(3) if rng.random() < (0.9 if shot else 0.0)]
+            samples.append((i * 0.25, rng.random() < 0.8, faces))
+            rows += [(shot, i, i * 0.25, n, *f, samples[-1][1]) for n, f in enumerate(faces)] or [(shot, i, i * 0.25, 0, None, None, None, samples[-1][1])]
+        want |= {(shot, i): k for i, k in enumerate(followed(samples, 1.5, 4))}
+    frame = spark.createDataFrame(rows, "shot long, i long, t double, place int, track long, width double, activity double, speaking boolean")
+    got = {(r.shot, r.i): r.track for r in tracking.speakers(frame, ["shot"], "shot bigint", 1.5, 4).collect()}
+    assert got == want and len({k for (s, _), k in want.items() if s == 1}) > 2
+
+
 # ---- beats ----------------------------------------------------------------------------------------
 def test_beats_find_a_planted_period(spark):
     rows = [(1, i, 5.0 if i % 10 == 3 else (0.3 if i % 3 == 0 else 0.0)) for i in range(400)] + [(2, 0, 1.0), (2, 1, 2.0)]
