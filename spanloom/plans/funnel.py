@@ -26,15 +26,16 @@ SHORTEST, LONGEST, SHORTLIST, FINAL, ALIKE, LOST = 15.0, 60.0, 16, 12, 0.8, 25.0
 def funnel(words: DataFrame, features: DataFrame, signals: tuple[DataFrame, DataFrame, DataFrame, DataFrame], key: str) -> DataFrame:
     """(key, place, i, j, start, end, score, duplicate) of the best clips of each video from sanitised ``words`` and features of its sentences."""
     features = checkpointed(features)
-    rows = span_rows(checkpointed(with_signals(with_word_weights(features, key), key, *signals)), key, LONGEST, 3.0)
-    scored = checkpointed(scores(rows).select(key, "i", "j", "a", "b", *WEIGHTS, *[f"p_{p}" for p in PENALTIES], "score"))
-    chosen = suppress(with_fallback(scored, key, SHORTEST), key, SHORTLIST, 0.45).select(key, F.col("place").alias("seed"), "a", "b")
-    short = chosen.join(scored.select(key, "a", "b", "i", "j"), [key, "a", "b"]).select(key, "seed", "i", "j")
+    known = checkpointed(with_signals(with_word_weights(features, key).drop("text", "content"), key, *signals))
+    scored = checkpointed(scores(span_rows(known, key, LONGEST, 3.0)).select(key, "i", "j", "a", "b", "score"))  # of all spans only what the choice needs
+    chosen = checkpointed(suppress(with_fallback(scored, key, SHORTEST), key, SHORTLIST, 0.45).select(key, F.col("place").alias("seed"), "a", "b"))
+    short = checkpointed(chosen.join(scored.select(key, "a", "b", "i", "j"), [key, "a", "b"]).select(key, "seed", "i", "j"))
     opening = checkpointed(hooks(features, words, key, CUES))
     shift = shifted_openings(short.select(key, "i", "j"), features, opening, key, SHORTEST).select(key, "i", "j", "shift")
-    moved = short.join(shift, [key, "i", "j"]).withColumn("i", F.col("i") + F.col("shift")).drop("shift")
+    moved = checkpointed(short.join(shift, [key, "i", "j"]).withColumn("i", F.col("i") + F.col("shift")).drop("shift"))
+    again = scores(span_rows(known, key, LONGEST, 3.0, moved.select(key, "i").distinct())).select(key, "i", "j", *WEIGHTS, *[f"p_{p}" for p in PENALTIES])  # metrics of the shortlist's own spans
     heard = opening.select(key, F.col("sentence").alias("i"), *[F.round(w, 1).alias(w) for w in ("w1", "w3", "w5")])
-    rescored = moved.join(scored, [key, "i", "j"]).join(heard, [key, "i"])
+    rescored = moved.join(again, [key, "i", "j"]).join(heard, [key, "i"])
     rescored = rescored.withColumn("hook", F.round(clamp(0.6 * F.col("hook") + 0.4 * (0.3 * F.col("w1") + 0.4 * F.col("w3") + 0.3 * F.col("w5"))), 2)).withColumn("score", combined())
     ends = features.select(key, F.col("sentence").alias("i"), "first_word").join(rescored.select(key, "seed", "i", "j", "score"), [key, "i"])
     ends = ends.join(features.select(key, F.col("sentence").alias("j"), "last_word"), [key, "j"])
