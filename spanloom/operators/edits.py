@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.folds import checkpointed
-from spanloom.operators.intervals import MONO, mono_intervals_of, output_offsets
+from spanloom.operators.intervals import MONO, mono_intervals_of, output_offsets, to_millis
 from spanloom.operators.text import SENTENCES, WORDS, sentences_of, words_of
 from spanloom.registry import query, table
 
@@ -63,7 +63,7 @@ def output_to_source(points: DataFrame, ranges: DataFrame, key: str, t: str, nam
 
 def clean_ranges(ranges: DataFrame, key: str) -> DataFrame:
     """Ranges rounded to milliseconds; those of 0.05 s or less go."""
-    rows = ranges.select(key, F.round("s", 3).alias("s"), F.round("e", 3).alias("e"))
+    rows = ranges.select(key, to_millis(F.col("s")).alias("s"), to_millis(F.col("e")).alias("e"))
     return rows.where(F.col("e") - F.col("s") > 0.05)
 
 

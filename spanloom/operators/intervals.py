@@ -23,10 +23,19 @@ SERIES = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,
 
 
 
+def to_millis(t: Column) -> Column:
+    """Seconds to three places by the double product with 1,000, halves away from zero.
+
+    ``round`` of a double works on its shortest decimal form instead, which is apart where the product is a half by rounding alone.
+    """
+    scaled = t * 1000.0
+    return F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / 1000.0
+
+
 def intervals_of(events: DataFrame) -> DataFrame:
     """Events as labelled intervals [a, b) in seconds."""
     at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.expr("cast(timestamp_ntz'2024-01-01 00:00:00' as timestamp)"))) / F.lit(1e6)
-    return events.select("user_id", "event_id", F.col("event_type").alias("label"), F.col("value").alias("interest"), F.round(at, 3).alias("a"), F.round(at + F.col("value") * 60, 3).alias("b"))
+    return events.select("user_id", "event_id", F.col("event_type").alias("label"), F.col("value").alias("interest"), to_millis(at).alias("a"), to_millis(at + F.col("value") * 60).alias("b"))
 
 
 def mono_intervals_of(events: DataFrame) -> DataFrame:
