@@ -18,7 +18,6 @@ from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -323,27 +322,51 @@ def affine_scan(rows: DataFrame, key: str, key_type: str, matrix: np.ndarray, ga
     """(key, i, y): y is the first component of s(i) = matrix s(i - 1) + gain x(i), and s = start x(i) where ``cut`` is true or i is 0.
 
     ``rows`` has (key, i, x, cut) with i = 0, 1, ... without gaps. Each block of rows is composed into one affine map of the state before
-    it; a fold over blocks carries the state; every block then runs from its own first state. A task sees ``block`` rows at a
-    time, and a long series is spread over all of them.
+    it; a fold over blocks carries the state; every block then runs from its own first state. A task goes through its sorted blocks
+    batch by batch, all blocks of a batch at once, and a long series is spread over all tasks.
     """
     m, g, s0 = (np.asarray(v, float) for v in (matrix, gain, start))
     size = len(g)
 
-    def steps(frame: pd.DataFrame, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States after each row from ``state`` (columns run side by side), and the linear part left of the first one."""
-        out = np.empty((len(frame), *state.shape))
-        for r, (i, x, cut) in enumerate(zip(frame["i"].tolist(), frame["x"].tolist(), frame["cut"].tolist())):
-            if cut or i == 0:
-                state = np.zeros_like(state) + (s0 * x)[:, None] * np.append(np.zeros(state.shape[1] - 1), 1)
-            else:
-                state = m @ state + (g * x)[:, None] * np.append(np.zeros(state.shape[1] - 1), 1)
-            out[r] = state
-        return out
-
-    def compose(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = np.hstack([np.eye(size), np.zeros((size, 1))])  # columns: unit states, then the constant part
-        last = steps(frame.sort_values("i"), whole)[-1]
-        return pd.DataFrame({key: frame[key].iloc[:1], "block": frame["block"].iloc[:1], "linear": [last[:, :size].ravel()], "constant": [last[:, size]]})
+    def steps(i: np.ndarray, x: np.ndarray, cut: np.ndarray, state: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last states of blocks of rows begins..ends from their ``state`` (blocks, size, columns), and the first component after each row.
+
+        All blocks go one row on at a time; the last column alone takes what the row adds.
+        """
+        y = np.empty(len(i))
+        for r in range(int((ends - begins).max(initial=0))):
+            on = np.flatnonzero(begins + r < ends)
+            at = begins[on] + r
+            anew = cut[at] | (i[at] == 0)
+            moved = np.where(anew[:, None, None], 0.0, m @ state[on])
+            moved[:, :, -1] += np.where(anew[:, None], s0, g) * x[at, None]
+            state[on] = moved
+            y[at] = moved[:, 0, -1]
+        return state, y
+
+    def whole_blocks(batches: Iterator[pa.RecordBatch], is_first: Callable[[pa.Table], np.ndarray]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Tables of whole blocks and where these begin; what a batch has of its last block waits for the next one."""
+        left = None
+        for got in batches:
+            rows = pa.Table.from_batches([got]) if left is None else pa.concat_tables([left, pa.Table.from_batches([got])])
+            begins = np.flatnonzero(is_first(rows))
+            if len(begins):
+                left = rows.slice(begins[-1])
+                if len(begins) > 1:
+                    yield rows.slice(0, begins[-1]).combine_chunks(), begins[:-1]
+        if left is not None and left.num_rows:
+            yield left.combine_chunks(), np.array([0])
+
+    def numbers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of = lambda c: rows[c].to_numpy(zero_copy_only=False)
+        return of("i"), of("x").astype(float), np.array([bool(v) for v in of("cut")])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begins in whole_blocks(batches, lambda t: t["i"].to_numpy() % block == 0):
+            unit = np.tile(np.hstack([np.eye(size), np.zeros((size, 1))]), (len(begins), 1, 1))  # columns: unit states, then the constant part
+            last, _ = steps(*numbers(rows), unit, begins, np.append(begins[1:], rows.num_rows))
+            lists = [pa.array(v.tolist(), pa.list_(pa.float64())) for v in (last[:, :, :size].reshape(len(begins), -1), last[:, :, size])]
+            yield from pa.table([rows[key].take(begins), rows["block"].take(begins), *lists], [key, "block", "linear", "constant"]).combine_chunks().to_batches()
 
     def carry(found: Iterator[tuple]) -> Iterator[tuple]:
         state = np.zeros(size)
@@ -351,16 +374,19 @@ def affine_scan(rows: DataFrame, key: str, key_type: str, matrix: np.ndarray, ga
             yield k, number, state.tolist()
             state = np.reshape(linear, (size, size)) @ state + np.asarray(constant)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i")
-        got = steps(frame, np.asarray(frame["entry"].iloc[0], float)[:, None])
-        return pd.DataFrame({key: frame[key].to_numpy(), "i": frame["i"].to_numpy(), "y": got[:, 0, 0]})
-
-    blocks = rows.select(key, F.col("i").cast("long").alias("i"), "x", "cut", F.floor(F.col("i") / block).alias("block"))
-    maps = blocks.groupBy(key, "block").applyInPandas(compose, f"{key} {key_type}, block bigint, linear array<double>, constant array<double>")
-    entries = ordered_fold(maps, [key], ["block"], f"of_{key} {key_type}, of_block bigint, entry array<double>", carry)
-    met = blocks.join(entries, F.col(key).eqNullSafe(F.col(f"of_{key}")) & (F.col("block") == F.col("of_block")))
-    return met.select(key, "i", "x", "cut", "block", "entry").groupBy(key, "block").applyInPandas(run, f"{key} {key_type}, i bigint, y double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, marks in whole_blocks(batches, lambda t: t["i"].to_numpy() < 0):
+            states = np.array(rows["entry"].take(marks).to_pylist())[:, :, None]
+            _, y = steps(*numbers(rows), states, marks + 1, np.append(marks[1:], rows.num_rows))
+            made = pa.table([rows[key], rows["i"], pa.array(y)], [key, "i", "y"])
+            yield from made.filter(pa.array(rows["i"].to_numpy() >= 0)).combine_chunks().to_batches()
+
+    blocks = rows.select(key, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"), F.coalesce("cut", F.lit(False)).alias("cut"), F.floor(F.col("i") / block).alias("block"))
+    dealt = lambda rows: rows.repartition(key, "block").sortWithinPartitions(key, "block", "i")
+    maps = dealt(blocks).mapInArrow(compose, f"{key} {key_type}, block bigint, linear array<double>, constant array<double>")
+    entries = ordered_fold(maps, [key], ["block"], f"{key} {key_type}, block bigint, entry array<double>", carry)
+    heads = entries.select(key, F.lit(-1).cast("long").alias("i"), F.lit(0.0).alias("x"), F.lit(False).alias("cut"), "block", "entry")  # before the rows of their block
+    return dealt(blocks.withColumn("entry", F.lit(None).cast("array<double>")).unionByName(heads)).mapInArrow(run, f"{key} {key_type}, i bigint, y double")
 
 
 def spring(series: DataFrame, key: str, key_type: str, dt: float, omega: float = 9.0, block: int = 4096) -> DataFrame:

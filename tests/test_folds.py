@@ -203,3 +203,12 @@ def test_user_bounds(spark):
     asked = spark.createDataFrame([(1, 0, 0.0, 6.5), (1, 1, 0.0, 2.0), (1, 2, 2.1, 5.1 - 0.06), (1, 3, 20.0, 30.0), (1, 4, 1.97, 30.0)], "k long, id long, a double, b double")
     got = {r.id: (r.reason, r.start, r.end, r.first_word, r.last_word) for r in edits.snapped_bounds(asked, words, "k", 2.9).collect()}
     assert got == {0: (None, 0.88, 7.3, 0, 2), 1: ("too short", None, None, None, None), 2: ("no speech", None, None, None, None), 3: ("no speech", None, None, None, None), 4: (None, 4.88, 7.3, 1, 2)}
+
+
+def test_spring_calls_no_function_per_block(spark):
+    """Blocks go through tasks batch by batch: a call for each block of 16 samples was most of the time."""
+    from spanloom.operators import folds
+
+    rows = spark.range(100).selectExpr("id % 3 AS k", "id div 3 AS i", "id / 100 AS x", "id % 20 = 0 AS cut")
+    plan = folds.spring(rows, "k", "long", 0.25, block=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
