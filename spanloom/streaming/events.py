@@ -50,10 +50,10 @@ def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | No
     return spark.read.parquet(f"{folder}/out")
 
 
-def in_rounds(blocks: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append") -> DataFrame:
+def in_rounds(blocks: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """What ``build`` gives for rows that arrive block by block: each block is one batch of a run that goes on from the run before."""
     spark = blocks[0].sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
     for block in blocks:
         block.write.mode("append").parquet(f"{folder}/in")
         found = drained(build(spark.readStream.schema(block.schema).parquet(f"{folder}/in")), name, mode, folder)
@@ -108,13 +108,34 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user with breaks of six hours, over four batches; rows that come eight days late are dropped."""
+    found = sessions(arrivals(spark, sf_dir, late=True), "user_id", 6, 1)
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
-    def sessions(stream: DataFrame) -> DataFrame:
-        found = stream.withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n"))
-        return found.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
-    found = in_rounds(arrivals(spark, sf_dir, late=True), sessions, "session")
-    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+def sessions(blocks: list[DataFrame], key: str, gap: int, delay: int) -> DataFrame:
+    """(key, start, end, n): sessions with breaks of ``gap`` hours of rows (key, ts, ...) that arrive in ``blocks``, once the mark, ``delay`` hours behind, has passed their end.
+
+    A row counts as long as its own session would still be open, and may then join one that has ended up to ``gap`` hours before the mark. So
+    state is kept that much longer, rows behind the mark of the blocks before are left out by the time itself, and what has ended
+    but could still grow is read from the state at the end.
+    """
+    spark = blocks[0].sparkSession
+    folder = shared_folder(spark, "session")
+    latest = [block.agg(F.max("ts")).first()[0] for block in blocks]
+
+    def build(stream: DataFrame) -> DataFrame:
+        windows = stream.withWatermark("ts", f"{delay + gap} hours").groupBy(key, F.session_window("ts", f"{gap} hours").alias("s")).agg(F.count("*").alias("n"))
+        return windows.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+
+    kept = []
+    for number, block in enumerate(blocks):
+        before = max((t for t in latest[:number] if t is not None), default=None)
+        kept.append(block if before is None else block.where(F.col("ts") + F.expr(f"INTERVAL {gap} HOURS") > F.lit(before) - F.expr(f"INTERVAL {delay} HOURS")))
+    found = in_rounds(kept, build, "session", folder=folder).select(key, "start", "end", "n")
+    state = spark.read.format("statestore").load(f"{folder}/state")
+    held = state.select(F.col(f"key.{key}").alias(key), F.col("value.session_window.start").alias("start"), F.col("value.session_window.end").alias("end"), F.col("value.count").alias("n"))
+    mark = max((t for t in latest if t is not None), default=None)
+    return found.unionByName(held.where(F.col("end") <= F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {delay} HOURS")))
 
 
 @query(

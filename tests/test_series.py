@@ -313,3 +313,17 @@ def test_millis_round_like_sql(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(99, None)], "i int, v double").orderBy("i")
     assert [r[0] for r in rows.select(to_millis(F.col("v"))).collect()] == [*want, None]
     assert want[0] < 0.5005 < spark.range(1).select(F.round(F.lit(0.5005), 3)).first()[0]
+
+
+def test_late_row_joins_an_ended_session(spark):
+    """A row behind the mark counts while its own session would be open, and then joins a session that had ended before the mark."""
+    import datetime
+
+    from spanloom.streaming.events import sessions
+
+    at = lambda text: datetime.datetime.fromisoformat(f"2024-01-{text}+00:00")
+    block = lambda *rows: spark.createDataFrame([(k, at(t)) for k, t in rows], "k long, ts timestamp")
+    blocks = [block((1, "01T10:30"), (2, "01T23:00")), block((1, "01T16:20"), (1, "01T15:00"), (2, "03T12:00")), block((2, "05T12:00"), (2, "05T19:30"))]
+    got = {(r.k, r.a, r.b, r.n) for r in sessions(blocks, "k", 6, 1).selectExpr("k", "date_format(start, 'dd HH:mm') AS a", "date_format(end, 'dd HH:mm') AS b", "n").collect()}
+    assert got == {(1, "01 10:30", "01 22:20", 2), (2, "01 23:00", "02 05:00", 1), (2, "03 12:00", "03 18:00", 1), (2, "05 12:00", "05 18:00", 1)}
+    assert sessions([b.limit(0) for b in blocks], "k", 6, 1).collect() == []
