@@ -69,7 +69,7 @@ def log_facts(rows: DataFrame, key: str, log: str) -> DataFrame:
     """
     text = F.coalesce(F.col(log), F.lit(""))
     numbers = lambda form, k: F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(k)), lambda x: x.try_cast("double"))
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: F.round(acc + F.coalesce(x, F.lit(0.0)), 9))  # decimals add up without a trace of their order
     spans = r"black_start:([0-9.]+) black_end:([0-9.]+) black_duration:[0-9.]+"
     black = F.zip_with(numbers(spans, 1), numbers(spans, 2), lambda a, b: b - a)
     starts, still = numbers(r"freeze_start: ([0-9.]+)", 1), numbers(r"freeze_duration: ([0-9.]+)", 1)

@@ -137,3 +137,14 @@ def test_spans_of_some_first_sentences(spark):
     firsts = known.where("sentence % 7 = 3").selectExpr("conv_id", "sentence AS i")
     some = {tuple(r) for r in scores(span_rows(known, "conv_id", 60.0, 3.0, firsts)).select("conv_id", "i", "j", "score").collect()}
     assert some and some == {r for r in every if r[1] % 7 == 3}
+
+
+def test_log_durations_add_up_to_their_decimal_sum(spark):
+    """2.1 + 0.1 + 0.8 is 3.0000000000000004 in doubles in one order and 3.0 in another."""
+    from itertools import permutations
+
+    from spanloom.operators.quality import log_facts
+
+    logs = ["\n".join(f"freeze_start: 2\nfreeze_duration: {x}" for x in p) for p in permutations(("2.100", "0.100", "0.800"))]
+    rows = spark.createDataFrame(list(enumerate(logs)), "k int, log string")
+    assert {r.frozen for r in log_facts(rows, "k", "log").collect()} == {3.0}
