@@ -12,8 +12,9 @@ how many rows had to be visited before each turned up; the ``RECALL`` quantile o
 neighbours in clusters get a small one, whatever the table's size; vectors without any structure a large one.
 
 Leaves are cut into blocks of ``LEAF_BLOCK`` rows and queries into blocks of ``QUERY_BLOCK``, so a leaf full of equal
-vectors is spread over tasks. Each pair of blocks that meet is reranked exactly in double precision and gives its 20
-best, and these are merged per query. Measured recall is in the README; it is checked against brute force in the tests.
+vectors is spread over tasks. Blocks of leaves are dealt into ``BUNDLES`` bundles. A block of queries goes through a sorted bundle leaf by
+leaf, is reranked exactly in double precision, and keeps its 20 best over all leaves of the bundle, so a query gives at most
+20 rows a bundle, however many leaves it visits; these are merged per query. Measured recall is in the README; it is checked against brute force in the tests.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or whose length is not the most
 common one take no part; of rows with equal vec_id the one with the least vector counts, once as candidate and once as query; fewer candidates than 20
@@ -42,6 +43,10 @@ RECALL = 0.94
 PROBE_ROWS = 64
 LEAF_BLOCK = 4096
 QUERY_BLOCK = 16_384
+BUNDLES = 16
+QUERY_ROWS = 256
+PAIRS = 8192
+WAITING = 500_000
 QUERY_EVERY = 20
 
 
@@ -169,6 +174,93 @@ def calibrated(forest: Forest, indexed: DataFrame, query_every: int, k: int, rec
     return int(np.quantile(needed, recall, method="higher")) + 1
 
 
+class Best:
+    """The ``k`` best rows of each query so far; beside them at most ``WAITING`` and one call's rows wait to be sorted in."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.waiting, self.n = k, [], 0
+        self.queries, self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.known, self.least = np.empty(0, np.int64), np.empty(0)
+
+    def floor(self, queries: np.ndarray) -> np.ndarray:
+        """Of each query the score that a row must reach; -inf while there are fewer than ``k``."""
+        if not len(self.known):
+            return np.full(len(queries), -np.inf)
+        at = np.minimum(np.searchsorted(self.known, queries), len(self.known) - 1)
+        return np.where(self.known[at] == queries, self.least[at], -np.inf)
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.waiting.append((queries, ids, scores))
+        self.n += len(ids)
+        if self.n >= WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        q, v, s = (np.concatenate(c) for c in zip((self.queries, self.ids, self.scores), *self.waiting))
+        self.waiting, self.n = [], 0
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        if len(q):
+            new = np.concatenate(([True], (q[1:] != q[:-1]) | (v[1:] != v[:-1])))  # a row has the same score in every tree
+            q, v, s = q[new], v[new], s[new]
+            begin = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+            held = np.diff(np.append(begin, len(q)))
+            self.known, self.least = q[begin], np.where(held >= self.k, s[begin + np.minimum(held, self.k) - 1], -np.inf)
+            kept = np.arange(len(q)) - np.repeat(begin, held) < self.k
+            q, v, s = q[kept], v[kept], s[kept]
+        self.queries, self.ids, self.scores = q, v, s
+
+
+def rerank(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, best: Best) -> None:
+    """Put those of the rows ``ids`` (vectors ``x``) into ``best`` that may be among the best of the queries."""
+    for a in range(0, len(q), QUERY_ROWS):
+        own = query_ids[a : a + QUERY_ROWS]
+        scores = q[a : a + QUERY_ROWS] @ x.T
+        scores[ids[None, :] == own[:, None]] = -np.inf
+        least = best.floor(own)
+        if len(ids) > best.k:
+            unknown = np.flatnonzero(least == -np.inf)
+            least[unknown] = np.partition(scores[unknown], -best.k, axis=1)[:, -best.k]
+        slack = np.where(np.isfinite(least), 1e-9 * (1 + np.abs(least)), 0.0)
+        which, near = np.nonzero((scores >= (least - slack)[:, None]) & (scores > -np.inf))
+        for b in range(0, len(near), PAIRS):
+            i, j = which[b : b + PAIRS], near[b : b + PAIRS]
+            best.add(own[i], ids[j], (x[j] * q[a + i]).sum(axis=1))  # one order of summation, so equal vectors have equal scores
+
+
+def reranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Best rows of each query and bundle from (query_block, bundle, leaf, block, asks, id, vector) sorted by all but the last two: a block's rows, then its queries."""
+
+    def done() -> pa.RecordBatch:
+        best.settle()
+        return pa.RecordBatch.from_arrays([pa.array(best.queries), pa.array(best.ids), pa.array(best.scores)], ["query_id", "vec_id", "score"])
+
+    best, bundle, leaf, held = Best(k), None, None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("query_block", "bundle", "leaf", "block", "asks")])
+        ids = b.column("id").to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            *at, asks = keys[begin].tolist()
+            if at[:2] != bundle:
+                if len(best.queries) or best.n:
+                    yield done()
+                best, bundle = Best(k), at[:2]
+            if at != leaf:
+                leaf, held = at, []
+            part = ids[begin:end], matrix(b.column("vector").slice(begin, end - begin))
+            if not asks:
+                held.append(part)
+            elif held:
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(c) for c in zip(*held))]
+                rerank(*held[0], *part, best)
+    if len(best.queries) or best.n:
+        yield done()
+
+
 def nearest(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): neighbours of rows whose vec_id is divisible by ``query_every`` among all rows."""
     spark, kind = vectors.sparkSession, vectors.schema["embedding"].dataType.simpleString()
@@ -212,27 +304,11 @@ def nearest(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, tree
     asked = asked.select("query_id", "query", F.explode("leaves").alias("leaf"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), (block_of - 1).cast("bigint"))))
 
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if left.num_rows and right.num_rows:
-            ids, x = left.column("vec_id").to_numpy(), matrix(left.column("embedding"))
-            query_ids, q = right.column("query_id").to_numpy(), matrix(right.column("query"))
-            for a in range(0, len(q), 512):
-                scores = q[a : a + 512] @ x.T
-                scores[ids[None, :] == query_ids[a : a + 512, None]] = -np.inf
-                for i, s in enumerate(scores):
-                    least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                    near = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least))) & (s > -np.inf)) if least > -np.inf else np.flatnonzero(s > -np.inf)
-                    exact = (x[near] * q[a + i]).sum(axis=1)  # one order of summation, so equal vectors have equal scores
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out[0].append(np.full(len(best), query_ids[a + i]))
-                    out[1].append(ids[near][best])
-                    out[2].append(exact[best])
-        cols = [np.concatenate(c) if c else np.empty(0) for c in out]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    key = ["leaf", "block", "query_block"]
-    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
+    bundle = F.pmod(F.xxhash64("leaf", F.col("block").cast("bigint")), F.lit(BUNDLES)).cast("int").alias("bundle")
+    rows = held.select("query_block", bundle, "leaf", F.col("block").cast("bigint").alias("block"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = rows.unionAll(asked.select("query_block", bundle, "leaf", F.col("block").cast("bigint").alias("block"), F.lit(1).alias("asks"), F.col("query_id").alias("id"), F.col("query").alias("vector")))
+    dealt = rows.repartition("query_block", "bundle").sortWithinPartitions("query_block", "bundle", "leaf", "block", "asks")
+    found = dealt.mapInArrow(lambda batches: reranked(batches, k), "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

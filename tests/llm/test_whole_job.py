@@ -264,3 +264,24 @@ def test_op2_precision_and_recall_of_added_spans(spark):
         right = sum(got[i] == [kind] for i, w in enumerate(wanted) if w == kind)
         added = sum(k == kind for i, w in enumerate(wanted) for k in got[i])
         assert right >= 0.9 * 300 and right >= 0.97 * added, (kind, right, added)
+
+
+def test_op5_rows_a_bundle():
+    """However many leaves a query visits in a bundle, it gives k rows there, those of brute force; ties go to smaller ids, and copies in other trees count once."""
+    import pyarrow as pa
+
+    from spanloom.llm import ann
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate((rng.normal(size=(900, 8)), np.tile(rng.normal(size=8), (100, 1))))
+    rows = sorted((0, b, leaf, 0, asks, i) for b in range(2) for leaf in range(30) for asks, ids in ((0, [i for i in range(1000) if (i + leaf) % 15 < 2]), (1, range(0, 1000, 20))) for i in ids)
+    names = ["query_block", "bundle", "leaf", "block", "asks", "id"]
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows)] + [pa.array([x[r[-1]].tolist() for r in rows], pa.list_(pa.float64()))]
+    whole = pa.RecordBatch.from_arrays(columns, [*names, "vector"])
+    got = [tuple(r.values()) for b in ann.reranked((whole.slice(a, 701) for a in range(0, len(rows), 701)), 20) for r in b.to_pylist()]
+    assert len(got) == 2 * 50 * 20
+    for q in range(0, 1000, 20):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        best = [(q, int(i), s[i]) for i in np.lexsort((np.arange(1000), -s))[:20]]
+        assert sorted(g for g in got if g[0] == q) == sorted(2 * best)
