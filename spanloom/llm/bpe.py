@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import RangeCache, give_back, ranges, slices, table, whole_text
+from spanloom.llm.common import RangeCache, give_back, kept, ranges, slices, table, whole_text
 
 LONG_WORD = 400
 CACHE_WORDS = 300_000
@@ -198,14 +198,9 @@ class Codec:
             yield ids, decoded
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(ranks_path: str, pattern: str) -> Codec:
-    """This process's codec; Spark reuses Python workers, so its cache outlives a task."""
-    if (ranks_path, pattern) not in _CODECS:
-        _CODECS[ranks_path, pattern] = Codec(ranks_path, pattern)
-    return _CODECS[ranks_path, pattern]
+    """This process's codec; Spark reuses Python workers, so its cache outlives a task, until another operator uses the worker."""
+    return kept(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False, with_ids: bool = False) -> DataFrame:
@@ -214,7 +209,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", owner=("bpe", ranks_path, pattern)):
             both = list(own.encode_batch(part.column("text").to_pylist()))
             n = pa.array([len(i) // 4 for i, _ in both], pa.int64())
             cols = {"doc_id": part.column(0), "n_tokens": n}

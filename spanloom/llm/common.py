@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +55,28 @@ def held_out_mask(ids: list, modulus: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % modulus == 0 for i in ids), bool, len(ids))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+#: The one large helper that this Python worker keeps between tasks, by its owner.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(owner: tuple, build: Callable[[], object] | None = None):
+    """What ``build`` made for ``owner`` in this process. Another owner's is dropped: Spark reuses Python workers for later stages."""
+    if owner not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            give_back()
+        if build is not None:
+            _KEPT[owner] = build()
+    return _KEPT.get(owner)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, owner: tuple = ()) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each piece hold about ``limit`` bytes; a longer text is a piece of its own.
 
-    After the last piece, freed memory is given back: Spark reuses Python workers for later stages.
+    What this worker keeps for others than ``owner`` is dropped first. After the last piece, freed memory is given back.
     """
+    kept(owner)
     for batch in batches:
         if not batch.num_rows:
             continue

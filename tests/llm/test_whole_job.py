@@ -285,3 +285,18 @@ def test_op5_rows_a_bundle():
         s[q] = -np.inf
         best = [(q, int(i), s[i]) for i in np.lexsort((np.arange(1000), -s))[:20]]
         assert sorted(g for g in got if g[0] == q) == sorted(2 * best)
+
+
+def test_workers_drop_what_other_operators_keep():
+    """The codec of op9 leaves a reused Python worker as soon as another operator begins there, and stays for its own tasks."""
+    import pyarrow as pa
+
+    from spanloom.llm import bpe, common
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a b"]})
+    own = bpe.codec(bpe.default_ranks(), bpe.default_pattern())
+    owner = ("bpe", bpe.default_ranks(), bpe.default_pattern())
+    list(common.slices(iter([batch]), "text", owner=owner))
+    assert bpe.codec(bpe.default_ranks(), bpe.default_pattern()) is own
+    list(common.slices(iter([batch]), "text"))
+    assert not common._KEPT
