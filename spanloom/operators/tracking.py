@@ -395,12 +395,12 @@ def near_hashes(left: DataFrame, right: DataFrame, most: int = 10, blocks: int =
 def fingerprint_cross(prints: DataFrame, others: DataFrame) -> DataFrame:
     """(id, other, similarity): the best share over shifts of -3 to 3 of places whose hashes differ in ten bits at most; pairs with a match.
 
-    ``prints`` and ``others`` have (id, i, f) with i from 0. Votes are counted by pair and shift; places that a shift compares follow from the lengths.
+    ``prints`` and ``others`` have (id, i, f) with i from 0; the others, which are fewer, are repeated for each shift. Votes are counted by pair and shift; places that a shift compares follow from the lengths.
     """
     n = prints.groupBy("id").agg(F.count("*").alias("n_a"))
     m = others.groupBy(F.col("id").alias("other")).agg(F.count("*").alias("n_b"))
-    left = prints.select("id", "i", "f", F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("shift")).withColumn("j", F.col("i") + F.col("shift"))
-    met = near_hashes(left, others.select(F.col("id").alias("other"), F.col("i").alias("j"), F.col("f").alias("g")), blocks=11, on=("j",)).where("id <> other")
+    shifted = others.select(F.col("id").alias("other"), F.col("i").alias("j"), F.col("f").alias("g"), F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("shift"))
+    met = near_hashes(prints.select("id", "i", "f"), shifted.withColumn("i", F.col("j") - F.col("shift")).drop("j"), blocks=11, on=("i",)).where("id <> other")
     votes = met.join(n, "id").join(m, "other").where(F.col("i") < F.least("n_a", "n_b")).groupBy("id", "other", "shift", "n_a", "n_b").agg(F.count("*").alias("votes"))
     least = F.least("n_a", "n_b")
     places = F.least(least, F.col("n_b") - F.col("shift")) - F.greatest(F.lit(0), -F.col("shift"))

@@ -327,3 +327,22 @@ def test_late_row_joins_an_ended_session(spark):
     got = {(r.k, r.a, r.b, r.n) for r in sessions(blocks, "k", 6, 1).selectExpr("k", "date_format(start, 'dd HH:mm') AS a", "date_format(end, 'dd HH:mm') AS b", "n").collect()}
     assert got == {(1, "01 10:30", "01 22:20", 2), (2, "01 23:00", "02 05:00", 1), (2, "03 12:00", "03 18:00", 1), (2, "05 12:00", "05 18:00", 1)}
     assert sessions([b.limit(0) for b in blocks], "k", 6, 1).collect() == []
+
+
+def test_fingerprints_repeat_the_fewer_side(spark, monkeypatch):
+    """Shifts repeat the sequences that are compared with, not all prints, whose rows were seven times as many."""
+    from spanloom.operators import tracking
+
+    sides = []
+    met = tracking.near_hashes
+    monkeypatch.setattr(tracking, "near_hashes", lambda left, right, **more: sides.append((left.count(), right.count())) or met(left, right, **more))
+    rows = [(u, i, (u % 5) * 1_000_003 + i * 7919) for u in range(40) for i in range(6)]
+    prints = spark.createDataFrame(rows, "id long, i int, f long")
+    got = {(r.id, r.other): r.similarity for r in tracking.fingerprint_cross(prints, prints.where("id < 3")).collect()}
+    assert sides == [(240, 126)]
+    near = lambda a, b: bin(a ^ b).count("1") <= 10
+    f = {(u, i): v for u, i, v in rows}
+    for a in range(40):
+        for b in range(3):
+            best = max(sum(near(f[a, i], f[b, i + s]) for i in range(6) if 0 <= i + s < 6) / (6 - abs(s)) for s in range(-3, 4))
+            assert (a == b or not best) == ((a, b) not in got) and got.get((a, b), best) == best
