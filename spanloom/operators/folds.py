@@ -31,6 +31,20 @@ BATCH_ROWS = 10_000
 Fold = Callable[[Iterator[tuple]], Iterator[tuple]]
 
 
+def values_of(column: pa.Array) -> list:
+    """The column as Python values, as ``to_pylist`` gives them; numbers, truth values and texts go through numpy, which is several times as fast."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    found = column.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False).astype(object)
+    found[column.is_null().to_numpy(zero_copy_only=False)] = None
+    return found.tolist()
+
+
 def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, fold: Fold) -> DataFrame:
     """Rows that ``fold`` gives for each key from its rows (tuples of all columns) in ``order``; ``schema`` is the result's."""
     types = T.StructType.fromDDL(schema)
@@ -38,7 +52,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, fol
     key_of = itemgetter(*[rows.columns.index(k) for k in keys])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (row for b in batches if b.num_rows for row in zip(*[c.to_pylist() for c in b.columns]))
+        stream = (row for b in batches if b.num_rows for row in zip(*[values_of(c) for c in b.columns]))
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:

@@ -16,6 +16,7 @@ import math
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import combinations, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,13 +47,21 @@ def follow(state: dict, boxes: list[tuple], cut: bool) -> list[int]:
     """
     live = [] if cut else state["live"]
     pairs = []
+    places = list(enumerate([box[0] for box in boxes]))
+    widest = max([box[2] for box in boxes], default=0.0) / 2 + 1e-9
     for t, (_, last, _) in enumerate(live):
-        for i, box in enumerate(boxes):
-            iou, far = box_iou(last, box), math.hypot(last[0] - box[0], last[1] - box[1])
-            if iou >= LEAST_IOU or far <= MOST_DISTANCE:
-                pairs.append((iou - far, t, i))
+        x = last[0]
+        reach = max(MOST_DISTANCE, last[2] / 2 + widest)  # what is farther aside neither overlaps nor is near
+        for i, at in places:
+            if -reach <= at - x <= reach:
+                box = boxes[i]
+                iou, far = box_iou(last, box), math.hypot(x - at, last[1] - box[1])
+                if iou >= LEAST_IOU or far <= MOST_DISTANCE:
+                    pairs.append((iou - far, t, i))
+    if len(pairs) > 1:
+        pairs.sort(reverse=True)
     of_box, of_track = {}, {}
-    for _, t, i in sorted(pairs, reverse=True):
+    for _, t, i in pairs:
         if t not in of_track and i not in of_box:
             of_track[t], of_box[i] = i, t
     kept, out = [], [0] * len(boxes)
@@ -71,19 +80,19 @@ def follow(state: dict, boxes: list[tuple], cut: bool) -> list[int]:
     return out
 
 
-def tracks(boxes: DataFrame, key: str, key_type: str) -> DataFrame:
-    """(key, frame, box, track) of ``boxes`` (key, frame, box, cx, cy, w, h, cut); a frame without boxes is a row with a null box."""
+def tracks(boxes: DataFrame, key: str, key_type: str, height: bool = False) -> DataFrame:
+    """(key, frame, box, track) of ``boxes`` (key, frame, box, cx, cy, w, h, cut), with h behind if ``height``; a frame without boxes is a row with a null box."""
 
     def fold(found: Iterator[tuple]) -> Iterator[tuple]:
         state = {"next": 0, "live": []}
-        for frame, own in groupby(found, key=lambda r: r[1]):
+        for frame, own in groupby(found, key=itemgetter(1)):
             rows = list(own)
             there = [r for r in rows if r[2] is not None]
-            for r, track in zip(there, follow(state, [r[3:7] for r in there], any(r[7] for r in rows))):
-                yield r[0], frame, r[2], track
+            for r, track in zip(there, follow(state, [r[3:7] for r in there], rows[0][7] or any([r[7] for r in rows]))):
+                yield (r[0], frame, r[2], track, r[6]) if height else (r[0], frame, r[2], track)
 
     rows = boxes.select(key, "frame", "box", "cx", "cy", "w", "h", F.coalesce("cut", F.lit(False)).alias("cut"))
-    return ordered_fold(rows, [key], ["frame", "box"], f"{key} {key_type}, frame bigint, box bigint, track bigint", fold)
+    return ordered_fold(rows, [key], ["frame", "box"], f"{key} {key_type}, frame bigint, box bigint, track bigint{', h double' if height else ''}", fold)
 
 
 def tracks_of_stream(boxes: DataFrame, key: str, key_type: str) -> DataFrame:
@@ -133,7 +142,7 @@ def speakers(faces: DataFrame, shot: list[str], types: str, hold: float, window:
     def fold(found: Iterator[tuple]) -> Iterator[tuple]:
         current = rival = None
         begun, since = False, 0.0
-        for i, own in groupby(found, key=lambda r: r[n]):
+        for i, own in groupby(found, key=itemgetter(n)):
             own = list(own)
             t, speaking = own[0][n + 1], own[0][n + 6]
             there = {r[n + 3]: (r[n + 5], r[n + 4]) for r in own if r[n + 3] is not None}
@@ -159,10 +168,10 @@ def speakers(faces: DataFrame, shot: list[str], types: str, hold: float, window:
 def speaker_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whom a camera follows among the tracks of each supplier, in shots of 53 weeks."""
     boxes = line_boxes(table(spark, sf_dir, "lineitem"))
-    found = tracks(boxes, "series", "bigint").join(boxes.select("series", "frame", "box", "h"), ["series", "frame", "box"])
-    found = found.withColumn("shot", F.floor(F.col("frame") / 53)).withColumn("i", (F.dense_rank().over(Window.partitionBy("series", "shot").orderBy("frame")) - 1).cast("long"))
+    found = tracks(boxes, "series", "bigint", height=True).withColumn("shot", F.floor(F.col("frame") / 53)).withColumn("i", (F.dense_rank().over(Window.partitionBy("series", "shot").orderBy("frame")) - 1).cast("long"))
     once = found.groupBy("series", "shot", "i", "frame", "track").agg(F.min("box").alias("place"), F.max("h").alias("width"), F.max((F.col("box") % 7) / 20).alias("activity"))
     faces = once.select("series", "shot", "i", (F.col("frame") * 0.5).alias("t"), "place", "track", "width", "activity", (F.col("frame") % 5 != 0).alias("speaking"))
+    faces = checkpointed(faces)  # speakers reads them twice, and tracks are not to be followed twice
     return speakers(faces, ["series", "shot"], "series bigint, shot bigint", 2.0, 4)
 
 

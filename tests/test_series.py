@@ -346,3 +346,14 @@ def test_fingerprints_repeat_the_fewer_side(spark, monkeypatch):
         for b in range(3):
             best = max(sum(near(f[a, i], f[b, i + s]) for i in range(6) if 0 <= i + s < 6) / (6 - abs(s)) for s in range(-3, 4))
             assert (a == b or not best) == ((a, b) not in got) and got.get((a, b), best) == best
+
+
+def test_speaker_tracks_are_followed_once(spark, tmp_path):
+    """The tracks of all series are one pass over the lines, though their rows are used twice."""
+    from spanloom.operators import tracking
+
+    lines = spark.createDataFrame([(k, k % 3, k % 7, float(k % 50), 0.01 * (k % 10), k) for k in range(300)], "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, day int")
+    lines.selectExpr("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "date_add(DATE '1992-01-02', day * 3) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = tracking.speaker_series(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2  # the last fold; its plan may be shown as first and as final
+    assert found.count() > 0 and "lineitem" not in found._jdf.queryExecution().optimizedPlan().toString()
