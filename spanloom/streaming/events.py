@@ -8,6 +8,7 @@ that belong to them are dropped. State leaves with the watermark, but for ``stre
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -153,31 +154,40 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_rounds(arrivals(spark, sf_dir, late=False), joined, "join").select("view_id", "purchase_id")
 
 
+#: Groups that the keys of a throttle are dealt into: Spark's work for a group of pandas rows with state is milliseconds, whatever its size.
+BUCKETS = 2048
+_NO_ID = 2**63 - 1
+
+
 def throttled(stream: DataFrame, key: str, key_type: str, seconds: int) -> DataFrame:
-    """(key, event_id, ts): a key's events that are at least ``seconds`` behind the last one let through.
+    """(key, event_id, ts): a key's events that are at least ``seconds`` behind the last one let through; null keys and times take no part.
 
-    The state is the time of that one; a timer of event time removes it once the watermark is past the interval.
+    The state of a bucket of keys has the time of that one for each key, until the watermark is past the interval; a timer of event
+    time removes what is left once the watermark is past the last of them.
     """
     wait = seconds * 1_000_000
 
-    def step(key_values: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def step(bucket: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        last = state.get[0] if state.exists else None
+        rows = sorted(row for f in frames for row in zip(f["us"].tolist(), f["event_id"].tolist(), f[key].tolist()))
+        mark = state.getCurrentWatermarkMs()
+        last = dict(json.loads(state.get[0])) if state.exists else {}
         passed = []
-        for event, us in zip(rows["event_id"], rows["us"]):
-            if last is None or us - last >= wait:
-                passed.append((key_values[0], event, us))
-                last = us
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max((last + wait) // 1000, state.getCurrentWatermarkMs()) + 1)
+        for us, event, k in rows:
+            if k not in last or us - last[k] >= wait:
+                passed.append((k, event, us))
+                last[k] = us
+        last = {k: us for k, us in last.items() if (us + wait) // 1000 >= mark}
+        state.update((json.dumps(list(last.items())),))
+        state.setTimeoutTimestamp(max((max(last.values(), default=0) + wait) // 1000, mark) + 1)
         yield pd.DataFrame(passed, columns=[key, "event_id", "us"])
 
-    rows = stream.withWatermark("ts", "1 hour").select(key, "event_id", "ts", F.unix_micros("ts").alias("us"))
-    made = rows.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, event_id bigint, us bigint", "last bigint", "append", "EventTimeTimeout")
-    return made.select(key, "event_id", F.timestamp_micros("us").alias("ts"))
+    rows = stream.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", "1 hour")
+    rows = rows.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket"), key, F.coalesce("event_id", F.lit(_NO_ID)).alias("event_id"), "ts", F.unix_micros("ts").alias("us"))
+    made = rows.groupBy("_bucket").applyInPandasWithState(step, f"{key} {key_type}, event_id bigint, us bigint", "last string", "append", "EventTimeTimeout")
+    return made.select(key, F.nullif("event_id", F.lit(_NO_ID)).alias("event_id"), F.timestamp_micros("us").alias("ts"))
 
 
 @query(

@@ -357,3 +357,22 @@ def test_speaker_tracks_are_followed_once(spark, tmp_path):
     found = tracking.speaker_series(spark, str(tmp_path))
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2  # the last fold; its plan may be shown as first and as final
     assert found.count() > 0 and "lineitem" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_throttle_keys_share_a_bucket(spark, monkeypatch):
+    """Keys of one bucket keep their own times over batches; null keys and times take no part."""
+    from datetime import datetime, timedelta
+
+    from spanloom.streaming import events
+
+    monkeypatch.setattr(events, "BUCKETS", 1)
+    begin = datetime(2024, 1, 1)
+    rows = [(k, k % 5 if k % 11 else None, begin + timedelta(minutes=37 * k) if k % 13 else None) for k in range(200)]
+    frame = lambda part: spark.createDataFrame(part, "event_id long, user_id long, ts timestamp")
+    found = events.in_rounds([frame(rows[:90]), frame(rows[90:])], lambda s: events.throttled(s, "user_id", "bigint", 14_400), "throttle-test")
+    want, last = set(), {}
+    for event, user, ts in rows:
+        if user is not None and ts is not None and (user not in last or ts - last[user] >= timedelta(hours=4)):
+            want.add((user, event))
+            last[user] = ts
+    assert sorted((r.user_id, r.event_id) for r in found.collect()) == sorted(want)
