@@ -29,6 +29,8 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Words, held_out_mask, materialise, shared_path, slices, table, utf8_texts, whole_text
+from spanloom.llm.common import Words, held_out_mask, materialise, mix64, shared_path, slices, table, utf8_texts, whole_text
 
 #: Least count of an n-gram that is kept, by its length: all words, then what occurs twice (figures in the README).
 MIN_COUNTS = (1, 2, 2)
@@ -44,7 +46,11 @@ DISCOUNT = 0.75
 ALPHA = 0.1
 HELD_OUT = 10
 SHARD_KEYS = 2_000_000
+#: Training tokens for each task that adds up pairs, buckets in each, and pairs that a task holds before it deals them out.
+PART_TOKENS, BUCKETS, BLOCK_PAIRS = 1_000_000, 8, 1_000_000
 OPEN_SHARDS = 64
+#: Of texts that are looked up together: each distinct n-gram of a piece is looked up once.
+PIECE_BYTES = 2_000_000
 STEP = 1 / 32  # of quantised log10 probabilities
 END = np.int64(1)  # the end token's hash
 
@@ -107,9 +113,29 @@ class EliasFano:
         bits = self.high.take(word)
         return word * 64 + select_bit(bits if ones else ~bits, (k - edge.take(word)).astype(np.uint64))
 
+    def _select_two(self, k: np.ndarray, ones: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the ones or zeros number ``k`` and ``k + 1``: the second mostly stands in the same word."""
+        first = self._select(k, ones)
+        word = first >> 6
+        bits = self.high.take(word)
+        rest = (bits if ones else ~bits) & ~((_U[2] << (first & 63).astype(np.uint64)) - _U[1])
+        second = (word << 6) + np.bitwise_count((rest & (~rest + _U[1])) - _U[1])
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            second[far] = self._select(k[far] + 1, ones)
+        return first, second
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """Elements at the places ``i``."""
-        return self.base + (((self._select(i, True) - i) << self.bits) | self._low(i).astype(np.int64))
+        return self._value(self._select(i, True), i)
+
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements at the places ``i`` and ``i + 1``."""
+        first, second = self._select_two(i, True)
+        return self._value(first, i), self._value(second, i + 1)
+
+    def _value(self, position: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return self.base + (((position - i) << self.bits) | self._low(i).astype(np.int64))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         return self.low[i] & self.mask if self.width else np.zeros(len(i), np.uint64)
@@ -123,22 +149,24 @@ class EliasFano:
         y = (x[at] - self.base).astype(np.int64)
         h = y >> self.bits
         want = y.astype(np.uint64) & self.mask
-        hi = self._select(h, False) - h
-        lo = np.zeros(len(h), np.int64)
-        some = h > 0
-        lo[some] = self._select(h[some] - 1, False) - (h[some] - 1)
+        before = np.maximum(h - 1, 0)
+        lo, hi = (x - before for x in self._select_two(before, False))
+        hi = np.where(h > 0, hi - 1, lo)
+        lo[h == 0] = 0
         lo, hi = np.maximum(lo, first[at]), np.minimum(hi, last[at])
-        end = hi.copy()
+        # Elements of a range differ, so a search may stop at its value.
         act = np.flatnonzero(lo < hi)
+        lo, hi, want = lo[act], hi[act], want[act]
         while len(act):
-            mid = (lo[act] + hi[act]) >> 1
-            less = self._low(mid) < want[act]
-            lo[act[less]] = mid[less] + 1
-            hi[act[~less]] = mid[~less]
-            act = act[lo[act] < hi[act]]
-        hit = np.flatnonzero(lo < end)
-        hit = hit[self._low(lo[hit]) == want[hit]]
-        place[at[hit]] = lo[hit]
+            mid = (lo + hi) >> 1
+            low = self._low(mid)
+            same = np.flatnonzero(low == want)
+            place[at[act[same]]] = mid[same]
+            less = low < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            lo[same] = hi[same]
+            left = np.flatnonzero(lo < hi)
+            act, lo, hi, want = act[left], lo[left], hi[left], want[left]
         return place
 
 
@@ -232,8 +260,8 @@ class Sharded:
             own = of == k
             pointers = self.sequence(k, "pointer_")
             i = place[own] - self.starts[k]
-            first[own] = self.child_starts[k] + pointers.access(i)
-            last[own] = self.child_starts[k] + pointers.access(i + 1)
+            begin, end = pointers.access_two(i)
+            first[own], last[own] = self.child_starts[k] + begin, self.child_starts[k] + end
         return first, last
 
     def before(self, first: np.ndarray) -> np.ndarray:
@@ -269,10 +297,18 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of one of each distinct pair, sorted by pair; number of each pair's place among them). ``a`` and ``b`` are not negative."""
     if not len(a):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    width = int(b.max()) + 1
-    order = np.argsort(a * np.int64(width) + b) if (int(a.max()) + 1) * width < 1 << 63 else np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    width, shift = int(b.max()) + 1, len(a).bit_length()
+    span = (int(a.max()) + 1) * width
+    if span << shift < 1 << 63:  # numbers that carry their index sort several times as fast as indices
+        key = ((a * np.int64(width) + b) << shift) | np.arange(len(a))
+        key.sort()
+        order = key & ((1 << shift) - 1)
+        key >>= shift
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+    else:
+        order = np.argsort(a * np.int64(width) + b) if span < 1 << 63 else np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     back = np.empty(len(a), np.int64)
     back[order] = np.cumsum(new) - 1
     return order[new], back
@@ -306,58 +342,87 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Step:
-    """Of one level, per token: the n-gram ending here (-1 none), its code, and whether its context has children, with that code."""
+    """Of one level, per token: the n-gram ending here (-1 none), its code, and whether its context has children, with that code.
+
+    ``group`` numbers the distinct n-grams of the tokens in ascending order (-1 none), ``places`` has the place of each number.
+    """
 
     place: np.ndarray
     code: np.ndarray
     context: np.ndarray
     context_code: np.ndarray
+    group: np.ndarray
+    places: np.ndarray
+
+
+@dataclass
+class Found:
+    """Of the distinct words of tokens: place (-1 unknown) and count; ``group`` is each token's number among them."""
 
+    places: np.ndarray
+    counts: np.ndarray
+    group: np.ndarray
 
-def walk(model: Model, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[Step]]:
-    """Per token: word place (-1 unknown), word count, and a step per level."""
-    uniq, back = np.unique(hashes, return_inverse=True)
-    word, count = (x[back] for x in model.words.find(uniq, "count"))
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, number of each element's among them)."""
+    coded = pa.array(hashes).dictionary_encode()
+    uniq = coded.dictionary.to_numpy()
+    order = np.argsort(uniq)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return uniq[order], rank[coded.indices.to_numpy()]
+
+
+def walk(model: Model, hashes: np.ndarray, place: np.ndarray) -> tuple[Found, list[Step]]:
+    """The distinct words of tokens, and a step per level."""
+    uniq, group = numbered(hashes)
+    words = Found(*model.words.find(uniq, "count"), group)
     steps = []
-    last = word
+    # The distinct n-grams of a level are the contexts of the next: their places ascend with their numbers.
+    last, places = group, words.places
+    n = len(hashes)
     for k, (level, contexts) in enumerate(zip(model.levels, model.contexts)):
-        n = len(word)
-        step = Step(np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, np.int64))
+        step = Step(np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, np.int64), np.full(n, -1, np.int64), np.empty(0, np.int64))
         at = np.flatnonzero(place >= k + 1)
         at = at[last[at - 1] >= 0]
+        own = last[at - 1]
+        at, own = at[places[own] >= 0], own[places[own] >= 0]
         if len(at) and level.shards:
-            parents, back = np.unique(last[at - 1], return_inverse=True)
-            ctx, codes = contexts.find(parents, "code")
-            has = ctx >= 0
-            first, end, before = (np.zeros(len(parents), np.int64) for _ in range(3))
-            first[has], end[has] = contexts.children(ctx[has])
+            some = np.flatnonzero(places >= 0)
+            parents = places[some]
+            ctx, code = contexts.find(parents, "code")
+            has, codes = np.zeros(len(places), bool), np.zeros(len(places), np.int64)
+            has[some], codes[some] = ctx >= 0, code
+            first, end, before = (np.zeros(len(places), np.int64) for _ in range(3))
+            first[has], end[has] = contexts.children(ctx[ctx >= 0])
             before[has] = level.before(first[has])
-            step.context[at] = has[back]
-            step.context_code[at] = codes[back]
-            inner = np.flatnonzero(has[back] & (word[at] >= 0))
-            at, back = at[inner], back[inner]
-            one, again = unique_pairs(back, word[at])
-            own = back[one]
-            found, codes = level.search(first[own], end[own], before[own], word[at[one]])
-            step.place[at], step.code[at] = found[again], codes[again]
+            step.context[at] = has[own]
+            step.context_code[at] = codes[own]
+            inner = np.flatnonzero(has[own] & (words.places[group[at]] >= 0))
+            at, own = at[inner], own[inner]
+            one, again = unique_pairs(own, group[at])
+            parent = own[one]
+            step.places, codes = level.search(first[parent], end[parent], before[parent], words.places[group[at[one]]])
+            step.group[at], step.place[at], step.code[at] = again, step.places[again], codes[again]
         steps.append(step)
-        last = step.place
-    return word, count, steps
+        last, places = step.group, step.places
+    return words, steps
 
 
 def score_tokens(model: Model, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known, log10 base probability, log10 model probability) of every token."""
-    _, count, steps = walk(model, hashes, place)
-    base = np.log10(model.base(count))
+    words, steps = walk(model, hashes, place)
+    base = np.log10(model.base(words.counts))[words.group]
     score = base.copy()
     for step in steps:
         score = np.where(step.place >= 0, -step.code * STEP, score - np.where(step.context, step.context_code * STEP, 0.0))
-    return count > 0, base, score
+    return (words.counts > 0)[words.group], base, score
 
 
 # ---- building -------------------------------------------------------------------------------
 def training_texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    for piece in slices(iter([batch]), "text"):
+    for piece in slices(iter([batch]), "text", PIECE_BYTES):
         train = ~held_out_mask(piece.column("doc_id").to_pylist(), HELD_OUT)
         texts = [t for t, keep in zip(utf8_texts(piece), train) if keep]
         if texts:
@@ -379,27 +444,69 @@ def count_words(docs: DataFrame) -> DataFrame:
     return made.groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def dealt(pairs: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    """(bucket, parent, word, low, n) of pairs: one row a bucket, whose arrays are bytes."""
+    parent, word, low, n = (np.concatenate(c) for c in zip(*pairs))
+    mixed = mix64(parent.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) % np.uint64(buckets)
+    bucket = mixed.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    sizes = np.bincount(bucket, minlength=buckets)
+    some = np.flatnonzero(sizes)
+    upto = np.concatenate(([0], np.cumsum(sizes[some])))
+    cols = [
+        pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((upto * c.dtype.itemsize).astype(np.int32)), pa.py_buffer(c[order])])
+        for c in (parent.astype("<i8"), word.astype("<i8"), low.astype("<i2"), n.astype("<i8"))
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *cols], ["bucket", "parent", "word", "low", "n"])
+
+
 def count_pairs(docs: DataFrame, model: Model, k: int, least: int) -> DataFrame:
-    """(parent, word, low, n): level-k n-grams whose prefix and suffix are in the level below, with the suffix's code."""
+    """(parent, word, low, n): level-k n-grams whose prefix and suffix are in the level below, with the suffix's code.
+
+    Pairs go through the shuffle as arrays, one for each of many buckets, and a bucket's counts are added up in numpy: a row a pair
+    costs Spark a microsecond, before and behind the shuffle. Buckets number with the tokens, so what is in memory is bounded.
+    """
+    parts = max(1, -(-model.n // PART_TOKENS))
+    buckets = parts * BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for texts in training_texts(batch):
                 hashes, place, _ = tokens(texts)
-                word, count, steps = walk(model, hashes, place)
-                last = steps[-1].place if steps else np.where(count >= least, word, -1)
-                at = np.flatnonzero((place >= k - 1) & (last >= 0))
-                at = at[last[at - 1] >= 0]
+                words, steps = walk(model, hashes, place)
+                if steps:
+                    last, places = steps[-1].group, steps[-1].places
+                else:
+                    last, places = words.group, np.where(words.counts >= least, words.places, -1)
+                kept_here = last >= 0
+                kept_here[kept_here] = places[last[kept_here]] >= 0
+                at = np.flatnonzero(kept_here & (place >= k - 1))
+                at = at[kept_here[at - 1]]
                 if len(at):
-                    one, back = unique_pairs(last[at - 1], word[at])
-                    low = steps[-1].code[at[one]] if steps else np.zeros(len(one))
-                    cols = [last[at[one] - 1], word[at[one]], low.astype(np.int16), np.bincount(back, minlength=len(one))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["parent", "word", "low", "n"])
-
-    made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "parent bigint, word bigint, low smallint, n bigint")
-    # Each task's own pairs are already combined, so the rows are dealt before they are counted.
-    counted = made.repartition("parent", "word").groupBy("parent", "word").agg(F.max("low").alias("low"), F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= least)
+                    one, back = unique_pairs(last[at - 1], words.group[at])
+                    low = steps[-1].code[at[one]] if steps else np.zeros(len(one), np.int64)
+                    held.append((places[last[at[one] - 1]], words.places[words.group[at[one]]], low, np.bincount(back, minlength=len(one))))
+                    size += len(one)
+                if size >= BLOCK_PAIRS:
+                    yield dealt(held, buckets)
+                    held, size = [], 0
+        if held:
+            yield dealt(held, buckets)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), *(b.column(c) for c in range(1, 5))))
+        for _, own in groupby(rows, key=itemgetter(0)):
+            columns = list(zip(*own))[1:]
+            parent, word, low, n = (np.frombuffer(b"".join(x.as_buffer() for x in c), t) for c, t in zip(columns, ("<i8", "<i8", "<i2", "<i8")))
+            one, back = unique_pairs(parent, word)
+            total = np.bincount(back, n, len(one)).astype(np.int64)
+            often = np.flatnonzero(total >= least)
+            one = one[often]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (parent[one], word[one], low[one], total[often])], ["parent", "word", "low", "n"])
+
+    made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "bucket int, parent binary, word binary, low binary, n binary")
+    return made.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "parent bigint, word bigint, low smallint, n bigint")
 
 
 def build_shards(rows: DataFrame, keys: list[str], folder: str, n_rows: int, make) -> list[tuple[int, int, int, int, str]]:
@@ -485,7 +592,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", PIECE_BYTES):
             hashes, place, doc = tokens(utf8_texts(piece))
             known, base, full = score_tokens(model, hashes, place)
             n = piece.num_rows

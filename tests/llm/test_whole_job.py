@@ -3,6 +3,7 @@
 import hashlib
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -81,6 +82,24 @@ def test_op7_brute_force(spark, tmp_path, monkeypatch):
         assert all(abs(r.score - want[r.doc_id]) < 1e-6 for r in rows)
 
 
+def test_op7_pairs_in_buckets(spark, monkeypatch):
+    """Pairs are shuffled as one row a bucket and block, not one a pair; the counts are those of plain counting, whatever the blocks."""
+    from spanloom.llm import lm
+
+    monkeypatch.setattr(lm, "PART_TOKENS", 400)
+    monkeypatch.setattr(lm, "BLOCK_PAIRS", 300)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 500)
+    rng = np.random.default_rng(8)
+    docs = [(i, [f"w{w}" for w in rng.zipf(1.5, 50) % 90]) for i in range(80)]
+    table = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id long, text string")
+    plain = Counter((a, b) for i, ws in docs if zlib.crc32(str(i).encode()) % 10 for a, b in zip(ws, [*ws[1:], None]))
+    model = lm.train(table, (1,))
+    found = [r.n for r in lm.count_pairs(table, model, 2, 1).collect()]
+    assert sorted(found) == sorted(plain.values())
+    batch = lm.dealt([(np.arange(1000), np.arange(1000) % 7, np.zeros(1000, np.int64), np.ones(1000, np.int64))], 16)
+    assert batch.num_rows == 16 and sum(len(x.as_py()) for x in batch.column("parent")) == 8000
+
+
 def test_op7_pairs_beyond_64_bits():
     from spanloom.llm.lm import unique_pairs
 
