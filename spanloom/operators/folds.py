@@ -45,8 +45,11 @@ def values_of(column: pa.Array) -> list:
     return found.tolist()
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, fold: Fold) -> DataFrame:
-    """Rows that ``fold`` gives for each key from its rows (tuples of all columns) in ``order``; ``schema`` is the result's."""
+def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, fold: Fold, ordered: bool = False) -> DataFrame:
+    """Rows that ``fold`` gives for each key from its rows (tuples of all columns) in ``order``; ``schema`` is the result's.
+
+    ``ordered`` rows are neither dealt nor sorted again: a window over ``keys`` in that order, or a fold by them, has left them so.
+    """
     types = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(types)
     key_of = itemgetter(*[rows.columns.index(k) for k in keys])
@@ -68,7 +71,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list, schema: str, fol
         if out:
             yield batch()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (rows if ordered else rows.repartition(*keys).sortWithinPartitions(*keys, *order)).mapInArrow(run, schema)
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
@@ -119,11 +122,12 @@ RAW = """(SELECT conv_id, idx, CASE WHEN idx % 41 = 40 THEN ' ' ELSE token END A
       SELECT conv_id, turn, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(translate(coalesce(text, ''), chr(10) || chr(13) || chr(9), '   '), ' ?[^ ,.;:!?]+|[,.;:!?]+', 0) AS ws FROM conversations)))))"""
 
 
-def sanitised_words(words: DataFrame, key: str, key_type: str = "bigint", duration: float | None = None, spaced: bool = True) -> DataFrame:
+def sanitised_words(words: DataFrame, key: str, key_type: str = "bigint", duration: float | None = None, spaced: bool = True, ordered: bool = False) -> DataFrame:
     """Words with rising times that are never empty: blank ones go, continuations join the word before them, the rest is clamped.
 
     ``words`` has (key, idx, text, start, end, prob, segment). A continuation has no leading space and begins less than 0.25 s
     after the word before it; ``spaced`` is false for scripts without spaces, which have none. ``duration`` cuts times off.
+    ``ordered`` words are dealt by key and in order, as those of ``raw_words_of`` are; the result always is.
     """
 
     def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -150,36 +154,57 @@ def sanitised_words(words: DataFrame, key: str, key_type: str = "bigint", durati
             yield tuple(last)
 
     rows = words.select(key, "idx", "text", "start", "end", F.coalesce("prob", F.lit(1.0)).alias("prob"), "segment").where("text IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL")
-    return ordered_fold(rows, [key], ["idx"], f"{key} {key_type}, idx bigint, text string, start double, end double, prob double, segment bigint", fold)
+    return ordered_fold(rows, [key], ["idx"], f"{key} {key_type}, idx bigint, text string, start double, end double, prob double, segment bigint", fold, ordered)
 
 
 def sentence_ranges(words: DataFrame, key: str, key_type: str = "bigint", pause: float = 1.2, most: int = 45, segment_pause: float = 0.6) -> DataFrame:
     """(key, sentence, first_word, last_word): word ranges that close at terminal marks, pauses, segment ends with a shorter pause, or ``most`` words.
 
     A run of ``most`` words closes at its last comma, semicolon or colon beyond its fifth word, else where it is; the words
-    behind that mark begin the next one. The state is a sentence's first word and its last such mark.
+    behind that mark begin the next one. The state is a sentence's first word, its last such mark and the word before.
     """
-    following = Window.partitionBy(key).orderBy("idx")
-    gap = F.lead("start").over(following) - F.col("end")
-    ends = F.lead("idx").over(following).isNull() | terminal(F.col("text")) | (gap >= pause) | ((F.lead("segment").over(following) != F.col("segment")) & (gap >= segment_pause))
-    rows = words.select(key, "idx", F.coalesce(ends, F.lit(False)).alias("ends"), F.trim(F.col("text")).rlike("[,;:]$").alias("comma"))
 
     def fold(found: Iterator[tuple]) -> Iterator[tuple]:
-        first, comma, n, i = None, -1, 0, None
-        for k, i, ends, is_comma in found:
-            first = i if first is None else first
-            if is_comma:
-                comma = i
-            close = i if ends else None
-            if close is None and i - first + 1 >= most:
-                close = comma if comma >= first + 5 else i
-            if close is not None:
-                yield k, n, first, close
-                n, first = n + 1, close + 1
-        if i is not None and first <= i:
-            yield k, n, first, i
-
-    return ordered_fold(rows, [key], ["idx"], f"{key} {key_type}, sentence bigint, first_word bigint, last_word bigint", fold)
+        for k, n, first, close, _ in _sentences(found, pause, most, segment_pause):
+            yield k, n, first, close
+
+    return ordered_fold(_marked(words, key), [key], ["idx"], f"{key} {key_type}, sentence bigint, first_word bigint, last_word bigint", fold)
+
+
+def _marked(words: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Words with whether they end a sentence by their text, or stand before a pause for breath."""
+    marks = [F.coalesce(terminal(F.col("text")), F.lit(False)).alias("ends"), F.coalesce(F.trim(F.col("text")).rlike("[,;:]$"), F.lit(False)).alias("comma")]
+    return words.select(key, "idx", "start", "end", "segment", *marks, *columns)
+
+
+def _sentences(found: Iterator[tuple], pause: float, most: int, segment_pause: float) -> Iterator[tuple]:
+    """(key, sentence, first word, last word, rows) of one key's marked words; ``rows`` are those words, at most ``most``."""
+    first, comma, n = None, -1, 0
+    held: list[tuple] = []
+    rows = iter(found)
+    row = next(rows, None)
+    while row is not None:
+        following = next(rows, None)
+        k, i, _, end, segment, ends, is_comma = row[:7]
+        if following is None:
+            ends = True
+        elif not ends and following[2] is not None and end is not None:
+            gap = following[2] - end
+            ends = not gap < pause or (None not in (segment, following[4]) and segment != following[4] and not gap < segment_pause)
+        held.append(row)
+        first = i if first is None else first
+        if is_comma:
+            comma = i
+        close = i if ends else None
+        if close is None and i - first + 1 >= most:
+            close = comma if comma >= first + 5 else i
+        if close is not None:
+            yield k, n, first, close, [r for r in held if r[1] <= close]
+            held = [r for r in held if r[1] > close]
+            n, first = n + 1, close + 1
+        if following is None and first <= i:
+            yield k, n, first, i, held
+        row = following
 
 
 def join_tokens(tokens: Column) -> Column:
@@ -191,13 +216,16 @@ def join_tokens(tokens: Column) -> Column:
     return F.trim(F.regexp_replace(joined, r"\s+", " "))
 
 
-def built_sentences(words: DataFrame, key: str, key_type: str = "bigint", **rules: float) -> DataFrame:
-    """Sentences of sanitised words with times and text; at most ``most`` words meet in a row."""
-    ranges = sentence_ranges(words, key, key_type, **rules)
-    place = F.explode(F.sequence("first_word", "last_word")).alias("idx")
-    rows = ranges.select(key, "sentence", "first_word", "last_word", place).join(words.select(key, "idx", "text", "start", "end"), [key, "idx"])
-    rows = rows.groupBy(key, "sentence", "first_word", "last_word").agg(F.min("start").alias("start"), F.max_by("end", "idx").alias("end"), F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("ws"))
-    return rows.withColumn("text", join_tokens(F.transform("ws", lambda x: x["text"]))).drop("ws")
+def built_sentences(words: DataFrame, key: str, key_type: str = "bigint", pause: float = 1.2, most: int = 45, segment_pause: float = 0.6, ordered: bool = False) -> DataFrame:
+    """Sentences of sanitised words with times and text; at most ``most`` words meet in a row. ``ordered`` words are dealt by key and in order."""
+
+    def fold(found: Iterator[tuple]) -> Iterator[tuple]:
+        for k, n, first, close, own in _sentences(found, pause, most, segment_pause):
+            yield k, n, first, close, min((r[2] for r in own if r[2] is not None), default=None), own[-1][3], [r[7] for r in own]
+
+    schema = f"{key} {key_type}, sentence bigint, first_word bigint, last_word bigint, start double, end double, ws array<string>"
+    rows = ordered_fold(_marked(words.where(F.col(key).isNotNull()), key, "text"), [key], ["idx"], schema, fold, ordered)
+    return rows.withColumn("text", join_tokens(F.filter("ws", lambda x: x.isNotNull()))).drop("ws")
 
 
 #: The same by recursion over places: one row a conversation and step.
@@ -214,7 +242,7 @@ CLEAN = f"""raw AS MATERIALIZED (SELECT *, (trim(text) = '') AS blank FROM {RAW}
 
 @query("sanitised_words", f"""WITH RECURSIVE {CLEAN} SELECT conv_id, idx, text, start, "end", prob, segment FROM clean""")
 def sanitised_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitised_words(raw_words_of(table(spark, sf_dir, "conversations")), "conv_id")
+    return sanitised_words(raw_words_of(table(spark, sf_dir, "conversations")), "conv_id", ordered=True)
 
 
 _ABBREVIATIONS = ", ".join(f"'{x}'" for x in ABBREVIATIONS)
@@ -241,8 +269,8 @@ RUNS = f"""marks AS MATERIALIZED (SELECT *, coalesce(last OR gap >= 1.2 OR (next
         SELECT f.conv_id, first_word, last_word, min(start) AS start, arg_max("end", idx) AS "end", {JOINED} AS text FROM found f JOIN clean c ON c.conv_id = f.conv_id AND idx BETWEEN first_word AND last_word GROUP BY 1, 2, 3))""",
 )
 def built_sentences_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = sanitised_words(raw_words_of(table(spark, sf_dir, "conversations")), "conv_id")
-    return built_sentences(words, "conv_id").select("conv_id", "sentence", "first_word", "last_word", "start", "end", F.md5("text").alias("digest"))
+    words = sanitised_words(raw_words_of(table(spark, sf_dir, "conversations")), "conv_id", ordered=True)
+    return built_sentences(words, "conv_id", ordered=True).select("conv_id", "sentence", "first_word", "last_word", "start", "end", F.md5("text").alias("digest"))
 
 
 # ---- first-come acceptance ------------------------------------------------------------------------
