@@ -38,17 +38,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Words, held_out_mask, materialise, mix64, shared_path, slices, table, utf8_texts, whole_text
+from spanloom.llm.common import Words, give_back, held_out_mask, materialise, mix64, shared_path, slices, table, utf8_texts, whole_text
 
 #: Least count of an n-gram that is kept, by its length: all words, then what occurs twice (figures in the README).
 MIN_COUNTS = (1, 2, 2)
 DISCOUNT = 0.75
 ALPHA = 0.1
 HELD_OUT = 10
-SHARD_KEYS = 2_000_000
-#: Training tokens for each task that adds up pairs, buckets in each, and pairs that a task holds before it deals them out.
-PART_TOKENS, BUCKETS, BLOCK_PAIRS = 1_000_000, 8, 1_000_000
-OPEN_SHARDS = 64
+#: Keys of a range that becomes a shard; a range that came out a quarter longer is cut. A task holds up to 200 bytes a key while it builds one.
+SHARD_KEYS = 1_000_000
+#: Training tokens for each task that adds up pairs, buckets in each, and pairs that a task holds (at about 130 bytes) before it deals them out.
+PART_TOKENS, BUCKETS, BLOCK_PAIRS = 1_000_000, 8, 500_000
+OPEN_SHARDS = 128
 #: Of texts that are looked up together: each distinct n-gram of a piece is looked up once.
 PIECE_BYTES = 2_000_000
 STEP = 1 / 32  # of quantised log10 probabilities
@@ -445,8 +446,9 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def dealt(pairs: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
-    """(bucket, parent, word, low, n) of pairs: one row a bucket, whose arrays are bytes."""
+    """(bucket, parent, word, low, n) of pairs, which are taken out of the list: one row a bucket, whose arrays are bytes."""
     parent, word, low, n = (np.concatenate(c) for c in zip(*pairs))
+    pairs.clear()
     mixed = mix64(parent.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) % np.uint64(buckets)
     bucket = mixed.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
@@ -485,12 +487,12 @@ def count_pairs(docs: DataFrame, model: Model, k: int, least: int) -> DataFrame:
                 at = at[kept_here[at - 1]]
                 if len(at):
                     one, back = unique_pairs(last[at - 1], words.group[at])
-                    low = steps[-1].code[at[one]] if steps else np.zeros(len(one), np.int64)
+                    low = (steps[-1].code[at[one]] if steps else np.zeros(len(one))).astype("<i2")
                     held.append((places[last[at[one] - 1]], words.places[words.group[at[one]]], low, np.bincount(back, minlength=len(one))))
                     size += len(one)
                 if size >= BLOCK_PAIRS:
                     yield dealt(held, buckets)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield dealt(held, buckets)
 
@@ -504,6 +506,7 @@ def count_pairs(docs: DataFrame, model: Model, k: int, least: int) -> DataFrame:
             often = np.flatnonzero(total >= least)
             one = one[often]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (parent[one], word[one], low[one], total[often])], ["parent", "word", "low", "n"])
+        give_back()
 
     made = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "bucket int, parent binary, word binary, low binary, n binary")
     return made.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "parent bigint, word bigint, low smallint, n bigint")
@@ -520,16 +523,19 @@ def build_shards(rows: DataFrame, keys: list[str], folder: str, n_rows: int, mak
         made = []
 
         def flush() -> None:
-            cols = {c: np.concatenate([h[c] for h in held]) for c in names}
+            cols = {c: np.concatenate([h.pop(c) for h in held]) for c in names}
+            held.clear()
             name = save_shard(folder, make(cols))
             made.append((int(cols[keys[0]][0]), int(cols[keys[-1]][0]), len(cols[keys[0]]), int(cols["children"].sum()) if "children" in cols else 0, name))
+            cols.clear()
+            give_back()
 
         for batch in batches:
             held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names})
             size += batch.num_rows
-            if size >= SHARD_KEYS:
+            if size >= SHARD_KEYS * 5 // 4:
                 flush()
-                held, size = [], 0
+                size = 0
         if size:
             flush()
         cols = list(zip(*made)) or [[], [], [], [], []]

@@ -100,6 +100,27 @@ def test_op7_pairs_in_buckets(spark, monkeypatch):
     assert batch.num_rows == 16 and sum(len(x.as_py()) for x in batch.column("parent")) == 8000
 
 
+def test_op7_memory_of_a_task():
+    """What a task holds while it deals out a block of pairs or builds the longest shard, whatever the input."""
+    import tracemalloc
+
+    from spanloom.llm import lm
+
+    def peak(run) -> float:
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return most
+
+    rng = np.random.default_rng(3)
+    n = lm.BLOCK_PAIRS
+    pairs = [(np.arange(n), rng.integers(0, 10**6, n), np.zeros(n, np.int16), np.ones(n, np.int64))]
+    assert peak(lambda: lm.dealt(pairs, 552)) < 70 and not pairs
+    keys = np.cumsum(rng.integers(0, 10**6, lm.SHARD_KEYS * 5 // 4))
+    assert peak(lambda: lm.EliasFano.build(keys)) < 70
+
+
 def test_op7_pairs_beyond_64_bits():
     from spanloom.llm.lm import unique_pairs
 
