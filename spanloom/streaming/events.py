@@ -3,7 +3,8 @@
 A stream is run to the end of what is there and stops; its sink and its checkpoint lie in one folder. Called with the folder of an
 earlier run, a query goes on where that one ended (``drained(..., folder=)``); without one it begins anew in a new folder. Late rows
 are those behind the watermark, an hour behind the latest time that earlier batches held: windows that it has passed are closed, and rows
-that belong to them are dropped. State leaves with the watermark, but for ``stream_latest``, whose state is one row a user.
+that belong to them are dropped. State leaves with the watermark, but for ``stream_latest``, whose state is one row a user. ``stream_progress``
+combines the rows of a batch first and carries only what is open behind it, since most of its hours open and close in the same batch.
 """
 
 from __future__ import annotations
@@ -36,37 +37,40 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None, each: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None) -> DataFrame:
     """All that the stream has given, written and read back; in update mode the last batch of a key counts.
 
-    With ``folder`` the stream goes on from the checkpoint there, and what earlier runs have given stands beside the new rows.
+    With ``folder`` the stream goes on from the checkpoint there, and what earlier runs have given stands beside the new rows. What is written
+    for a batch is ``each(batch, what was written for the batch before, or None)``, if that is given; a batch that is run again is written anew.
     """
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
+        if each is not None:
+            batch = each(batch, batch.sparkSession.read.parquet(f"{folder}/out/batch={number - 1}").drop("_batch") if number else None)
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
-def in_rounds(blocks: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+def in_rounds(blocks: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str, mode: str = "append", folder: str | None = None, each: Callable | None = None) -> DataFrame:
     """What ``build`` gives for rows that arrive block by block: each block is one batch of a run that goes on from the run before."""
     spark = blocks[0].sparkSession
     folder = folder or shared_folder(spark, name)
     for block in blocks:
         block.write.mode("append").parquet(f"{folder}/in")
-        found = drained(build(spark.readStream.schema(block.schema).parquet(f"{folder}/in")), name, mode, folder)
+        found = drained(build(spark.readStream.schema(block.schema).parquet(f"{folder}/in")), name, mode, folder, each)
     return found
 
 
-def arrivals(spark: SparkSession, sf_dir: str, late: bool) -> list[DataFrame]:
-    """Events in four blocks of eight days as they arrive; if ``late``, every fiftieth row comes a block after its own."""
+def arrivals(spark: SparkSession, sf_dir: str, late: bool, columns: list[str]) -> list[DataFrame]:
+    """These columns of events in four blocks of eight days as they arrive; if ``late``, every fiftieth row comes a block after its own."""
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     block = F.least(F.lit(3), F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 8))
     block = F.least(F.lit(3), block + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)) if late else block
-    return [rows.where(block == k) for k in range(4)]
+    return [rows.where(block == k).select(columns) for k in range(4)]
 
 
 #: The same blocks, and the watermark that holds in each.
@@ -109,7 +113,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user with breaks of six hours, over four batches; rows that come eight days late are dropped."""
-    found = sessions(arrivals(spark, sf_dir, late=True), "user_id", 6, 1)
+    found = sessions(arrivals(spark, sf_dir, True, ["user_id", "ts"]), "user_id", 6, 1)
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
@@ -151,7 +155,7 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         bought = stream.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("paid")).withWatermark("paid", "1 hour")
         return views.join(bought, F.expr("viewer = user_id AND paid BETWEEN seen AND seen + INTERVAL 12 HOURS")).select("view_id", "purchase_id")
 
-    return in_rounds(arrivals(spark, sf_dir, late=False), joined, "join").select("view_id", "purchase_id")
+    return in_rounds(arrivals(spark, sf_dir, False, ["user_id", "ts", "event_id", "event_type"]), joined, "join").select("view_id", "purchase_id")
 
 
 #: Groups that the keys of a throttle are dealt into: Spark's work for a group of pandas rows with state is milliseconds, whatever its size.
@@ -198,10 +202,29 @@ def throttled(stream: DataFrame, key: str, key_type: str, seconds: int) -> DataF
 )
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user at most once a day, over four batches."""
-    found = in_rounds(arrivals(spark, sf_dir, late=False), lambda s: throttled(s, "user_id", "bigint", 86_400), "throttle")
+    found = in_rounds(arrivals(spark, sf_dir, False, ["user_id", "ts", "event_id"]), lambda s: throttled(s, "user_id", "bigint", 86_400), "throttle")
     return found.select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+def hours_of_batch(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(user_id, hour, last, n, open): hours of a batch of events and of those still open in the batch before; ``open`` until an hour behind the latest time has passed their end.
+
+    The latest row's own hour is always open, so what was open tells how far the batches before have come. Rows of hours that were
+    closed by then are dropped. What goes on to the next batch is the last hours of this one, however long it is.
+    """
+    latest = batch.agg(F.unix_micros(F.max("ts"))).first()[0]
+    rows = batch.select("user_id", F.window("ts", "1 hour").start.alias("hour"), F.struct("ts", "event_id").alias("last"), F.lit(1).cast("bigint").alias("n"))
+    if before is not None:
+        carried = before.where("open").drop("open")
+        reached = carried.agg(F.unix_micros(F.max("last.ts"))).first()[0]
+        if reached is not None:
+            rows = rows.where(F.col("hour") + F.expr("INTERVAL 2 HOURS") > F.timestamp_micros(F.lit(reached)))
+            latest = reached if latest is None else max(latest, reached)
+        rows = rows.unionByName(carried)
+    found = rows.groupBy("user_id", "hour").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+    return found.withColumn("open", F.col("hour") + F.expr("INTERVAL 2 HOURS") > F.timestamp_micros(F.lit(latest).cast("bigint")))
+
+
 @query(
     "stream_progress",
     f"""SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM {BLOCKS} e JOIN {MARKS} USING (block) WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR > mark
@@ -209,10 +232,6 @@ def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and hour, written once the hour is closed, over four batches with late rows."""
-
-    def last(stream: DataFrame) -> DataFrame:
-        found = stream.withWatermark("ts", "1 hour").groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.max(F.struct("ts", "event_id")).alias("last"), F.count("*").alias("n"))
-        return found.select("user_id", F.col("w.start").alias("hour"), F.col("last.event_id").alias("event_id"), "n")
-
-    found = in_rounds(arrivals(spark, sf_dir, late=True), last, "progress")
+    found = in_rounds(arrivals(spark, sf_dir, True, ["user_id", "ts", "event_id"]), lambda s: s, "progress", each=hours_of_batch)
+    found = found.where("NOT open").select("user_id", "hour", F.col("last.event_id").alias("event_id"), "n")
     return found.select("user_id", F.col("hour").cast("timestamp_ntz").alias("hour"), "event_id", "n")

@@ -376,3 +376,47 @@ def test_throttle_keys_share_a_bucket(spark, monkeypatch):
             want.add((user, event))
             last[user] = ts
     assert sorted((r.user_id, r.event_id) for r in found.collect()) == sorted(want)
+
+
+def test_hours_of_batches_carry_only_what_is_open(spark, tmp_path):
+    """Late rows, rows at the mark, an empty block and nulls against a plain loop; closed hours are not carried and no state is kept beside them."""
+    import os
+    from datetime import datetime, timedelta
+
+    from spanloom.streaming import events
+
+    begin, hour = datetime(2024, 1, 1), timedelta(hours=1)
+    rows = [(k, k % 3 if k % 17 else None, begin + timedelta(minutes=23 * k) if k % 19 else None) for k in range(400)]
+    parts = [rows[:150], [], rows[150:260] + [(900, 1, begin + timedelta(minutes=23 * 149)), (901, 1, begin)], rows[260:]]  # 900 is late but open, 901 is behind the mark
+    mark = max(r[2] for r in parts[0] if r[2]) - hour
+    edge = mark.replace(minute=0, second=0) - timedelta(microseconds=1)  # the last time of an hour that the mark has passed
+    parts[2].append((902, 2, edge))
+    blocks = [spark.createDataFrame(part, "event_id long, user_id long, ts timestamp") for part in parts]
+    found = events.in_rounds(blocks, lambda s: s, "hours", folder=f"file://{tmp_path}/run", each=events.hours_of_batch)
+
+    state, latest = {}, None
+    for part in parts:
+        before = latest
+        for event, user, ts in part:
+            if ts is not None and (before is None or ts.replace(minute=0, second=0, microsecond=0) + 2 * hour > before):
+                own = state.setdefault((user, ts.replace(minute=0, second=0, microsecond=0)), [(ts, event), 0])
+                own[0], own[1] = max(own[0], (ts, event)), own[1] + 1
+        latest = max([r[2] for r in part if r[2]] + ([latest] if latest else []))
+    want = {(user, h, last[1], n) for (user, h), (last, n) in state.items() if h + 2 * hour <= latest}
+    got = [(r.user_id, r.hour, r.last.event_id, r.n) for r in found.where("NOT open").collect()]
+    assert len(got) == len(want) and set(got) == want and not any(e in (901, 902) for _, _, e, _ in got)
+    carried = {r.batch: r.n for r in found.where("open").groupBy("batch").agg({"*": "count"}).toDF("batch", "n").collect()}
+    assert max(carried.values()) <= 9 and not os.path.exists(f"{tmp_path}/run/state/state")
+
+
+def test_blocks_of_events_hold_the_needed_columns_only(spark, monkeypatch):
+    """What goes through the stream of last events of hours is three columns, and the query keeps no window in Spark's state."""
+    import os
+
+    from spanloom.streaming import events
+
+    folders, folder = [], events.shared_folder
+    monkeypatch.setattr(events, "shared_folder", lambda *a: folders.append(folder(*a)) or folders[-1])
+    assert events.stream_progress(spark, "/root/testdata/sf0.001").count()
+    at = folders[0].removeprefix("file://")
+    assert spark.read.parquet(f"{at}/in").columns == ["user_id", "ts", "event_id"] and not os.path.exists(f"{at}/state/state")
