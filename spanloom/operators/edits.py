@@ -22,13 +22,13 @@ from spanloom.registry import query, table
 EDGE = 1e-6
 
 
-def first_at_or_before(points: DataFrame, known: DataFrame, key: str, t: str, s: str, value: str) -> DataFrame:
-    """``points`` with the struct ``value`` of the last row of ``known`` whose ``s`` is at most ``t``; null times get null."""
+def first_at_or_before(points: DataFrame, known: DataFrame, key: str, t: str, s: str, value: str, strict: bool = False) -> DataFrame:
+    """``points`` with the struct ``value`` of the last row of ``known`` whose ``s`` is at most ``t``, or below it if ``strict``; null times get null."""
     kind = known.schema[value].dataType
-    asked = points.select(key, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_row"), F.lit(None).cast(kind).alias("_v"))
+    asked = points.select(key, F.col(t).alias("_t"), F.lit(-1 if strict else 1).alias("_side"), F.struct(*points.columns).alias("_row"), F.lit(None).cast(kind).alias("_v"))
     other = known.select(key, F.col(s).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
     w = Window.partitionBy(key).orderBy(F.col("_t").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = asked.unionByName(other).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    rows = asked.unionByName(other).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side <> 0")
     return rows.select("_row.*", F.when(F.col("_t").isNotNull(), F.col("_v")).alias(value))
 
 
@@ -52,13 +52,12 @@ def source_to_output(points: DataFrame, ranges: DataFrame, key: str, t: str, nam
 
 def output_to_source(points: DataFrame, ranges: DataFrame, key: str, t: str, name: str) -> DataFrame:
     """``points`` with the source time of output time ``t``; behind the end: the last range's end. A seam belongs to the earlier range."""
-    mapped = with_map(ranges, key)
-    known = mapped.withColumn("_range", F.struct("s", "e", "out"))
-    just_before = points.withColumn("_asked", F.when(F.col(t) <= 0, F.lit(0.0)).otherwise(F.col(t)))
-    known = known.withColumn("_begin", F.when(F.col("out") == 0, F.lit(0.0)).otherwise(F.col("out") + 1e-12))
-    rows = first_at_or_before(just_before, known, key, "_asked", "_begin", "_range")
+    w = Window.partitionBy(key).orderBy("s")
+    ends_before = F.lag(F.col("out") + (F.col("e") - F.col("s"))).over(w)  # the first range whose output end is not before t is the last one behind whose predecessor's end t lies
+    known = with_map(ranges, key).withColumn("_begin", F.coalesce(ends_before, F.lit(float("-inf")))).withColumn("_range", F.struct("s", "e", "out"))
+    rows = first_at_or_before(points, known, key, t, "_begin", "_range", strict=True)
     r = F.col("_range")
-    return rows.withColumn(name, F.least(r["s"] + F.greatest(F.col(t) - r["out"], F.lit(0.0)), r["e"])).drop("_range", "_asked")
+    return rows.withColumn(name, F.least(r["s"] + F.greatest(F.col(t) - r["out"], F.lit(0.0)), r["e"])).drop("_range")
 
 
 def clean_ranges(ranges: DataFrame, key: str) -> DataFrame:

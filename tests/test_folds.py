@@ -170,6 +170,14 @@ def test_maps_at_their_edges(spark):
     assert {r.t: round(r.o, 6) for r in edits.output_to_source(back, ranges, "k", "t", "o").collect()} == {-1: 10, 0: 10, 1: 11, 2: 12, 3: 13, 3.5: 20.5, 4: 21, 9: 21}
 
 
+def test_seams_far_behind_the_start_belong_to_the_earlier_range(spark):
+    """Behind 16,384 s a difference of 1e-12 is lost in a double."""
+    ranges = spark.createDataFrame([(1, 0.0, 20000.0), (1, 30000.0, 30010.0), (1, 40000.0, 40010.0)], "k long, s double, e double")
+    points = spark.createDataFrame([(1, t) for t in (-1.0, 20000.0, 20000.5, 20010.0, 20020.0, 20021.0)], "k long, t double")
+    got = {r.t: r.o for r in edits.output_to_source(points, ranges, "k", "t", "o").collect()}
+    assert got == {-1.0: 0.0, 20000.0: 20000.0, 20000.5: 30000.5, 20010.0: 30010.0, 20020.0: 40010.0, 20021.0: 40010.0}
+
+
 def test_round_trip_inside_kept_ranges(spark):
     random.seed(4)
     cuts, t = [], 0.0
