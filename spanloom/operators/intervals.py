@@ -23,13 +23,18 @@ SERIES = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,
 
 
 
-def to_millis(t: Column) -> Column:
-    """Seconds to three places by the double product with 1,000, halves away from zero.
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to ``places`` decimals by the double product with their power of ten, halves away from zero.
 
     ``round`` of a double works on its shortest decimal form instead, which is apart where the product is a half by rounding alone.
     """
-    scaled = t * 1000.0
-    return F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / 1000.0
+    scaled = x * 10.0**places
+    return F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / 10.0**places
+
+
+def to_millis(t: Column) -> Column:
+    """Seconds to three places, as ``rounded`` does it."""
+    return rounded(t, 3)
 
 
 def intervals_of(events: DataFrame) -> DataFrame:

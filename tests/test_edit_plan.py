@@ -159,3 +159,35 @@ def test_log_durations_add_up_to_their_decimal_sum(spark):
     logs = ["\n".join(f"freeze_start: 2\nfreeze_duration: {x}" for x in p) for p in permutations(("2.100", "0.100", "0.800"))]
     rows = spark.createDataFrame(list(enumerate(logs)), "k int, log string")
     assert {r.frozen for r in log_facts(rows, "k", "log").collect()} == {3.0}
+
+
+def test_span_metrics_on_halves_like_sql(spark, tmp_path):
+    """Spans whose penalties or metrics lie on a half of their last place, where the last bits of sums and the way of rounding decide."""
+    import duckdb
+    from __spark_entry__ import oracle_sql, queries
+    from compare import duckdb_rows, spark_rows
+
+    duckdb.sql("SELECT * FROM '/root/testdata/sf0.1/conversations.parquet' WHERE conv_id IN (68, 88, 177, 283, 361, 552, 805)").write_parquet(str(tmp_path / "conversations.parquet"))
+    names, rows = spark_rows(queries()["span_metrics"](spark, str(tmp_path)))
+    assert rows and (names, rows) == duckdb_rows(oracle_sql()["span_metrics"], str(tmp_path))
+
+
+def test_spans_of_small_batches(spark):
+    """First sentences at the end of a batch wait for their last ones; spans are neither shuffled nor sorted."""
+    from spanloom.operators.folds import checkpointed
+    from spanloom.plans.scoring import conversation_features, scores, signals_of, span_rows, with_signals, with_word_weights
+
+    words, features = conversation_features(spark, "/root/testdata/sf0.001")
+    known = checkpointed(with_signals(with_word_weights(features, "conv_id").drop("text", "content"), "conv_id", *signals_of(words)))
+    spans = scores(span_rows(known, "conv_id", 60.0, 3.0))
+    plan = spans._jdf.queryExecution().sparkPlan().toString()
+    assert "Sort" not in plan[: plan.index("MapInArrow")] and "Window" not in plan[: plan.index("MapInArrow")]
+    every = {tuple(r) for r in spans.select("conv_id", "i", "j", "score", "pacing", "novelty").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        some = {tuple(r) for r in scores(span_rows(known, "conv_id", 60.0, 3.0, shortest=15.0)).select("conv_id", "i", "j", "score", "pacing", "novelty", "a", "b").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert some and {r[:6] for r in some} <= every and all(15.0 <= r[7] - r[6] <= 60.0 for r in some)
+    ends = {(r.conv_id, r.sentence): (r.a, r.b) for r in known.collect()}
+    assert len(some) == sum(15.0 <= ends[c, j][1] - ends[c, i][0] <= 60.0 for c, i, j, *_ in every)
