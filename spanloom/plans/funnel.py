@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.edits import refined_bounds
 from spanloom.operators.folds import checkpointed, greedy_accept
+from spanloom.operators.intervals import rounded
 from spanloom.operators.ranking import clamp, overlap_share, suppress, suppress_sql
 from spanloom.operators.text import TOKEN, set_similarity, shingles, tokens
 from spanloom.plans.edit_plan import _HOOKS, hooks, shifted_openings
@@ -33,10 +34,10 @@ def funnel(words: DataFrame, features: DataFrame, signals: tuple[DataFrame, Data
     opening = checkpointed(hooks(features, words, key, CUES))
     shift = shifted_openings(short.select(key, "i", "j"), features, opening, key, SHORTEST).select(key, "i", "j", "shift")
     moved = checkpointed(short.join(shift, [key, "i", "j"]).withColumn("i", F.col("i") + F.col("shift")).drop("shift"))
-    again = scores(span_rows(known, key, LONGEST, 3.0, moved.select(key, "i").distinct())).select(key, "i", "j", *WEIGHTS, *[f"p_{p}" for p in PENALTIES])  # metrics of the shortlist's own spans
-    heard = opening.select(key, F.col("sentence").alias("i"), *[F.round(w, 1).alias(w) for w in ("w1", "w3", "w5")])
+    again = scores(span_rows(known, key, LONGEST, 3.0, moved.select(key, "i", "j"))).select(key, "i", "j", *WEIGHTS, *[f"p_{p}" for p in PENALTIES])  # metrics of the shortlist's own spans
+    heard = opening.select(key, F.col("sentence").alias("i"), *[rounded(F.col(w), 1).alias(w) for w in ("w1", "w3", "w5")])
     rescored = moved.join(again, [key, "i", "j"]).join(heard, [key, "i"])
-    rescored = rescored.withColumn("hook", F.round(clamp(0.6 * F.col("hook") + 0.4 * (0.3 * F.col("w1") + 0.4 * F.col("w3") + 0.3 * F.col("w5"))), 2)).withColumn("score", combined())
+    rescored = rescored.withColumn("hook", rounded(clamp(0.6 * F.col("hook") + 0.4 * (0.3 * F.col("w1") + 0.4 * F.col("w3") + 0.3 * F.col("w5"))), 2)).withColumn("score", combined())
     ends = features.select(key, F.col("sentence").alias("i"), "first_word").join(rescored.select(key, "seed", "i", "j", "score"), [key, "i"])
     ends = ends.join(features.select(key, F.col("sentence").alias("j"), "last_word"), [key, "j"])
     duration = words.groupBy(key).agg(F.max("end").alias("duration"))

@@ -191,3 +191,17 @@ def test_spans_of_small_batches(spark):
     assert some and {r[:6] for r in some} <= every and all(15.0 <= r[7] - r[6] <= 60.0 for r in some)
     ends = {(r.conv_id, r.sentence): (r.a, r.b) for r in known.collect()}
     assert len(some) == sum(15.0 <= ends[c, j][1] - ends[c, i][0] <= 60.0 for c, i, j, *_ in every)
+
+
+def test_spans_of_some_pairs(spark):
+    """Only the pairs asked for are scored, as in the whole job."""
+    from spanloom.operators.folds import checkpointed
+    from spanloom.plans.scoring import conversation_features, scores, signals_of, span_rows, with_signals, with_word_weights
+
+    words, features = conversation_features(spark, "/root/testdata/sf0.001")
+    known = checkpointed(with_signals(with_word_weights(features, "conv_id").drop("text", "content"), "conv_id", *signals_of(words)))
+    every = {tuple(r) for r in scores(span_rows(known, "conv_id", 60.0, 3.0)).select("conv_id", "i", "j", "score").collect()}
+    want = {r for r in every if (r[1] + 2 * r[2]) % 11 == 0}
+    pairs = spark.createDataFrame([r[:3] for r in want for _ in range(2)], "conv_id long, i long, j long")
+    got = [tuple(r) for r in scores(span_rows(known, "conv_id", 60.0, 3.0, pairs)).select("conv_id", "i", "j", "score").collect()]
+    assert got and len(got) == len(want) and set(got) == want
